@@ -1,0 +1 @@
+"""cutgrove.streaming"""
