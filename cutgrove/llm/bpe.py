@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 200_000
@@ -121,7 +122,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<bigint>")
+        schema = schema.add("ids", T.ArrayType(T.LongType()))
 
     def run(batches):
         codec = _codec(raw.value, pattern, piece_chars, long_match)

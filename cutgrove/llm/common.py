@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that count as white space between words: space and \t \n \v \f \r.
-SPACES = b" \t\n\x0b\x0c\r"
+from cutgrove.session import cut
+
+__all__ = ["cut", "parts", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; a local one only where none is set (tests on one machine)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "cutgrove-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: lineage ends here and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

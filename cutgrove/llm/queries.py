@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, url_rules
+from . import bpe, chat, decontaminate, near_dups, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -44,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
+QUERIES = {"op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
 
 ORACLE = {
     "op3_chat": r"""
