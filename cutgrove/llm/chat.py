@@ -59,8 +59,8 @@ def reply_paths(messages: DataFrame, top_k: int | None = None) -> DataFrame:
     path = leaves.withColumn("node", F.col("leaf"))
     for k in reversed(range(rounds)):
         step = jump.select("tree", "node", F.col(f"up{k}").alias("next"))
-        above = path.join(step, ["tree", "node"]).filter("next is not null").withColumn("node", F.col("next")).select(*path.columns)
-        path = path.unionByName(above)
+        both = F.explode(F.array_compact(F.array("node", "next"))).alias("node")
+        path = path.join(step, ["tree", "node"], "left").select("tree", "leaf", "path_score", "rank", both)
     return path.join(jump.select("tree", "node", "depth"), ["tree", "node"])
 
 
