@@ -13,6 +13,7 @@ score is the share of good labels (0.5 without any). Repeated rows stay.
 from __future__ import annotations
 
 import math
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +30,17 @@ LEVEL = 3
 SAMPLE_BYTES = 4096
 
 
-def sample_labelled(labelled: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple]:
-    """(label, text) of at most 2 * max_rows rows a class, texts cut to SAMPLE_BYTES; a top-k by hash keeps the driver bounded."""
-    rows = []
-    for label in (0, 1):
-        part = labelled.filter(F.col("label") == label).select("key", F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_BYTES)).alias("text"))
-        part = part.orderBy(F.xxhash64("key"), "key", "text").limit(2 * max_rows)
-        rows += [(label, r["text"]) for r in part.select("text").toLocalIterator()]
-    return rows
+def sample_labelled(docs: DataFrame, pairs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple]:
+    """(label, text) of at most 2 * max_rows ids a class, texts cut to SAMPLE_BYTES.
+
+    Ids are drawn from the labels alone, by hash; the drawn ids, of bounded number, are broadcast to fetch their texts.
+    """
+    drawn = [pairs.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows) for k in (0, 1)]
+    drawn = drawn[0].unionByName(drawn[1])
+    text = F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_BYTES))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = [(r["label"], r["text"], r["doc_id"]) for r in found.toLocalIterator()]
+    return [r[:2] for r in sorted(rows, key=lambda r: (r[0], zlib.crc32(str(r[2]).encode()), r[2]))]
 
 
 class Compressor:
@@ -110,10 +114,9 @@ def score_text(model: dict, text: str) -> float:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> dict:
     """Fit on labelled documents whose crc32(doc_id) mod 3 is not 1; labels join by doc_id, once for each label row."""
     pairs = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", F.col(label).alias("label")).filter(F.col("label").isin(0, 1)).distinct()
-    labelled = docs.select("doc_id", "text").join(pairs, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
     counts = {r["label"]: r["count"] for r in pairs.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(sample_labelled(labelled, max_rows), share)
+    return fit(sample_labelled(docs, pairs, max_rows), share)
 
 
 def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dups, pii, quality, url_rules
+from . import bpe, chat, decontaminate, html, near_dups, ngram_bloom, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -14,6 +14,14 @@ CONTROL = "\\### Assistant: </turn> ok"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_bloom.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -57,7 +65,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
 
 ORACLE = {
     "op3_chat": r"""
