@@ -51,12 +51,26 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def token_hashes(words: np.ndarray) -> np.ndarray:
-    return np.append(words, END)
+_END_ROW = np.array([END])
 
 
-def pair_hashes(tokens: np.ndarray) -> np.ndarray:
-    return mix(np.concatenate(([START], tokens[:-1])) * _PAIR + tokens)
+def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The token before each one, START at the texts' first tokens."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[starts] = START
+    return before
+
+
+def pair_hashes(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(before * _PAIR + tokens)
+
+
+def flat_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts in a row, an end after each text, and where each text begins."""
+    words = hash_texts(texts)
+    parts = [x for w in words for x in (w, _END_ROW)]
+    return np.concatenate(parts), np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -69,7 +83,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 def _place(h: np.ndarray, level: int, size: np.ndarray | int):
     """Word of the filter and bit mask for each hash at a level; all PROBES bits lie in one 64-bit word."""
-    x = mix(h + np.uint64(level) * _LEVEL)
+    x = mix(h + np.uint64(level * int(_LEVEL) % (1 << 64)))
     at = ((x >> _U32) * np.asarray(size, np.uint64)) >> _U32
     mask = np.zeros(len(h), np.uint64)
     for i in range(PROBES):
@@ -157,21 +171,21 @@ def _gather(docs: DataFrame, shards: int) -> DataFrame:
             gid = part * (1 << 24) + n
             n += 1
             train = np.array([not held_out(i) for i in ids])
-            h, idx, tf, pairs = [], [], [], []
-            for i, words in enumerate(hash_texts(texts)):
-                t = token_hashes(words)
-                u, c = np.unique(t, return_counts=True)
+            tokens, starts = flat_tokens(texts)
+            sizes = np.diff(np.append(starts, len(tokens)))
+            h, idx, tf = [], [], []
+            for i, (lo, size) in enumerate(zip(starts, sizes)):
+                u, c = np.unique(tokens[lo : lo + size], return_counts=True)
                 h.append(u)
                 tf.append(c.astype(np.uint32))
                 idx.append(np.full(len(u), i, np.uint16))
-                if train[i]:
-                    pairs.append(pair_hashes(t))
+            pairs = pair_hashes(tokens, contexts(tokens, starts))[np.repeat(train, sizes)]
             prints = np.array([fingerprint(i, t) for i, t in zip(ids, texts)], np.int64)
             h, idx, tf = np.concatenate(h), np.concatenate(idx), np.concatenate(tf)
             order = np.argsort(h, kind="stable")
             h, idx, tf = h[order], idx[order], tf[order]
             u, first, many = np.unique(h, return_index=True, return_counts=True)
-            p, pc = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            p, pc = np.unique(pairs, return_counts=True)
             pc = pc.astype(np.uint32)
             many, flags = many.astype(np.uint32), np.packbits(train)
             edges = np.arange(shards + 1)
@@ -231,20 +245,20 @@ def _sum_group(key, rows):
     return pa.table({"print": pa.array(prints), "base": pa.array(base), "n_known": pa.array(known)})
 
 
-def score_tokens(tokens: np.ndarray, words: Filter, pairs: Filter, train_tokens: int, vocabulary: int) -> float:
-    """Sum over the tokens whose pair lies in ``pairs`` of log10 of their probability."""
-    h = pair_hashes(tokens)
-    mine = pairs.size[shard_of(h, pairs.shards)] > 0
-    if not mine.any():
-        return 0.0
-    before = np.concatenate(([START], tokens[:-1]))
-    own, context = words.counts(tokens), words.counts(before)
-    context[0] = words.counts(np.array([END]))[0]  # as many texts begin as end
+def score_tokens(tokens, starts, words: Filter, pairs: Filter, train_tokens: int, vocabulary: int) -> np.ndarray:
+    """For each text the sum of log10 probabilities of its tokens whose pair lies in ``pairs``."""
+    before = contexts(tokens, starts)
+    h = pair_hashes(tokens, before)
+    own = words.counts(tokens)
+    context = np.empty_like(own)
+    context[1:] = own[:-1]
+    context[starts] = words.counts(_END_ROW)[0]  # as many texts begin as end
     p = (own + 1) / (train_tokens + vocabulary + 1)
-    return float(np.log10(((pairs.counts(h) + M * p) / (context + M))[mine]).sum())
+    logs = np.log10((pairs.counts(h) + M * p) / (context + M))
+    return np.add.reduceat(np.where(pairs.size[shard_of(h, pairs.shards)] > 0, logs, 0.0), starts)
 
 
-def _score_pass(docs: DataFrame, shared, first: bool) -> DataFrame:
+def _score_pass(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         words, pairs, shards, n, v = shared.value
         unpack = lambda d: Filter({s: np.frombuffer(x, np.uint64) for s, x in d.items()}, shards)
@@ -253,9 +267,9 @@ def _score_pass(docs: DataFrame, shared, first: bool) -> DataFrame:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                tokens = [token_hashes(w) for w in hash_texts(texts)]
-                flat = [score_tokens(t, words, pairs, n, v) for t in tokens]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(i, t) for i, t in zip(ids, texts)], pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(list(map(len, tokens)), pa.int64()), pa.array(flat, pa.float64())], names=["doc_id", "print", "held_out", "n_tokens", "score"])
+                tokens, starts = flat_tokens(texts)
+                flat, sizes = score_tokens(tokens, starts, words, pairs, n, v), np.diff(np.append(starts, len(tokens)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(i, t) for i, t in zip(ids, texts)], pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(flat, pa.float64())], names=["doc_id", "print", "held_out", "n_tokens", "score"])
 
     return docs.mapInArrow(run, "doc_id long, print long, held_out boolean, n_tokens long, score double")
 
@@ -280,7 +294,7 @@ def score_documents(docs: DataFrame, pass_bytes: int = PASS_BYTES, shard_bytes:
 
     def one_pass():
         shared = sc.broadcast((words, dict(held), shards, n, v))
-        scored.append(cut(_score_pass(docs, shared, not scored)))
+        scored.append(cut(_score_pass(docs, shared)))
         shared.unpersist()
         held.clear()
 
