@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutgrove.llm import bpe, decontaminate, pii, quality
+from cutgrove.llm import bpe, decontaminate, near_dups, pii, quality
 from cutgrove.llm.common import table
 
 
@@ -14,6 +14,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, keep=tuple(docs.columns)).filter(F.col("score") >= 0.5).drop("score")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_one(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", keep_good), ("benchmark decontamination", drop_benchmark), ("personal data", redact), ("byte-level BPE", encode)]
+STAGES = [("quality classifier", keep_good), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", drop_benchmark), ("personal data", redact), ("byte-level BPE", encode)]
 #: Stages hold trained models and BPE, which SQL cannot express.
 ORACLE_SQL = None
 

@@ -175,3 +175,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK, text
     out = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the smallest doc_id stays, and of repeated rows one."""
+    found = cut(near_duplicates(docs, percent))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    near = lambda ids: F.broadcast(ids) if ids.count() <= 2 * BROADCAST_ROWS else ids
+    left = docs.join(near(gone), "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    twice = near(twice)
+    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, near_dups, ngram_bloom, pii, quality, url_rules
+from . import bpe, chat, decontaminate, hnsw, html, near_dups, ngram_bloom, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -46,6 +46,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -65,7 +69,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
+QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
 
 ORACLE = {
     "op3_chat": r"""
