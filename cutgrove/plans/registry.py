@@ -1,4 +1,14 @@
-"""All queries over the reference's own operators, with the SQL that checks them."""
+"""All queries over the reference's own operators, with the SQL that checks them.
+
+Every query reads whole tables. ``vox`` is the volume derived from ``events``, ``edges`` its region adjacency graph.
+"""
+
+from __future__ import annotations
+
+from . import edge_queries, graph_queries, volume_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (volume_queries, edge_queries, graph_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
