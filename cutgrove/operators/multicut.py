@@ -16,7 +16,7 @@ from .components import components
 
 
 def gaec(edges: list[tuple], lifted: list[tuple] = ()) -> dict[int, int]:
-    """Greedy additive contraction along local edges, heaviest first while not repulsive; ties by (u, v).
+    """Greedy additive contraction along local edges, heaviest first while not repulsive; ties by fewer neighbours, then (u, v).
 
     Lifted edges add their cost to a pair but never allow a contraction by themselves. Returns node -> smallest node.
     """
@@ -32,10 +32,10 @@ def gaec(edges: list[tuple], lifted: list[tuple] = ()) -> dict[int, int]:
                     if kind:
                         local[a].add(b)
     label = {a: a for a in cost}
-    heap = [(-c, u, v) for u in cost for v, c in cost[u].items() if u < v and v in local[u]]
+    heap = [(-c, len(cost[u]) + len(cost[v]), u, v) for u in cost for v, c in cost[u].items() if u < v and v in local[u]]
     heapq.heapify(heap)
     while heap:
-        c, u, v = heapq.heappop(heap)
+        c, _, u, v = heapq.heappop(heap)
         if u not in cost or v not in cost or v not in local[u] or cost[u].get(v) != -c:
             continue
         if c > 0:
@@ -52,7 +52,7 @@ def gaec(edges: list[tuple], lifted: list[tuple] = ()) -> dict[int, int]:
             if near:
                 local[keep].add(w)
                 local[w].add(keep)
-                heapq.heappush(heap, (-cost[keep][w], min(keep, w), max(keep, w)))
+                heapq.heappush(heap, (-cost[keep][w], len(cost[keep]) + len(cost[w]), min(keep, w), max(keep, w)))
         del cost[keep][gone]
         local[keep].discard(gone)
         local.pop(gone)

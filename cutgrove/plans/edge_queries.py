@@ -25,7 +25,9 @@ def query(name, sql=None):
     return add
 
 
-P = F.col("s") / (F.col("n") * 200000.0)
+def mean_p():
+    """Mean boundary probability of an edge."""
+    return F.col("s") / (F.col("n") * 200000.0)
 
 
 @query("jn1_rag_edges", WITH_EDGES + "SELECT u, v, n, kind FROM edges")
@@ -243,17 +245,17 @@ def ag36(spark, d):
 
 @query("sc1_clamp", WITH_EDGES + "SELECT u, v, round(0.998 * (s / (n * 200000.0)) + 0.001, 9) AS p FROM edges")
 def sc1(spark, d):
-    return edges(spark, d).select("u", "v", F.round(en.clamp(P), 9).alias("p"))
+    return edges(spark, d).select("u", "v", F.round(en.clamp(mean_p()), 9).alias("p"))
 
 
 @query("sc2_energy", WITH_EDGES + "SELECT u, v, round(e, 6) AS e, CASE WHEN e > 0 THEN 1 ELSE 0 END AS attractive FROM costs")
 def sc2(spark, d):
-    return edges(spark, d).withColumn("e", en.energy(P)).select("u", "v", F.round("e", 6).alias("e"), (F.col("e") > 0).cast("int").alias("attractive"))
+    return edges(spark, d).withColumn("e", en.energy(mean_p())).select("u", "v", F.round("e", 6).alias("e"), (F.col("e") > 0).cast("int").alias("attractive"))
 
 
 @query("sc3_affinity_energy", WITH_EDGES + "SELECT u, v, round(-e + ln(0.6 / 0.4), 6) AS e FROM costs")
 def sc3(spark, d):
-    return edges(spark, d).select("u", "v", F.round(en.affinity_energy(P, 0.4), 6).alias("e"))
+    return edges(spark, d).select("u", "v", F.round(en.affinity_energy(mean_p(), 0.4), 6).alias("e"))
 
 
 for _scheme, _sql in {
@@ -264,19 +266,19 @@ for _scheme, _sql in {
 
     @query(f"sc{dict(z=4, xyz=5, all=6)[_scheme]}_weight_{_scheme}", WITH_EDGES + f"SELECT u, v, round({_sql}, 6) AS e FROM costs")
     def weighed(spark, d, scheme=_scheme):
-        return en.weigh(edges(spark, d).withColumn("e", en.energy(P)), scheme).select("u", "v", F.round("e", 6).alias("e"))
+        return en.weigh(edges(spark, d).withColumn("e", en.energy(mean_p())), scheme).select("u", "v", F.round("e", 6).alias("e"))
 
 
 @query("sc7_masked_energy", WITH_EDGES + "SELECT u, v, round(CASE WHEN (u + v) % 7 = 0 THEN 2 * (SELECT min(e) FROM costs) ELSE e END, 6) AS e FROM costs")
 def sc7(spark, d):
-    e = edges(spark, d).withColumn("e", en.energy(P))
+    e = edges(spark, d).withColumn("e", en.energy(mean_p()))
     low = e.agg(F.min("e")).first()[0] or 0.0
     return e.select("u", "v", F.round(F.when((F.col("u") + F.col("v")) % 7 == 0, F.lit(2 * low)).otherwise(F.col("e")), 6).alias("e"))
 
 
 @query("sc9_balance", WITH_EDGES + "SELECT u, v, round(e / count(*) OVER (), 9) AS e FROM costs")
 def sc9(spark, d):
-    e = edges(spark, d).withColumn("e", en.energy(P))
+    e = edges(spark, d).withColumn("e", en.energy(mean_p()))
     return e.select("u", "v", F.round(F.col("e") / F.lit(e.count()), 9).alias("e"))
 
 
@@ -316,7 +318,7 @@ def sc19(spark, d):
 
 @query("mc19_costs_no_learning", WITH_EDGES + ", f AS (SELECT u, v, n, kind, 0.001 + 0.998 * (s / (n * 200000.0)) AS q FROM edges) SELECT u, v, round(ln(q / (1 - q)) * CASE WHEN kind = 0 THEN 16.0 * n / (SELECT max(n) FROM f WHERE kind = 0) ELSE 1 END, 6) AS e FROM f")
 def mc19(spark, d):
-    return en.weigh(edges(spark, d).withColumn("e", en.affinity_energy(P)), "z").select("u", "v", F.round("e", 6).alias("e"))
+    return en.weigh(edges(spark, d).withColumn("e", en.affinity_energy(mean_p())), "z").select("u", "v", F.round("e", 6).alias("e"))
 
 
 SUMS = ", c AS (SELECT seg AS a, gt AS b, count(*) AS n FROM vox GROUP BY seg, gt), ca AS (SELECT a, sum(n) AS n FROM c GROUP BY a), cb AS (SELECT b, sum(n) AS n FROM c GROUP BY b) "
@@ -342,7 +344,7 @@ def ag32(spark, d):
 
 @query("ag31_cut_energy", WITH_EDGES + "SELECT round(sum(CASE WHEN a.gt <> b.gt THEN e ELSE 0 END), 4) AS energy FROM costs c JOIN node_gt a ON c.u = a.seg JOIN node_gt b ON c.v = b.seg")
 def ag31(spark, d):
-    r = rag.ends(edges(spark, d).withColumn("e", en.energy(P)), rag.node_gt(vox(spark, d)), ("gt",))
+    r = rag.ends(edges(spark, d).withColumn("e", en.energy(mean_p())), rag.node_gt(vox(spark, d)), ("gt",))
     return r.agg(F.round(F.sum(F.when(F.col("gt_u") != F.col("gt_v"), F.col("e")).otherwise(0.0)), 4).alias("energy"))
 
 

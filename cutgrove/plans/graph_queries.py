@@ -25,11 +25,13 @@ def query(name, sql=None):
     return add
 
 
-P = F.col("s") / (F.col("n") * 200000.0)
+def mean_p():
+    """Mean boundary probability of an edge."""
+    return F.col("s") / (F.col("n") * 200000.0)
 
 
 def costs(spark, d, beta=0.5, scheme="none"):
-    e = en.weigh(edges(spark, d).withColumn("e", en.energy(P, beta)), scheme)
+    e = en.weigh(edges(spark, d).withColumn("e", en.energy(mean_p(), beta)), scheme)
     return e.select("u", "v", "n", "kind", F.col("e").alias("cost"))
 
 
