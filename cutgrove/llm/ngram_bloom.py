@@ -163,7 +163,7 @@ def _unpack(raw: bytes, *types) -> list[np.ndarray]:
 
 
 def _gather(docs: DataFrame, shards: int) -> DataFrame:
-    """Packed rows (shard, gid, data) of every group; shard -1 holds the group's fingerprints."""
+    """Packed rows (shard, gid, data) of every group; negative shards, dealt by group, hold the fingerprints."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -195,7 +195,7 @@ def _gather(docs: DataFrame, shards: int) -> DataFrame:
             for s in range(shards):
                 a, b = at[su[s]], at[su[s + 1]]
                 rows.append(_pack(np.array([len(ids)], np.int64), flags, u[su[s] : su[s + 1]], many[su[s] : su[s + 1]], idx[a:b], tf[a:b], p[sp[s] : sp[s + 1]], pc[sp[s] : sp[s + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, shards), pa.int32()), pa.array([gid] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "gid", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - gid % 4096, *range(shards)], pa.int32()), pa.array([gid] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "gid", "data"])
 
     return docs.mapInArrow(run, "shard int, gid long, data binary")
 
