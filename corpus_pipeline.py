@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cutgrove.llm import bpe, decontaminate, near_dups, pii, quality
 from cutgrove.llm.common import table
@@ -11,7 +10,7 @@ from cutgrove.llm.common import table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, keep=tuple(docs.columns)).filter(F.col("score") >= 0.5).drop("score")
+    return quality.keep_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cutgrove.session import cut
 
-__all__ = ["cut", "parts", "table"]
+__all__ = ["cut", "parts", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,3 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows that Spark hands to a Python worker at once: whole texts are long, so the default of 10,000 rows holds much memory.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

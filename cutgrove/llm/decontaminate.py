@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 RATE = 0.05
 CHUNK_CHARS = 2_000_000
 
@@ -97,7 +99,7 @@ class Matcher:
         return [(self.items[n][0], d, end) for n, (d, end) in sorted(best.items())]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(items: tuple, rate: float) -> Matcher:
     return Matcher(list(items), rate)
 
@@ -121,6 +123,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("item_id", "long").add("distance", "integer").add("end_char", "integer")
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
 
     def one(items):
         shared = sc.broadcast(items)
@@ -147,6 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The document rows that hold no benchmark item, in one pass a chunk and without a join."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     for items in _chunks(benchmark, chunk_chars):
         shared, at = sc.broadcast(items), docs.columns.index("text")
 

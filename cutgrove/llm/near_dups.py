@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from cutgrove.operators.components import components
 
-from .common import cut
+from .common import cut, small_batches
 from .words import hash_texts, shingles
 
 COORDINATES = 48
@@ -163,6 +163,7 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int, least: int, block: in
 
 def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept; a row for each row of docs."""
+    small_batches(docs.sparkSession)
     least = least_matches(percent)
     rows = cut(hashed(docs.select("doc_id", text), ("doc_id",), text))
     reps = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("key"), F.first("sig").alias("sig")))

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MAX_ROWS = 3000
 DICT_BYTES = 512 << 10
 BLOCK = 1 << 10
@@ -98,7 +100,7 @@ def fit(rows: list[tuple], share: float = 0.5, block: int = BLOCK, dict_bytes: i
     return model
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _compressor(good: bytes, bad: bytes, block: int) -> Compressor:
     return Compressor(good, bad, block)
 
@@ -121,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns and score, a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("score", "double")
@@ -131,3 +134,15 @@ def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs with a score of at least ``least``; the text passes through Python once."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(shared.value, t.as_py() or "") >= least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
