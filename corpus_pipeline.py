@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cutgrove.llm import bpe, decontaminate, near_dups, pii, quality
 from cutgrove.llm.common import table
+from cutgrove.session import checkpoint_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage but the last goes to the shared checkpoint folder: no stage computes the ones before it again."""
+    checkpoint_dir(spark)
+    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
+        if k:
+            docs.write.parquet(f"{shared}/{k}")
+            docs = spark.read.parquet(f"{shared}/{k}")
         docs = stage(spark, docs, sf_dir)
     return docs
