@@ -1,5 +1,7 @@
 """Literal graph fixtures with known answers."""
 
+import random
+
 from cutgrove.operators import graphs, multicut
 from cutgrove.operators.components import components
 
@@ -53,6 +55,18 @@ def test_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_components_with_hubs(spark):
+    r = random.Random(3)
+    pairs = [(500, i) for i in range(0, 900, 3)] + [(1, i) for i in range(1, 900, 3)] + [(r.randrange(2000, 2600), r.randrange(2000, 2600)) for _ in range(300)]
+    low = {}
+    find = lambda x: x if low.setdefault(x, x) == x else find(low[x])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        low[b] = a
+    got = components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {x.node: x.component for x in got.collect()} == {x: find(x) for x in list(low)}
+
+
 def test_bridges_and_cut_vertices():
     found, cuts = graphs.lowlink([(0, 1), (0, 2), (1, 3), (2, 4), (2, 5), (4, 6), (5, 6)])
     assert found == [(0, 1), (0, 2), (1, 3)] and cuts == [0, 1, 2]
