@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .words import hash_texts, mix
 
 GROUP_BYTES = 8 << 20
@@ -195,7 +195,7 @@ def _gather(docs: DataFrame, shards: int) -> DataFrame:
             for s in range(shards):
                 a, b = at[su[s]], at[su[s + 1]]
                 rows.append(_pack(np.array([len(ids)], np.int64), flags, u[su[s] : su[s + 1]], many[su[s] : su[s + 1]], idx[a:b], tf[a:b], p[sp[s] : sp[s + 1]], pc[sp[s] : sp[s + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - gid % 4096, *range(shards)], pa.int32()), pa.array([gid] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "gid", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - (part * 4096 + n) % (1 << 24), *range(shards)], pa.int32()), pa.array([gid] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "gid", "data"])
 
     return docs.mapInArrow(run, "shard int, gid long, data binary")
 
@@ -277,6 +277,7 @@ def _score_pass(docs: DataFrame, shared) -> DataFrame:
 def score_documents(docs: DataFrame, pass_bytes: int = PASS_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(size / shard_bytes))
