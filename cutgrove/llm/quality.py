@@ -2,9 +2,10 @@
 
 Each text is cut into blocks of ``block`` bytes; every block is compressed once with either dictionary (raw content of
 labelled texts) and the difference of the summed sizes, divided by the text's bytes, becomes a score through a logistic
-calibration. The dictionaries hold ``dict_bytes`` each, cut evenly from at most ``max_rows`` labelled texts a class in
-the order of a hash of their ids; the calibration is fitted on at most as many other labelled texts. Only label and
-text are inputs.
+calibration. Only the rows of the sample are bounded: the dictionaries are filled from at most ``max_rows`` labelled texts
+a class, drawn by a hash of their ids, and the calibration is fitted on at most as many other whole labelled texts. Texts
+are whole in the dictionaries where those of either class fit into ``dict_bytes``; otherwise both classes give the same
+bytes per text, in pieces at hash-chosen offsets over whole texts. Only label and text are inputs.
 
 Null texts count as empty. An empty text gets the score of a zero difference. Where a class has no labelled text the
 score is the share of good labels (0.5 without any). Repeated rows stay.
@@ -28,19 +29,16 @@ MAX_ROWS = 3000
 DICT_BYTES = 512 << 10
 BLOCK = 1 << 10
 LEVEL = 3
-#: Bytes of one labelled text that go into a dictionary or the calibration.
-SAMPLE_BYTES = 4096
 
 
 def sample_labelled(docs: DataFrame, pairs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple]:
-    """(label, text) of at most 2 * max_rows ids a class, texts cut to SAMPLE_BYTES.
+    """(label, text) of at most 2 * max_rows ids a class, with whole texts.
 
     Ids are drawn from the labels alone, by hash; the drawn ids, of bounded number, are broadcast to fetch their texts.
     """
     drawn = [pairs.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows) for k in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])
-    text = F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_BYTES))
-    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = [(r["label"], r["text"], r["doc_id"]) for r in found.toLocalIterator()]
     return [r[:2] for r in sorted(rows, key=lambda r: (r[0], zlib.crc32(str(r[2]).encode()), r[2]))]
 
@@ -68,9 +66,34 @@ class Compressor:
         return total / len(raw)
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    share = max(64, size // max(1, len(texts)))
-    return b"\n".join(t.encode("utf-8", "replace")[:share] for t in texts)[:size] or b"\n" * 8
+def common_share(classes: list[list[bytes]], size: int) -> int:
+    """The most bytes that every text may give (shorter ones give all) so that each class fits into ``size``."""
+    lengths = [np.array([len(t) for t in texts]) for texts in classes]
+    low, high = 1, max(int(n.max()) for n in lengths)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if all((np.minimum(n, mid) + (n > mid) * (mid // BLOCK) + 1).sum() <= size for n in lengths):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def pieces(raw: bytes, share: int) -> list[bytes]:
+    """The text if it has at most ``share`` bytes, else ``share`` bytes in pieces of about BLOCK, each at a hash-chosen offset in its stretch."""
+    if len(raw) <= share:
+        return [raw]
+    n, h = max(1, share // BLOCK), zlib.crc32(raw)
+    out = []
+    for i in range(n):
+        lo, hi, k = len(raw) * i // n, len(raw) * (i + 1) // n, share * (i + 1) // n - share * i // n
+        at = lo + zlib.crc32(b"%d" % i, h) % max(1, hi - lo - k + 1)
+        out.append(raw[at : at + k])
+    return out
+
+
+def _dictionary(raws: list[bytes], share: int) -> bytes:
+    return b"\n".join(p for raw in raws for p in pieces(raw, share)) or b"\n" * 8
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 60) -> tuple[float, float, float, float]:
@@ -93,7 +116,9 @@ def fit(rows: list[tuple], share: float = 0.5, block: int = BLOCK, dict_bytes: i
     if not by[0] or not by[1]:
         n = len(by[0]) + len(by[1])
         return {"constant": len(by[1]) / n if n else 0.5}
-    model = {"good": _dictionary(by[1][::2], dict_bytes), "bad": _dictionary(by[0][::2], dict_bytes), "block": block}
+    good, bad = ([t.encode("utf-8", "replace") for t in by[k][::2]] for k in (1, 0))
+    each = common_share([good, bad], dict_bytes)
+    model = {"good": _dictionary(good, each), "bad": _dictionary(bad, each), "block": block}
     c = Compressor(model["good"], model["bad"], block)
     held = [(k, t) for k in (0, 1) for t in (by[k][1::2] or by[k])]
     model["line"] = logistic(np.array([c.difference(t) for _, t in held]), np.array([k for k, _ in held]), share)

@@ -207,6 +207,29 @@ def test_quality_on_held_out_rows(spark):
     assert quality.train(docs, labels.limit(0)) == {"constant": 0.5}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    # all texts share a head of 5,000 characters; only what follows tells good from bad
+    head = " ".join(made(40, 8))[:5000].ljust(5000, "x")
+    tails = made(2000, 9)
+    docs = spark.createDataFrame([(i, head + (" ".join(tails[20 * i : 20 * i + 20]) if i < 100 else "BUY!! now $$$ " * 200), 0.0) for i in range(200)], DOCS)
+    labels = spark.range(200).selectExpr("id doc_id", "cast(id < 100 as int) quality")
+    model = quality.train(docs, labels)
+    assert b"BUY!!" in model["bad"]
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i < 100) for i in range(200)]) > 0.9
+
+
+def test_quality_dictionaries_take_the_same_bytes_of_both_classes():
+    rows = [(1, f"g{i} " + "good " * 2000) for i in range(400)] + [(0, f"b{i} " + "bad " * 2500) for i in range(20)]
+    for size in (30_000, 100_000, 400_000):
+        model = quality.fit(rows, dict_bytes=size)
+        assert abs(len(model["good"]) / 200 - len(model["bad"]) / 10) <= 1 and len(model["good"]) <= size
+    whole = quality.fit(rows, dict_bytes=4 << 20)
+    assert len(whole["bad"]) == sum(len(t) + 1 for k, t in rows[400::2]) - 1
+    at = [raw.find(quality.pieces(raw, 100)[0]) for raw in (bytes(np.random.default_rng(i).integers(0, 256, 5000, np.uint8)) for i in range(50))]
+    assert min(at) < 1000 and max(at) > 4000 and len(set(at)) > 40
+
+
 def test_hnsw_against_brute_force(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 16)).astype(np.float32)
