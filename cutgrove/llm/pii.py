@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose overlapping spans: every base pattern match (kept always), key-value secrets, long
-mixed tokens, grouped numbers and account codes. Boosted trees read the format of a span and its context and give a
+High-recall generators read the whole text and propose overlapping spans: every base pattern match (kept always),
+key-value secrets and tokens of any length, with or without digits, grouped numbers and account codes. Boosted trees read the format of a span and its context and give a
 probability; per-kind thresholds, calibrated on held-out examples for a wanted precision, select redactions. Of
 overlapping selected spans that are not base matches the likeliest stays. The trees are trained here on examples made
 by rule from a seed.
@@ -16,6 +16,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -72,44 +73,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-GAP = re.compile(r"\s")
 ACCESS = "AKIA"
-VALUE = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|key)["']?\s{0,3}[=:]\s{0,3}["']?([^\s"',;]{4,200})""")
-TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{12,200}")
+SEPARATOR = re.compile("[=:]")
+#: A key word right before a separator, at the end of the LEAD characters there.
+KEYWORD = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|key)["']?\s{0,3}\Z""")
+LEAD = 12
+VALUE = re.compile(r"""\s{0,3}["']?([^\s"',;]{4,})""")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{12,}+")
+KEY = re.compile(r"[A-Za-z0-9_+/=-]{12,20}")
 GROUPS = re.compile(r"[0-9(][0-9 ().-]{5,40}[0-9]")
 ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 
 
-def regions(text: str):
-    """Parts of the text around each chunk that holds a digit or the mark of an access key: all that generators look at."""
-    at = text.find(ACCESS)
-    while at >= 0:
-        yield at, at, at + 20
-        at = text.find(ACCESS, at + 4)
+def values(text: str):
+    """(start, end) of what stands behind a key word and a separator, outermost values only; linear in the text."""
     done = 0
-    while m := DIGIT.search(text, done):
-        start = max(done, text.rfind(" ", done, m.start()) + 1, text.rfind("\n", done, m.start()) + 1)
-        stop = m.end()
-        while (g := GAP.search(text, stop)) and DIGIT.search(text, g.end(), g.end() + 12) and g.end() - start < 400:
-            nxt = GAP.search(text, g.end())
-            stop = nxt.start() if nxt else len(text)
-        stop = g.start() if g else len(text)
-        lead = max(0, start - 24)
-        yield lead, start, stop
-        done = max(stop, m.end())
+    for m in SEPARATOR.finditer(text):
+        at = m.start()
+        if at >= done - 1 and KEYWORD.search(text, max(0, at - LEAD), at) and (v := VALUE.match(text, at + 1)):
+            done = v.end()
+            yield v.span(1)
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    found = set()
-    for lead, start, stop in regions(text):
-        for m in VALUE.finditer(text, lead, stop):
-            if m.end() > start:
-                found.add(("secret", *m.span(1)))
-        for m in TOKEN.finditer(text, start, stop):
+    found = {("secret", *span) for span in values(text)}
+    found |= {("secret", *m.span()) for m in TOKEN.finditer(text)}
+    at = text.find(ACCESS)
+    while at >= 0:
+        if m := KEY.match(text, at, at + 20):
             found.add(("secret", *m.span()))
+        at = text.find(ACCESS, at + 4)
+    if DIGIT.search(text) is not None:
         for pattern in (GROUPS, ACCOUNT):
-            for m in pattern.finditer(text, start, stop):
-                found.add(("ident", *m.span()))
+            found |= {("ident", *m.span()) for m in pattern.finditer(text)}
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -140,6 +136,7 @@ def examples(seed: int = 7, n: int = 1500) -> list[tuple[str, list[float], int]]
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, alnum, digits = "0123456789abcdef", string.ascii_letters + string.digits, string.digits
     words = lambda k: " ".join(pick(string.ascii_lowercase, r.randint(2, 9)) for _ in range(k))
+    plain = lambda k: "".join(pick(string.ascii_lowercase, r.randint(3, 9)) for _ in range(k))
     good = (
         lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16),
         lambda: f"{r.choice(('password', 'passwd', 'pwd', 'Password'))}{r.choice(('=', ': ', ' = '))}{pick(r.choice((hexa, alnum)), r.randint(8, 24))}",
@@ -150,6 +147,11 @@ def examples(seed: int = 7, n: int = 1500) -> list[tuple[str, list[float], int]]
         lambda: f"{r.choice(('tel', 'phone', 'call'))} ({pick('23456789', 3)}) {pick(digits, 3)}-{pick(digits, 4)}",
         lambda: f"({pick('23456789', 3)}) {pick(digits, 3)}-{pick(digits, 4)}",
         lambda: r.choice(("DE", "FR", "ES", "GB")) + pick(digits, 2) + "".join(r.choice(("", " ")) + pick(digits, 4) for _ in range(4)) + pick(digits, 2),
+        lambda: f"{r.choice(('password', 'passwd', 'pwd', 'Password'))}{r.choice(('=', ': ', ' = '))}{r.choice((plain(r.randint(2, 4)), pick(string.ascii_letters, r.randint(8, 24))))}",
+        lambda: f"{r.choice(('token', 'secret', 'api_key', 'key'))}{r.choice(('=', ' = ', ': '))}\"{pick(string.ascii_letters, r.randint(12, 48))}\"",
+        lambda: "AKIA" + pick(string.ascii_uppercase, 16),
+        lambda: r.choice(("ghp_", "sk-", "xoxb-")) + pick(string.ascii_letters, r.randint(20, 40)),
+        lambda: f"{r.choice(('password', 'token', 'secret', 'api_key', 'key'))}{r.choice(('=', ': '))}{pick(alnum + '+/', r.randint(100, 600))}",
     )
     bad = (
         lambda: f"{r.choice(('version', 'v'))} {r.randint(1, 20)}.{r.randint(0, 30)}.{r.randint(0, 9)}",
@@ -163,6 +165,15 @@ def examples(seed: int = 7, n: int = 1500) -> list[tuple[str, list[float], int]]
         lambda: f"{r.randint(0, 9)}.{pick(digits, 6)} {r.randint(0, 9)}.{pick(digits, 6)}",
         lambda: f"{pick(digits, 2)}:{pick(digits, 2)}:{pick(digits, 2)} {pick(digits, 2)}.{pick(digits, 2)}.{r.randint(1990, 2030)}",
         lambda: f"({r.randint(1900, 2030)}) {pick(digits, 2)}-{pick(digits, 2)}",
+        lambda: pick(string.ascii_lowercase, r.randint(12, 24)).replace("q", "e"),
+        lambda: pick(string.ascii_lowercase, r.randint(12, 24)).capitalize(),
+        lambda: pick(string.ascii_uppercase, r.randint(12, 20)),
+        lambda: r.choice("-_/").join(words(1) for _ in range(r.randint(2, 5))).ljust(12, "e"),
+        lambda: "".join(words(1).capitalize() for _ in range(r.randint(2, 4))).ljust(12, "e"),
+        lambda: r.choice("-=_/+") * r.randint(12, 80),
+        lambda: f"{words(1)} {pick(digits, r.randint(12, 24))}",
+        lambda: f"{r.choice(('key', 'token', 'secret', 'Key'))}: {words(1).ljust(4, 'e')}",
+        lambda: f"https://{words(1)}.example.com/{words(1)}/{words(1)}/{words(1)}",
     )
     out = []
     for label, makers in ((1, good), (0, bad)):
@@ -170,11 +181,11 @@ def examples(seed: int = 7, n: int = 1500) -> list[tuple[str, list[float], int]]
             made = makers[i % len(makers)]()
             text = f"{words(r.randint(0, 4))} {made} {words(r.randint(0, 4))}".strip()
             at = text.find(made)
-            core = VALUE.fullmatch(made)
+            core = next(values(made), None)
             for kind, a, b in candidates(text):
                 if b <= at or a >= at + len(made):
                     continue
-                whole = (a, b) == (tuple(x + at for x in core.span(1)) if core else (at, at + len(made)))
+                whole = (a, b) == (tuple(x + at for x in core) if core else (at, at + len(made)))
                 if label and not whole and not (made[0] in "tpc" and b == at + len(made)):
                     continue
                 out.append((kind, features(text, kind, a, b), label))
@@ -235,24 +246,29 @@ def probability(model: dict, row) -> float:
     return 1 / (1 + math.exp(-model["rate"] * sum(_leaf(t, row) for t in model["trees"])))
 
 
+def _free(spans: list, a: int, b: int) -> bool:
+    """Whether [a, b) meets none of the sorted, disjoint spans."""
+    i = bisect_left(spans, (b,))
+    return i == 0 or spans[i - 1][1] <= a
+
+
 def all_spans(text: str, model: dict) -> tuple[list, list]:
     """Base spans and the spans that the method adds."""
     base = base_spans(text)
-    if DIGIT.search(text) is None and ACCESS not in text:
-        return base, []
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            a, b = taken[-1][0], max(b, taken.pop()[1])
+        taken.append((a, b))
     scored = []
     for kind, a, b in candidates(text):
-        if any(a < d and c < b for c, d in taken):
-            continue
-        p = probability(model, features(text, kind, a, b))
-        if p >= model["least"][kind]:
+        if _free(taken, a, b) and (p := probability(model, features(text, kind, a, b))) >= model["least"][kind]:
             scored.append((-p, a - b, a, b, kind))
-    added: list[tuple[str, int, int]] = []
+    added: list[tuple[int, int, str]] = []
     for _, _, a, b, kind in sorted(scored):
-        if not any(a < d and c < b for _, c, d in added):
-            added.append((kind, a, b))
-    return base, sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))
+        if _free(added, a, b):
+            insort(added, (a, b, kind))
+    return base, sorted(((k, a, b) for a, b, k in added), key=lambda s: (ADDED.index(s[0]), s[1]))
 
 
 def joined(spans: list) -> str:

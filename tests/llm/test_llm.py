@@ -194,6 +194,26 @@ def test_pii_spans_and_redaction(spark):
     assert red[1] == "mail [EMAIL] pay [CARD] password=[SECRET] key [SECRET] on version 2.10.3" and red[2] is None and red[3] == ""
 
 
+def test_pii_generators_read_whole_texts(spark):
+    long = "Ab3dE" * 120
+    texts = ["password=correcthorsebattery", 'use token: "QwErTyUiOpAsDfGh" here', "on 12 May password=correcthorsebattery was set", f"secret={long} end", f"{long}x end", "key: important extraordinarily misunderstanding order 4661320592814900"]
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], DOCS)
+    red = [r.text for r in pii.redact_pii(df).orderBy("doc_id").collect()]
+    assert red[:3] == ["password=[SECRET]", 'use token: "[SECRET]" here', "on 12 May password=[SECRET] was set"] and red[4:] == ["[SECRET] end", texts[5]]
+    assert red[3] in ("secret=[SECRET] end", "[SECRET] end")  # whether the key word goes too is up to the trees
+
+
+def test_pii_values_against_one_pattern():
+    whole = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|key)["']?\s{0,3}[=:]\s{0,3}["']?([^\s"',;]{4,})""")
+    r = random.Random(2)
+    for _ in range(20000):
+        t = "".join(r.choice(("key", "token", "Password", "api_", "pass", "=", ":", " ", "\n", '"', "ab", "Cd", "7")) for _ in range(r.randint(0, 14)))
+        got = list(pii.values(t))
+        assert {m.span(1)[1] for m in whole.finditer(t)} <= {b for _, b in got}, t
+        assert all(any(m.span(1) == s for m in (whole.match(t, i) for i in range(len(t))) if m) for s in got), t
+    assert len(list(pii.values("key=" * 50_000))) <= 2
+
+
 def test_quality_on_held_out_rows(spark):
     good = made(200, 6)
     bad = [(t.split()[0] + " ") * 30 if i % 2 else t.upper().replace(" ", "!! ") for i, t in enumerate(made(200, 7))]
