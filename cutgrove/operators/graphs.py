@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +29,19 @@ def k_hop(edges: DataFrame, upper: int, lower: int = 1) -> DataFrame:
     return reached.filter((F.col("hops") > lower) & (F.col("u") < F.col("v")))
 
 
-def distances(edges: DataFrame, source: int, rounds: int = 100, cost: str | None = None) -> DataFrame:
-    """(node, dist) from one source: hop counts, or path costs of not negative edges; stops when nothing improves."""
+def distances(edges: DataFrame, source: int, hops: int | None = None, cost: str | None = None, limit: int = 100_000) -> DataFrame:
+    """(node, dist) from one source: hop counts, or path costs of not negative edges, over paths of at most ``hops`` edges if given.
+
+    Runs until nothing improves, one round a hop; raises where that takes more than ``limit`` rounds.
+    """
     step = cut(both_ways(edges.withColumn("c", F.col(cost) if cost else F.lit(1)), "c").groupBy("u", "v").agg(F.min("c").alias("c")))
     kind = step.schema["c"].dataType
     best = frontier = edges.sparkSession.createDataFrame([(source,)], "node long").withColumn("dist", F.lit(0).cast(kind))
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == hops:
+            break
+        if done == limit:
+            raise RuntimeError(f"distances still improve after {limit} rounds")
         offered = frontier.join(step, frontier.node == step.u).groupBy(F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("c")).alias("new"))
         joined = cut(best.join(offered, "node", "full"))
         frontier = joined.filter("new is not null and (dist is null or new < dist)").select("node", F.col("new").alias("dist"))

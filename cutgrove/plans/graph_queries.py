@@ -55,12 +55,12 @@ def gr4(spark, d):
 
 @query("gr1_bfs", WITH_EDGES + ", e2 AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), b AS (SELECT 0::BIGINT AS node, 0 AS dist UNION SELECT e2.v, dist + 1 FROM b JOIN e2 ON b.node = e2.u WHERE dist < 6) SELECT node, min(dist) AS dist FROM b GROUP BY node")
 def gr1(spark, d):
-    return graphs.distances(edges(spark, d).select("u", "v"), 0, rounds=6)
+    return graphs.distances(edges(spark, d).select("u", "v"), 0, hops=6)
 
 
 @query("gr7_dijkstra")
 def gr7(spark, d):
-    return graphs.distances(gt_edges(spark, d), 0, cost="n")
+    return graphs.distances(edges(spark, d).select("u", "v", "n"), 0, cost="n")
 
 
 @query("jn10_khop", WITH_EDGES + """, e2 AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), h2 AS (SELECT DISTINCT a.u, b.v FROM e2 a JOIN e2 b ON a.v = b.u WHERE a.u < b.v), h3 AS (SELECT DISTINCT a.u, c.v FROM e2 a JOIN e2 b ON a.v = b.u JOIN e2 c ON b.v = c.u WHERE a.u < c.v),

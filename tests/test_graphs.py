@@ -98,3 +98,37 @@ def test_grid_path_prefers_cheap_voxels():
     cost = {(x, y, 0): 10.0 if x == 1 and y < 2 else 1.0 for x in range(3) for y in range(3)}
     assert graphs.grid_path(cost, (0, 0, 0), (2, 0, 0)) == [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 0), (2, 2, 0), (2, 1, 0), (2, 0, 0)]
     assert graphs.grid_path({(0, 0, 0): 1.0, (5, 5, 5): 1.0}, (0, 0, 0), (5, 5, 5)) == []
+
+
+def test_distances_run_until_nothing_improves(spark):
+    n = 105
+    chain = spark.range(n).selectExpr("id u", "id + 1 v")
+    assert {r.node: r.dist for r in graphs.distances(chain, 0).collect()} == {i: i for i in range(n + 1)}
+    assert {r.node: r.dist for r in graphs.distances(chain, 0, hops=3).collect()} == {i: i for i in range(4)}
+    try:
+        graphs.distances(chain, 0, limit=4)
+    except RuntimeError:
+        return
+    raise AssertionError("unfinished distances were returned")
+
+
+def test_shortest_paths_against_relaxation(spark):
+    r = random.Random(5)
+    rows = [(i, i + 1, r.randint(1, 9)) for i in range(20)] + [(r.randint(0, 20), r.randint(0, 20), r.randint(0, 30)) for _ in range(15)]
+    got = {x.node: x.dist for x in graphs.distances(spark.createDataFrame(rows, "u long, v long, n long"), 0, cost="n").collect()}
+    want = {0: 0} | {i: 10**9 for i in range(1, 21)}
+    for _ in range(21):
+        for u, v, c in rows:
+            want[v] = min(want[v], want[u] + c)
+            want[u] = min(want[u], want[v] + c)
+    assert got == want
+
+
+def test_dijkstra_query_reaches_the_whole_graph(spark, monkeypatch):
+    from cutgrove.plans import graph_queries
+
+    # three objects of two nodes: edges between objects count too
+    rows = spark.createDataFrame([(0, 1, 3), (1, 2, 4), (2, 3, 1), (3, 4, 1), (4, 5, 2), (0, 2, 9)], "u long, v long, n long")
+    monkeypatch.setattr(graph_queries, "edges", lambda s, d: rows)
+    monkeypatch.setattr(graph_queries, "gt_edges", lambda s, d: rows.filter("u % 2 = 0 and v = u + 1"))
+    assert {r.node: r.dist for r in graph_queries.QUERIES["gr7_dijkstra"](spark, "").collect()} == {0: 0, 1: 3, 2: 7, 3: 8, 4: 9, 5: 11}
