@@ -82,8 +82,10 @@ def gr18(spark, d):
 @query("jn11_far_pairs", WITH_EDGES + ", m AS (SELECT seg FROM nodes WHERE seg < 30), near AS (SELECT u, v FROM edges UNION SELECT a.u, b.v FROM (SELECT u, v FROM edges UNION SELECT v, u FROM edges) a JOIN (SELECT u, v FROM edges UNION SELECT v, u FROM edges) b ON a.v = b.u) SELECT a.seg AS u, b.seg AS v FROM m a JOIN m b ON a.seg < b.seg WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.u = a.seg AND near.v = b.seg)")
 def jn11(spark, d):
     near = graphs.k_hop(edges(spark, d).select("u", "v"), 2, 0).select("u", "v")
-    # the complement of 30 given nodes: a list per node instead of a theta join
-    nodes = spark.range(30).select(F.col("id").alias("u"), F.explode(F.sequence(F.col("id") + 1, F.greatest(F.col("id") + 1, F.lit(29)))).alias("v")).filter("v < 30")
+    # the SQL asks for the nodes below 30: those that the volume has, each with a list of the later ones instead of a theta join
+    some = vox(spark, d).filter("seg < 30").select("seg").distinct()
+    listed = some.agg(F.sort_array(F.collect_list("seg")).alias("all"))
+    nodes = listed.select(F.explode("all").alias("u"), "all").select("u", F.explode(F.filter("all", lambda v: v > F.col("u"))).alias("v"))
     return nodes.join(near, ["u", "v"], "left_anti")
 
 
