@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; a local one only where none is set (tests on one machine)."""
+    """Use the folder in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cutgrove-checkpoints"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cutgrove-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:

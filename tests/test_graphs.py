@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from cutgrove.operators import graphs, multicut
-from cutgrove.operators.components import components
+from cutgrove.operators.components import components, contract
 
 F1 = [(0, 1, 5.0), (0, 3, -20.0), (1, 2, 5.0), (1, 4, 5.0), (2, 5, -20.0), (3, 4, 5.0), (4, 5, 5.0)]
 K5 = [(0, 1, 10.0), (0, 2, -1.0), (0, 3, -1.0), (0, 4, -1.0), (1, 2, 10.0), (1, 3, -1.0), (1, 4, 4.0), (2, 3, -1.0), (2, 4, -1.0), (3, 4, 10.0)]
@@ -55,6 +57,24 @@ def test_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_contraction_against_union_find():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 50, 400):
+        for _ in range(20):
+            a, b = r.integers(0, n, (2, r.integers(1, 2 * n + 1)))
+            low = {x: x for x in {*a.tolist(), *b.tolist()}}
+            for _ in low:
+                for x, y in zip(a.tolist(), b.tolist()):
+                    low[x] = low[y] = min(low[x], low[y])
+            got = dict(zip(*(x.tolist() for x in contract(a, b))))
+            assert got == {x: k for x, k in low.items() if x != k}
+
+
+def test_components_of_strings(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y"), ("x", "z"), ("q", "q")], "a string, b string")
+    assert {x.node: x.component for x in components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x", "q": "q"}
+
+
 def test_components_with_hubs(spark):
     r = random.Random(3)
     pairs = [(500, i) for i in range(0, 900, 3)] + [(1, i) for i in range(1, 900, 3)] + [(r.randrange(2000, 2600), r.randrange(2000, 2600)) for _ in range(300)]
