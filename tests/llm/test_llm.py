@@ -250,20 +250,68 @@ def test_quality_dictionaries_take_the_same_bytes_of_both_classes():
     assert min(at) < 1000 and max(at) > 4000 and len(set(at)) > 40
 
 
+def vectors_by_force(rows, least=0.9):
+    """(n_links, component_id, kept) for each (id, unit vector or None) of distinct ids."""
+    ids = [i for i, v in rows if v is not None]
+    u = np.array([v for _, v in rows if v is not None], np.float64)
+    u /= np.abs(u).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= least
+    np.fill_diagonal(link, False)
+    low = np.array(ids)
+    while (new := np.minimum(low, np.where(link, low[None], low[:, None]).min(1))).tolist() != low.tolist():
+        low = new
+    out = {i: (0, i, True) for i, _ in rows}
+    return out | {i: (int(n), int(k), i == k) for i, n, k in zip(ids, link.sum(1), low)}
+
+
 def test_hnsw_against_brute_force(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 16)).astype(np.float32)
     x = np.concatenate([x, x[:40] + r.normal(size=(40, 16)).astype(np.float32) * 0.1, np.repeat(x[:1], 30, 0) + r.normal(size=(30, 16)).astype(np.float32) * 0.02, x[5:7]])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {t.vec_id: t for t in hnsw.near_vectors(df).collect()}
-    u = x.astype(np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    link = u @ u.T >= 0.9
-    want = link.sum(1) - 1
-    found = np.array([got[i].n_links for i in range(len(x))])
-    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
-    assert all(got[i].n_links == 0 and got[i].component_id == i for i in (900, 901, 902, 903, 904)) and len(got) == len(rows)
+    good = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows = good + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, []), (905, [None] * 16), (906, [float("inf")] * 16)]
+    df = spark.createDataFrame([(*t, 0, 0) for t in rows], "vec_id long, embedding array<float>, n_links int, part int")
+    got = {t.vec_id: (t.n_links, t.component_id, t.kept) for t in hnsw.near_vectors(df).collect()}
+    assert got == vectors_by_force(good + [(i, None) for i in range(900, 907)])
+    assert hnsw.near_vectors(df).agg(F.min("audited_recall")).first()[0] >= hnsw.AUDIT_RECALL
+    assert hnsw.near_vectors(df.limit(0)).count() == 0
+
+
+def test_hnsw_in_double_precision_with_null_and_repeated_ids(spark):
+    big = [[1e300, 2e300], [0.8e308, 1.59e308], [-1e-320, 1e-320], [5.0, -5.0], [3.0, 0.0]]
+    df = spark.createDataFrame([*enumerate(big), (None, big[0]), (None, None), (4, big[4])], "vec_id long, embedding array<double>")
+    got = sorted(((t.vec_id, t.n_links, t.component_id, t.kept) for t in hnsw.near_vectors(df).collect()), key=str)
+    assert got == sorted([(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((t.vec_id, t.n_links, t.component_id) for t in hnsw.near_vectors(twice).collect())
+    assert {g[2] for g in got} == {1} and got[2] == (2, 1, 1)
+
+
+def test_hnsw_sweeps_a_cluster_of_thousands(spark):
+    import time
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(size=(2000, 32)), r.normal(size=32) + 0.05 * r.normal(size=(3000, 32)), np.repeat(r.normal(size=(1, 32)), 600, 0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    start = time.time()
+    got = {t.vec_id: (t.n_links, t.component_id, t.kept) for t in hnsw.near_vectors(df).collect()}
+    want = vectors_by_force([(i, v) for i, v in enumerate(x)])
+    assert [got[i][1:] for i in range(len(x))] == [want[i][1:] for i in range(len(x))]
+    assert sum(got[i][0] for i in got) >= 0.999 * sum(want[i][0] for i in want) and all(got[i][0] <= want[i][0] for i in got)
+    assert time.time() - start < 120
+
+
+def test_hnsw_audit_leaves_self_hits_out():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 8))
+    x[200:205] = x[:5] + 0.01
+    g = hnsw.Graph(hnsw._unit(x))
+    assert g.audited(np.arange(400), np.empty((0, 8)), 0.95)[1] >= hnsw.AUDIT_RECALL
+    g.layers[0][:] = -1  # a graph without links finds itself at best
+    beam, recall = g.audited(np.arange(400), hnsw._unit(x[:3] + 0.001), 0.95)
+    assert beam >= 400 and recall < 0.6
+    assert hnsw.Graph(np.eye(8)).audited(np.arange(8), np.empty((0, 8)), 0.9)[1] is None
 
 
 def test_html_blocks_and_main_text(spark):
