@@ -74,12 +74,61 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (want[i] == i) for i in got)
 
 
+def test_families_over_many_blocks(spark):
+    """Chains of edits: near neighbours link, the ends don't; one large family, several components, tiny blocks."""
+    r = random.Random(8)
+    docs = []
+    for t in made(4, 3, 300)[:4]:
+        w = (t.split() * 9)[:260]
+        w = [f"{x}{i}" for i, x in enumerate(w)]
+        for i in range(30):
+            docs.append(" ".join(w))
+            w[r.randrange(len(w))] = f"edit{i}"
+    half = [f"s{i}" for i in range(150)]
+    docs += [" ".join(half + [f"t{k}x{i}" for i in range(110)]) for k in range(60)]  # share more than half, under the threshold
+    rows = list(enumerate(docs))
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], DOCS)
+    want, _ = components_by_force(rows, 85)
+    for block in (5, 64):
+        got = {x.doc_id: x.component_id for x in near_dups.near_duplicates(df, 85, block=block).collect()}
+        assert got == want
+
+
+def test_collisions_are_counted_by_merging():
+    r = np.random.default_rng(5)
+    sigs = r.integers(0, 4, (200, near_dups.COORDINATES)).astype(np.uint32)
+    sigs[1::2] = np.where(r.random((100, near_dups.COORDINATES)) < 0.7, sigs[::2], sigs[1::2])
+    posted, wanted = near_dups.Postings(sigs), r.random(200) < 0.8
+    for least in (1, 12, 30, 48):
+        for p in range(0, 200, 7):
+            assert posted.collisions(p, wanted, least).tolist() == np.flatnonzero(((sigs == sigs[p]).sum(1) >= least) & wanted).tolist()
+
+
 def test_keep_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 0.0)] * 3 + [(2, "A b c d e f", 0.0), (3, None, 1.0), (4, "", 1.0)], DOCS)
     assert sorted(r.doc_id for r in near_dups.keep_one(df).collect()) == [1, 3, 4]
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_text(spark):
+    a, b, c = "a b c d e f", "one two three four five six", "x y z"
+    rows = [(1, a, 0.5, "u"), (5, a, 0.0, "v"), (5, b, 0.0, "w"), (None, a, 0.0, "x"), (None, c, 0.0, "y"), (None, c.upper(), 1.0, "z"), (7, b, 0.0, None), (8, c + " w", 0.0, "q"), (8, c + " w", 0.0, "p"), (9, None, 0.0, "n"), (9, None, 0.0, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 double, component_id string")
+    got = near_dups.keep_one(df).collect()
+    kept = sorted(((r.doc_id, (r.text or "").lower(), r.component_id) for r in got), key=str)
+    assert len(kept) == 6 and [k for k in kept if k[1] in (a, b)] == [(1, a, "u"), (5, b, "w")] and (8, c + " w", "p") in kept
+    assert sum(k[0] is None and k[1] == c for k in kept) == 1 and kept.count((9, "", "n")) == 2 and near_dups.keep_one(df).columns == df.columns
+    ids = {(r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dups.near_duplicates(df).collect()}
+    assert ids == {(1, 1, True, 2), (5, 1, False, 2), (5, 5, True, 2), (None, 1, False, 2), (None, None, True, 1), (7, 5, False, 2), (8, 8, True, 1), (9, 9, True, 0)}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    w = [f"w{i}" for i in range(120_000)]
+    df = spark.createDataFrame([(2, " ".join(w)), (1, " ".join(w[:-900])), (3, " ".join(w[60_000:])), (4, "v " * 200_000)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(df, 85).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_lm_base_score_against_counts(spark):
     import math
     from collections import Counter
