@@ -6,8 +6,10 @@ numpy reads the page's block sequence both ways and labels every block as main t
 here, once a process, on pages made by rule from a seed.
 
 Character references are decoded, white space inside a block becomes one space, empty blocks go, blocks are joined by a
-line feed. A null or empty page gives an empty text; a page cut off in the middle is read as far as it goes; repeated
-rows stay. Very long pages are labelled in one sequence, whatever their length.
+line feed. The content of RAW elements is no text of the page: scripts and styles without a close tag reach to the end of
+the page, of the others only the tag goes then; a self-closed one is empty. A null or empty page gives an empty text; a
+page cut off in the middle is read as far as it goes; repeated rows stay; other columns are not read; an empty table gives
+no rows. Very long and deeply nested pages are labelled in one sequence, whatever their length, in linear time and memory.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,26 +27,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Tags that do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template svg iframe object textarea select title math canvas".split())
+RAW = frozenset("script style noscript template svg iframe textarea select title".split())
+TO_THE_END = frozenset(("script", "style"))
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SELF_ENDING = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
+SELF_ENDING = frozenset("li dt dd tr td th option".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Za-z]+")
-PATH_DIM, WORD_DIM = 96, 24
+PATH_DIM, WORD_DIM = 96, 64
 COUNTS = 6
 WIDTH = PATH_DIM + WORD_DIM + COUNTS
 
 
-def blocks(page: str) -> list[tuple[tuple, str]]:
-    """(tag path, text) of every leaf block with text, in page order. A path entry is a tag name with its marks."""
-    out: list[tuple[tuple, str]] = []
-    stack: list[tuple[str, str]] = []
+class Path:
+    """An open element: its tag name with its marks, and the path of elements around it."""
+
+    __slots__ = ("parent", "name", "entry", "depth", "in_link", "row")
+
+    def __init__(self, parent: Path | None, name: str, entry: str):
+        self.parent, self.name, self.entry, self.row = parent, name, entry, None
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_link = name == "a" or bool(parent and parent.in_link)
+
+
+def blocks(page: str) -> list[tuple[Path, str]]:
+    """(tag path, text) of every leaf block with text, in page order; linear in the page."""
+    out: list[tuple[Path, str]] = []
+    top = path = Path(None, "", "")  # the innermost open element, and the path of the current block
+    opened: Counter = Counter()
     text: list[str] = []
-    path: tuple = ()
+    unclosed: set[str] = set()
 
     def end_block():
         nonlocal text
@@ -70,32 +87,37 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
         if m.group(1):
             if name not in INLINE:
                 end_block()
-            if any(t == name for t, _ in stack):
-                while stack and stack.pop()[0] != name:
-                    pass
-                path = tuple(x for _, x in stack)
+            if opened[name]:
+                while top.name != name:
+                    opened[top.name] -= 1
+                    top = top.parent
+                opened[name] -= 1
+                path = top = top.parent
             continue
+        empty = m.group(3).endswith("/")
         if name in RAW:
             end_block()
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else n
+            if not empty and name not in unclosed:
+                if close := RAW_END[name].search(page, at):
+                    at = close.end()
+                elif name in TO_THE_END:
+                    break
+                else:
+                    unclosed.add(name)
             continue
         if name not in INLINE:
             end_block()
-            if name in PARAGRAPH_ENDS and stack and stack[-1][0] == "p":
-                stack.pop()
-            elif name in SELF_ENDING and stack and stack[-1][0] == name:
-                stack.pop()
-        if name in VOID or m.group(3).endswith("/"):
-            path = tuple(x for _, x in stack)
+            if (name in PARAGRAPH_ENDS and top.name == "p") or (name in SELF_ENDING and top.name == name):
+                opened[top.name] -= 1
+                top = top.parent
+        if name in VOID or empty:
+            path = top
             continue
         marks = "".join(f" {p.lower()}" for _, v in ATTR.findall(m.group(3)) for p in PART.findall(v)) if "=" in m.group(3) else ""
-        if name in INLINE and text and not marks:
-            # an inline element inside running text belongs to the block that has begun
-            stack.append((name, name))
-            continue
-        stack.append((name, name + marks))
-        path = tuple(x for _, x in stack)
+        opened[name] += 1
+        top = Path(top, name, name + marks)
+        if not (name in INLINE and text and not marks):  # a plain inline element inside running text belongs to the block that has begun
+            path = top
     end_block()
     return out
 
@@ -111,22 +133,35 @@ def slot(x: str, n: int) -> int:
     return h % n
 
 
-def vectors(found: list[tuple[tuple, str]]) -> np.ndarray:
+def path_row(path: Path) -> np.ndarray:
+    """Marks of all entries on the path, without those of the leaf's own kind; kept on the path for its children."""
+    todo = []
+    while path.row is None:
+        todo.append(path)
+        if path.parent is None:
+            path.row = np.zeros(PATH_DIM, np.float32)
+            break
+        path = path.parent
+    row = path.row
+    for path in reversed(todo):
+        row = row.copy()
+        for x in path.entry.split():
+            row[slot("p" + x, PATH_DIM)] = 1.0
+        path.row = row
+    return row
+
+
+def vectors(found: list[tuple[Path, str]]) -> np.ndarray:
     out = np.zeros((len(found), WIDTH), np.float32)
-    known: dict[tuple, np.ndarray] = {}
     for i, (path, text) in enumerate(found):
-        if (row := known.get(path)) is None:
-            row = np.zeros(PATH_DIM, np.float32)
-            for part in path:
-                for x in part.split():
-                    row[slot("p" + x, PATH_DIM)] = 1.0
-            for x in path[-1:]:
-                row[slot("leaf" + x.split()[0], PATH_DIM)] = 1.0
-            known[path] = row = (row, len(path) / 10, float(any(p.split()[0] == "a" for p in path)))
-        out[i, :PATH_DIM] = row[0]
-        for w in text[:160].split(" ")[:12]:  # the vector samples a block's words; the text itself is never cut
-            out[i, PATH_DIM + slot(w, WORD_DIM)] += 0.02
-        out[i, -COUNTS:] = (math.log1p(text.count(" ") + 1) / 5, math.log1p(len(text)) / 8, "©" in text[:2], text[-1] in ".!?", row[1], row[2])
+        out[i, :PATH_DIM] = path_row(path)
+        if path.name:
+            out[i, slot("leaf" + path.name, PATH_DIM)] = 1.0
+        words = text.lower().split(" ")
+        share = 1.0 / len(words)
+        for w in words:
+            out[i, PATH_DIM + slot(w, WORD_DIM)] += share
+        out[i, -COUNTS:] = (math.log1p(len(words)) / 5, math.log1p(len(text)) / 8, "©" in text[:2], text[-1] in ".!?", min(path.depth, 50) / 10, path.in_link)
     return out
 
 
@@ -209,10 +244,24 @@ class Labeller:
         return float(-(np.log(q) * mask).sum() / mask.sum())
 
 
+#: Common words of page furniture, and common words of running text in four languages.
+FURNITURE = "home about contact login logout register search menu subscribe newsletter sign up cookies cookie accept privacy policy terms conditions share follow tweet related posts recommended popular read more next previous comments reply leave comment advertisement sponsored ad buy now sale offer copyright all rights reserved powered by sitemap help support careers press email password submit cancel close skip to content back top facebook twitter click here tags category archive rss".split()
+RUNNING = "the of and to in is that was for it with as his on be at by had not are but from which der die und das den von zu mit sich auf nicht ein eine auch als le la les et des du que dans une pour pas sur est el los las que por con para una su del como más".split()
+
+
 def made_page(r: random.Random) -> list[tuple[str, int]]:
-    """Pieces of HTML with a label each: 1 main text, 0 boilerplate, -1 markup without text."""
+    """Pieces of HTML with a label each: 1 main text, 0 boilerplate, -1 markup without text.
+
+    Words are made of syllables; on most pages some of the furniture's words and of the running text's come from the
+    fixed lists, on the others nothing but place and markup tells them apart.
+    """
     syllables = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    known = r.choice((0.0, 0.2, 0.5))  # the share of words from the lists
+    speech = [RUNNING]
+
+    def word():
+        return r.choice(speech[-1]) if r.random() < known else "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+
     words = lambda k: " ".join(word() for _ in range(k))
     sentence = lambda: words(r.randint(2, 14)).capitalize() + r.choice((".", ".", "", "!", "%%%", " ###", " |", "*** " + word(), " ©", " | " + word() + " |"))
     para = lambda: " ".join(sentence() for _ in range(r.choice((1, 1, 2, 3, 6, 9))))
@@ -227,14 +276,21 @@ def made_page(r: random.Random) -> list[tuple[str, int]]:
 
     junk = lambda label=0, most=3: [(f"<p>{para()}</p>" if r.random() < 0.6 else f"<div>{para()}</div>", label) for _ in range(r.randint(1, most))]
 
+    def furnished(make):
+        speech.append(FURNITURE)
+        try:
+            return make()
+        finally:
+            speech.pop()
+
     def menu():
         tag = r.choice(("nav", "div", "ul", "nav"))
         mark = cls("menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav") if tag != "nav" or r.random() < 0.4 else ""
-        wrap(f"<{tag}{mark}><ul>", links(r.randint(2, 9)), f"</ul></{tag}>")
+        wrap(f"<{tag}{mark}><ul>", furnished(lambda: links(r.randint(2, 9))), f"</ul></{tag}>")
 
     def boiler(names, tags, inner=junk):
         tag = r.choice(tags)
-        wrap(f"<{tag}{cls(*names) if tag in ('div', 'section', 'p', 'ul') or r.random() < 0.4 else ''}>", inner(), f"</{tag}>")
+        wrap(f"<{tag}{cls(*names) if tag in ('div', 'section', 'p', 'ul') or r.random() < 0.4 else ''}>", furnished(inner) if r.random() < 0.8 else inner(), f"</{tag}>")
 
     advert = lambda: boiler(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"), ("div", "aside", "section"))
     notice = lambda: boiler(("cookie", "notice", "consent", "gdpr", "newsletter", "popup", "alert", "paywall", "subscribe"), ("div", "section"))
