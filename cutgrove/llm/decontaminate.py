@@ -6,25 +6,35 @@ there unchanged. An Aho-Corasick automaton finds exact piece hits and Myers' bit
 around each. Whole documents are searched.
 
 Items are broadcast in chunks of at most ``chunk_chars`` characters (one longer item makes a chunk of its own), one pass
-over the documents a chunk, so no broadcast grows with the benchmark.
+over the documents a chunk. With several chunks every pass is written and its broadcast given back before the next, so
+neither a broadcast nor their sum grows with the benchmark.
 
-Null, empty or blank texts hold nothing and match nothing. Items with equal text are all reported. A document row that
-holds an item several times gives one row with the smallest distance and its first place; repeated document rows are
-reported each. Empty tables give no rows.
+An item of fewer than ``least_chars`` characters tells no leak from ordinary text: it is looked for without edits, its rows
+are flagged ``short``, and ``drop_leaks`` lets them pass.
+
+Null, empty or blank texts hold nothing and match nothing. Items with equal text are all reported, and those with a null
+item_id as well. A document row that holds an item several times gives one row with the smallest distance and its first
+place; repeated document rows are reported each. Empty tables give no rows. Other columns are not read, and kept by
+``drop_leaks``.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 RATE = 0.05
 CHUNK_CHARS = 2_000_000
+LEAST_CHARS = 24
+#: Up to so many leaking texts (16 bytes each) the rows to drop are found by a broadcast join, beyond it by a shuffled one.
+BROADCAST_ROWS = 500_000
 
 
 def normal(text: str | None) -> str:
@@ -63,13 +73,13 @@ def myers(item: str, window: str, k: int) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple], rate: float, least_chars: int = 0):
         self.items = []
         self.find = ahocorasick.Automaton()
         where: dict[str, list] = {}
         for key, text in items:
             m = len(text)
-            k = min(int(rate * m), m - 1)
+            k = min(int(rate * m), m - 1) if m >= least_chars else 0
             n = len(self.items)
             self.items.append((key, text, k))
             for a, b in pieces(m, k):
@@ -78,8 +88,8 @@ class Matcher:
             self.find.add_word(piece, at)
         self.find.make_automaton()
 
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, distance, end) for each item that the normalised text holds."""
+    def search(self, text: str) -> list[tuple]:
+        """(item, distance, end, its length) for each item that the normalised text holds."""
         best: dict[int, tuple] = {}
         done: dict[int, int] = {}
         for last, at in self.find.iter(text):
@@ -96,18 +106,18 @@ class Matcher:
                 d, end = myers(item, text[lo : start + len(item) + k], k)
                 if d <= k and (b is None or (d, lo + end) < b):
                     best[n] = (d, lo + end)
-        return [(self.items[n][0], d, end) for n, (d, end) in sorted(best.items())]
+        return [(self.items[n][0], d, end, len(self.items[n][1])) for n, (d, end) in sorted(best.items())]
 
 
 @lru_cache(maxsize=1)
-def _matcher(items: tuple, rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def _matcher(items: tuple, rate: float, least_chars: int) -> Matcher:
+    return Matcher(list(items), rate, least_chars)
 
 
 def _chunks(benchmark: DataFrame, chunk_chars: int):
     chunk, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        if r["item_id"] is None or not (t := normal(r["text"])):
+        if not (t := normal(r["text"])):
             continue
         if chunk and size + len(t) > chunk_chars:
             yield tuple(chunk)
@@ -118,18 +128,28 @@ def _chunks(benchmark: DataFrame, chunk_chars: int):
         yield tuple(chunk)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep columns, item_id, distance, end_char: one row for each document row and item that it holds."""
+def _passes(benchmark: DataFrame, chunk_chars: int):
+    """(items, whether they are all)."""
+    chunks = _chunks(benchmark, chunk_chars)
+    first, second = next(chunks, None), next(chunks, None)
+    if first is not None:
+        yield first, second is None
+    if second is not None:
+        yield from ((items, False) for items in chain([second], chunks))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS, keep: tuple = ("doc_id",), text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """keep columns, item_id, distance, end_char, short: one row for each document row and item that it holds."""
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
-    schema = source.drop("__text").schema.add("item_id", "long").add("distance", "integer").add("end_char", "integer")
+    schema = source.drop("__text").schema.add("item_id", "long").add("distance", "integer").add("end_char", "integer").add("short", "boolean")
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-
-    def one(items):
+    found = []
+    for items, alone in _passes(benchmark, chunk_chars):
         shared = sc.broadcast(items)
 
-        def run(batches):
-            matcher = _matcher(shared.value, rate)
+        def run(batches, shared=shared):
+            matcher = _matcher(shared.value, rate, least_chars)
             for batch in batches:
                 rows, hits = [], []
                 for i, t in enumerate(batch.column(len(keep))):
@@ -138,26 +158,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_
                         hits.append(h)
                 if rows:
                     taken = batch.take(pa.array(rows, pa.int64()))
-                    ids, ds, ends = zip(*hits)
-                    yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(len(keep))), pa.array(ids, pa.int64()), pa.array(ds, pa.int32()), pa.array(ends, pa.int32())], names=schema.names)
-
-        return source.mapInArrow(run, schema)
+                    ids, ds, ends, sizes = zip(*hits)
+                    yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(len(keep))), pa.array(ids, pa.int64()), pa.array(ds, pa.int32()), pa.array(ends, pa.int32()), pa.array([n < least_chars for n in sizes], pa.bool_())], names=schema.names)
 
-    found = [one(x) for x in _chunks(benchmark, chunk_chars)]
+        found.append(source.mapInArrow(run, schema))
+        if not alone:
+            found[-1] = cut(found[-1])
+            shared.unpersist()
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The document rows that hold no benchmark item, in one pass a chunk and without a join."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_chars: int = CHUNK_CHARS, least_chars: int = LEAST_CHARS, text: str = "text") -> DataFrame:
+    """The document rows that hold no benchmark item of at least ``least_chars`` characters.
+
+    A benchmark of one chunk takes one pass without a join. Otherwise leaking texts, known by two hashes of 64 bits, are
+    gathered chunk by chunk and the rows that hold them go.
+    """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    for items in _chunks(benchmark, chunk_chars):
-        shared, at = sc.broadcast(items), docs.columns.index("text")
+    passes = _passes(benchmark, chunk_chars)
+    first = next(passes, None)
+    if first is None:
+        return docs
+    if first[1]:
+        shared, at = sc.broadcast(first[0]), docs.columns.index(text)
 
-        def run(batches, shared=shared, at=at):
-            matcher = _matcher(shared.value, rate)
+        def run(batches):
+            matcher = _matcher(shared.value, rate, least_chars)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.search(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([all(h[3] < least_chars for h in matcher.search(normal(t.as_py()))) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+    gone = find_leaks(keyed, benchmark, rate, chunk_chars, ("__h1", "__h2"), text, least_chars)
+    gone = cut(gone.filter("not short").select("__h1", "__h2").distinct())
+    return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["__h1", "__h2"], "left_anti").select(*docs.columns)

@@ -43,7 +43,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    # items under the operator's least length are reported too, flagged: their rows are no leaks
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("not short").drop("short")
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ ORACLE = {
         FROM sized GROUP BY conv_id""",
     "op10_url_rules": """
         WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        parts AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1, 's')) AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1, 's') AS path FROM cut),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1, 's') AS path FROM cut),
         rules(rule_host, rule_path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
         hit AS (SELECT p.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
                 FROM parts p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
