@@ -6,7 +6,7 @@ host. Rules and url keys are range-partitioned and swept in key order: the last
 that enclose it, and the rules on that stack which still hold the key are the active ones.
 
 Built-in functions only. Ties: of two fitting rules the longer (characters of host and path) wins, then the longer
-host. A null url or one without ``://`` has empty host and path, fits only a rule with an empty host, and otherwise gets
+host; of rules with one host and path but different verdicts the verdict first in the alphabet (allow before block). A null url or one without ``://`` has empty host and path, fits only a rule with an empty host, and otherwise gets
 the default verdict. Repeated rows stay. An empty table gives no rows; no rules give the default everywhere.
 """
 
@@ -45,7 +45,7 @@ def _stacks(rules: DataFrame) -> DataFrame:
             F.concat("rule_host", "rule_path").alias("rule"),
             "verdict",
         ).alias("top"),
-    ).dropDuplicates(["key"])
+    ).groupBy("key").agg(F.min("top").alias("top"))
     own = keyed.select("key", F.explode(F.expr("transform(sequence(instr(key, '\t'), length(key)), n -> left(key, n))")).alias("prefix"))
     outer = keyed.select(F.col("key").alias("prefix"), F.struct(F.col("key"), "top").alias("held"))
     return own.join(outer, "prefix").groupBy("key").agg(F.sort_array(F.collect_list("held")).alias("stack"))

@@ -215,6 +215,59 @@ def test_leaks_with_edits_are_found(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def leaks_by_force(docs, items, rate=0.05, least=24):
+    out = set()
+    for i, t in docs:
+        t = decontaminate.normal(t)
+        for n, (key, item) in enumerate(items):
+            item = decontaminate.normal(item)
+            k = int(rate * len(item)) if len(item) >= least else 0
+            if item and edit_by_force(item, t) <= k:
+                out.add((i, key, edit_by_force(item, t), len(item) < least))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(12)
+    items = [(i, t[:90]) for i, t in enumerate(made(6, 21, 30)) if len(t) > 60] + [(None, "A null id, and a text of its own kind."), (70, "e"), (71, "ab cd")]
+    items.append((72, items[0][1]))  # equal text, other id
+    docs = []
+    for key, t in items:
+        for edits in range(7):
+            s = list(t)
+            for _ in range(edits):
+                at = r.randrange(len(s)) if s else 0
+                what = r.randrange(3)
+                if what == 0:
+                    s.insert(at, "#")
+                elif s and what == 1:
+                    s.pop(at)
+                elif s:
+                    s[at] = "#"
+            docs.append((len(docs), made(1, len(docs), 8)[0] + " " + "".join(s).upper() + "\n tail"))
+    docs += [(500, None), (501, ""), (502, docs[0][1]), (502, docs[0][1]), (None, docs[0][1])]
+    df = spark.createDataFrame([(i, t, 0.0, 7) for i, t in docs], DOCS + ", item_id long")
+    bench = spark.createDataFrame([(*x, 1.0) for x in items], "item_id long, text string, doc_id double")
+    want = leaks_by_force(docs, items)
+    assert any(x[1] is None for x in want) and any(x[3] for x in want)
+    for chunk in (10**6, 100):
+        got = decontaminate.find_leaks(df, bench, chunk_chars=chunk).collect()
+        assert {(x.doc_id, x.item_id, x.distance, x.short) for x in got} == want
+        assert sum(x.doc_id == 502 for x in got) == 2 * sum(x[0] == 502 for x in want)
+        kept = decontaminate.drop_leaks(df, bench, chunk_chars=chunk)
+        leaking = {x[0] for x in want if not x[3]}
+        assert sorted(map(str, (x.doc_id for x in kept.collect()))) == sorted(str(i) for i, _ in docs if i not in leaking) and kept.columns == df.columns
+    assert decontaminate.drop_leaks(df.limit(0), bench).count() == 0 and decontaminate.drop_leaks(df, bench.limit(0)).count() == len(docs)
+
+
+def test_leak_in_a_long_text(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    long = " ".join(made(4000, 5, 60))
+    df = spark.createDataFrame([(1, long + " " + item.replace("fox", "fax") + " " + long, 0.0), (2, long, 0.0)], DOCS)
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(3, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.distance) for x in got] == [(1, 3, 1)]
+
+
 def test_base_spans_against_plain_patterns():
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -371,6 +424,28 @@ def test_html_blocks_and_main_text(spark):
     assert got[1].text == "A & B\nOne two three.\nFour five." and got[2].text == got[3].text == "" and got[1].n_chars == len(got[1].text)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a<svg class='icon'/>b<p>c", ["a", "b", "c"]), ("<p>a<svg><title>x</title></svg><p>c", ["a", "c"]), ("<select><option>x<p>a", ["x", "a"]), ("<textarea>a<p>b", ["a", "b"]),
+    ("<iframe src='x'/><p>b", ["b"]), ("<script>x<p>b", []), ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.", ["Let x=2 hold."]), ("<p>a <object data='x'>in</object> <canvas>b</canvas>", ["a in b"]),
+    ("<b>x</p></i></b>y", ["x", "y"]), ("</div></p>a", ["a"]),
+])
+def test_blocks_of_odd_pages(page, want):
+    assert [t for _, t in html.blocks(page)] == want
+
+
+def test_html_long_deep_and_repeated_pages(spark):
+    import time
+
+    paras = made(3000, 31)
+    long = "<body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{t.capitalize()}.</p>" for t in paras) + "</article><footer>&copy; x</footer>"
+    deep = "<div>a" * 50_000 + "</p>" * 50_000
+    df = spark.createDataFrame([(1, "u", long, 0.0), (2, None, deep, 0.0), (3, "v", long[:300], 1.0), (3, "v", long[:300], 1.0)], "page_id long, url string, html string, text double")
+    start = time.time()
+    got = html.main_texts(df).collect()
+    assert time.time() - start < 90 and len(got) == 4
+    assert got[0].text == "\n".join(f"{t.capitalize()}." for t in paras) and got[2] == got[3] and html.main_texts(df.limit(0)).count() == 0
+
+
 def test_labeller_on_held_out_pages():
     net = html.Labeller()
     net.p = html.trained()
@@ -392,6 +467,24 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_equal_rules_and_clashing_columns(spark):
+    rules = spark.createDataFrame([("com", "/a", "block", 1), ("com", "/a", "allow", 2), ("org", "/", "block", 3), (None, "/", "block", 4)], url_rules.RULE_SCHEMA + ", page_id int")
+    df = spark.createDataFrame([(1, "x://a.com/ab", "h", "r"), (None, "x://b.org/", "h", "r")], "page_id long, url string, host string, rule string")
+    got = sorted(((r.page_id, r.host, r.rule, r.verdict) for r in url_rules.judge_urls(df, rules).collect()), key=str)
+    assert got == [(1, "a.com", "com/a", "allow"), (None, "b.org", "org/", "block")]
+
+
+def test_null_trees_and_repeated_messages(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, None, None), (5, 0, "user", "x"), (6, 0, "user", "same"), (6, 0, "user", "same")]
+    got = {r.tree: r.formatted for r in chat.format_trees(chat.linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {None: "### user: a</turn>\n### assistant: b</turn>\n", 5: "### : </turn>\n### user: x</turn>\n", 6: "### user: same</turn>\n" * 2}
+    twice = [("t", i, i - 1 if i else None, "user", str(i), 1.0, "n") for i in range(20)]
+    df = spark.createDataFrame(twice * 3 + [("t", None, 3, "user", "lost", 1.0, "n"), ("t", 4, 9, "user", "4 again", 1.0, "n"), (None, 1, 1, "user", "loop", 1.0, "n")], "tree string, node long, parent long, role string, text string, score double, leaf string")
+    got = chat.format_trees(df).collect()
+    assert [(r.tree, r.leaf) for r in got] == [("t", 19)] and got[0].formatted == "".join(f"### user: {i}</turn>\n" for i in range(20))
+    assert chat.reply_paths(df).count() == 20
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "hi \\### a: </turn>", 1.0), ("t", 2, 1, "assistant", "x<y", 5.0), ("t", 3, 1, "assistant", None, 1.0), ("t", 4, 3, "user", "", 0.0), ("u", 9, 77, None, "orphan", None)]
     df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
