@@ -70,6 +70,31 @@ def test_contraction_against_union_find():
             assert got == {x: k for x, k in low.items() if x != k}
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    """More edges than one task takes: hubs, a chain in random order and random pairs."""
+    from cutgrove.operators import components as module
+
+    r = random.Random(6)
+    ids = list(range(600))
+    r.shuffle(ids)
+    pairs = [(ids[i], ids[i + 1]) for i in range(599) if i % 97] + [(5000, 1000 + i) for i in range(500)] + [(r.randrange(6000, 6400), r.randrange(6000, 6400)) for _ in range(250)]
+    e = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    want = {x.node: x.component for x in components(e).collect()}
+    monkeypatch.setattr(module, "GROUP_EDGES", 64)
+    assert {x.node: x.component for x in components(e).collect()} == want
+    parent = {a: a for p in pairs for a in p}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert want == {a: root(a) for a in parent}
+
+
 def test_components_of_strings(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y"), ("x", "z"), ("q", "q")], "a string, b string")
     assert {x.node: x.component for x in components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x", "q": "q"}
