@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutgrove.functions import energies
+from cutgrove.session import cut
+
 
 def skip_edges(voxels: DataFrame, bad: tuple) -> DataFrame:
     """(u, v, skip_range, n): nodes over each other on both sides of a run of bad slices."""
@@ -43,3 +46,66 @@ def replacement_slices(spark, bad: tuple, depth: int) -> DataFrame:
     good = [z for z in range(depth) if z not in set(bad)]
     rows = [(z, min(good, key=lambda g: (abs(g - z), g))) for z in sorted(set(bad)) if z < depth and good]
     return spark.createDataFrame(rows, "z long, source long")
+
+
+def marked(edges: DataFrame, voxels: DataFrame, bad: tuple) -> DataFrame:
+    """Edges with hit: whether an end lies in a bad slice."""
+    nodes = defect_nodes(voxels, bad).withColumn("bad", F.lit(True))
+    for side in "uv":
+        edges = edges.join(nodes.select(F.col("seg").alias(side), F.col("bad").alias(f"bad_{side}")), side, "left")
+    return edges.withColumn("hit", F.coalesce("bad_u", F.lit(False)) | F.coalesce("bad_v", F.lit(False))).drop("bad_u", "bad_v")
+
+
+def skip_faces(voxels: DataFrame, bad: tuple) -> DataFrame:
+    """(u, v, skip_range, w): voxels over each other on both sides of a run of bad slices, w the sum of their pm."""
+    w = Window.partitionBy("x", "y").orderBy("z")
+    good = voxels.filter(~F.col("z").isin(*bad)).select("seg", F.lead("seg").over(w).alias("up"), (F.col("pm") + F.lead("pm").over(w)).alias("w"), (F.lead("z").over(w) - F.col("z")).alias("skip_range"))
+    return good.filter("skip_range > 1").select(F.least("seg", "up").alias("u"), F.greatest("seg", "up").alias("v"), "skip_range", "w")
+
+
+def modified_energies(edges: DataFrame, skip: DataFrame, over: DataFrame, beta: float, weight: float, top: float = 200_000.0) -> DataFrame:
+    """(u, v, e): marked edges that survive and skip edges; those with hit get twice the least energy."""
+    sums = over.groupBy("u", "v").agg(F.sum("w").alias("s"))
+    skip = skip.join(sums, ["u", "v"]).select("u", "v", "n", F.lit(0).alias("kind"), "s", F.lit(False).alias("hit"))
+    both = cut(edges.filter("not (hit and kind = 0)").select("u", "v", "n", "kind", "s", "hit").unionByName(skip))
+    e = cut(energies.weigh(both.withColumn("e", energies.energy(F.col("s") / (F.col("n") * top), beta)), "z", weight))
+    least = e.agg(F.min("e")).first()[0] or 0.0
+    return e.select("u", "v", F.when(F.col("hit"), F.lit(2 * least)).otherwise(F.col("e")).alias("e"))
+
+
+def run_sources(bad: tuple, depth: int) -> list[tuple[int, int]]:
+    """(z, source) for runs of up to four bad slices.
+
+    The lower half of a run, of three the lower two, takes the slice below the run, the rest the one above; where the volume
+    ends on that side the other side serves. Longer runs are an error.
+    """
+    runs: list[list[int]] = []
+    for z in sorted(set(bad)):
+        if runs and runs[-1][-1] == z - 1:
+            runs[-1].append(z)
+        else:
+            runs.append([z])
+    out = []
+    for run in runs:
+        n, below, above = len(run), run[0] - 1, run[-1] + 1
+        if n > 4:
+            raise ValueError(f"{n} bad slices in a row: replacement goes up to 4")
+        lower = {1: 1, 2: 1, 3: 2, 4: 2}[n]
+        for i, z in enumerate(run):
+            first, second = (below, above) if i < lower else (above, below)
+            if not 0 <= first < depth:
+                first = second
+            if not 0 <= first < depth:
+                raise ValueError("no good slice is left")
+            out.append((z, first))
+    return out
+
+
+def insert_slices(rows: DataFrame, missing: dict[int, int]) -> DataFrame:
+    """Rows with new slices: before old slice z comes a copy of slice missing[z]; the others move up."""
+    order = sorted(missing)
+    moved = F.col("z") + sum((F.when(F.col("z") >= z, 1).otherwise(0) for z in order), F.lit(0))
+    out = rows.withColumn("z", moved.cast("long"))
+    for k, z in enumerate(order):
+        out = out.unionByName(rows.filter(F.col("z") == missing[z]).withColumn("z", F.lit(z + k).cast("long")))
+    return out
