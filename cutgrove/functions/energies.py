@@ -56,3 +56,20 @@ def logistic_prior(p: Column, prior: float) -> Column:
 
 def finite(c: Column, instead: float = 0.0) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(instead)).otherwise(c)
+
+
+def balanced(local: DataFrame, lifted: DataFrame, e: str = "e") -> DataFrame:
+    """Local and lifted energies, each divided by the number of rows of its kind: (u, v, is_local, e)."""
+    parts = []
+    for kind, df in ((1, local), (0, lifted)):
+        n = max(1, df.count())
+        parts.append(df.select("u", "v", F.lit(kind).alias("is_local"), (F.col(e) / F.lit(n)).alias(e)))
+    return parts[0].unionByName(parts[1])
+
+
+def fused(pairs: DataFrame, votes: list[tuple[Column, float]], low: float = 0.001) -> DataFrame:
+    """cost = logit of the weighted share of labellings that separate a pair; votes: (separates, weight)."""
+    total = sum(w for _, w in votes)
+    p = sum((F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for c, w in votes), F.lit(0.0)) / F.lit(total)
+    q = F.greatest(F.lit(low), F.least(F.lit(1 - low), p))
+    return pairs.withColumn("cost", F.ln((1 - q) / q))

@@ -109,3 +109,22 @@ def insert_slices(rows: DataFrame, missing: dict[int, int]) -> DataFrame:
     for k, z in enumerate(order):
         out = out.unionByName(rows.filter(F.col("z") == missing[z]).withColumn("z", F.lit(z + k).cast("long")))
     return out
+
+
+def learning_masks(pairs: DataFrame, nodes: dict[str, DataFrame]) -> DataFrame:
+    """Pairs with a 0/1 column for each named table of nodes(seg): whether an end is among them."""
+    for name, some in nodes.items():
+        some = some.select("seg").distinct().withColumn("in", F.lit(1))
+        for side in "uv":
+            pairs = pairs.join(some.select(F.col("seg").alias(side), F.col("in").alias(f"in_{side}")), side, "left")
+        pairs = pairs.withColumn(name, F.coalesce("in_u", "in_v", F.lit(0))).drop("in_u", "in_v")
+    return pairs
+
+
+def ignore_mask(pairs: DataFrame, node_gt: DataFrame, split: tuple, merge: tuple) -> DataFrame:
+    """(u, v, masked): ((gt_u in split or gt_v in split) and gt_u <> gt_v) or both in merge."""
+    for side in "uv":
+        pairs = pairs.join(node_gt.select(F.col("seg").alias(side), F.col("gt").alias(f"gt_{side}")), side)
+    a, b = F.col("gt_u"), F.col("gt_v")
+    masked = ((a.isin(*split) | b.isin(*split)) & (a != b)) | (a.isin(*merge) & b.isin(*merge))
+    return pairs.select("u", "v", masked.cast("int").alias("masked"))

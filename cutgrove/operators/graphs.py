@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cutgrove.session import cut
 
 from .components import components
+from .relabel import dense_ids
 
 
 def both_ways(edges: DataFrame, *cols: str) -> DataFrame:
@@ -29,13 +32,63 @@ def k_hop(edges: DataFrame, upper: int, lower: int = 1) -> DataFrame:
     return reached.filter((F.col("hops") > lower) & (F.col("u") < F.col("v")))
 
 
+#: Edges that one search holds; beyond that searches run as joins. It changes the plan, not the result.
+SEARCH_EDGES = 1 << 20
+
+
+def _search(rows: list[tuple], source: int, hops: int | None = None) -> tuple[dict, dict]:
+    """Least costs from the source and the node before each on a cheapest path (ties: the smaller node)."""
+    near: dict[int, list] = {}
+    for u, v, c in rows:
+        near.setdefault(u, []).append((v, c))
+    if hops is not None:  # costs over paths of at most so many edges: by rounds
+        best, by, frontier = {source: 0}, {}, {source: 0}
+        for _ in range(hops):
+            new: dict[int, float] = {}
+            for a, d in frontier.items():
+                for b, c in near.get(a, ()):
+                    if d + c < min(best.get(b, d + c + 1), new.get(b, d + c + 1)):
+                        new[b] = d + c
+            best |= new
+            frontier = new
+        return best, by
+    best, by, heap = {source: 0}, {}, [(0, source)]
+    while heap:
+        d, a = heapq.heappop(heap)
+        if d > best[a]:
+            continue
+        for b, c in near.get(a, ()):
+            n = d + c
+            if b not in best or n < best[b]:
+                best[b], by[b] = n, a
+                heapq.heappush(heap, (n, b))
+            elif n == best[b] and b in by and a < by[b]:
+                by[b] = a
+    return best, by
+
+
+def _in_one_task(step: DataFrame, kernel, schema: str, kinds: list) -> DataFrame:
+    """A kernel over all (u, v, c) rows of a step table whose size was checked."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        out = kernel(sorted(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return step.select("u", "v", "c").coalesce(1).mapInArrow(run, schema)
+
+
 def distances(edges: DataFrame, source: int, hops: int | None = None, cost: str | None = None, limit: int = 100_000) -> DataFrame:
     """(node, dist) from one source: hop counts, or path costs of not negative edges, over paths of at most ``hops`` edges if given.
 
-    Runs until nothing improves, one round a hop; raises where that takes more than ``limit`` rounds.
+    Up to SEARCH_EDGES edges one task searches with a heap. Beyond that it runs until nothing improves, one round of joins a
+    hop; raises where that takes more than ``limit`` rounds.
     """
-    step = cut(both_ways(edges.withColumn("c", F.col(cost) if cost else F.lit(1)), "c").groupBy("u", "v").agg(F.min("c").alias("c")))
+    step = cut(both_ways(edges.withColumn("c", F.col(cost) if cost else F.lit(1).cast("long")), "c").groupBy("u", "v").agg(F.min("c").alias("c")))
     kind = step.schema["c"].dataType
+    if step.count() <= SEARCH_EDGES:
+        return _in_one_task(step, lambda rows: list(_search(rows, source, hops)[0].items()), f"node long, dist {kind.simpleString()}", [pa.int64(), to_arrow_type(kind)])
     best = frontier = edges.sparkSession.createDataFrame([(source,)], "node long").withColumn("dist", F.lit(0).cast(kind))
     for done in itertools.count():
         if done == hops:
@@ -51,6 +104,39 @@ def distances(edges: DataFrame, source: int, hops: int | None = None, cost: str
     return best.select("node", "dist")
 
 
+def shortest_path(edges: DataFrame, source: int, target: int, cost: str | None = None) -> DataFrame:
+    """(seq, a, b, cost): the edges of a cheapest path in order, by hops where no cost is named; none where there is no path.
+
+    Distances come from ``distances``; the path is walked back over edges that lie on some cheapest path, the smaller node
+    first, one look-up a step on the driver, which holds the path alone.
+    """
+    dist = cut(distances(edges, source, cost=cost))
+    step = cut(both_ways(edges.withColumn("c", F.col(cost) if cost else F.lit(1).cast("long")), "c").groupBy("u", "v").agg(F.min("c").alias("c")))
+    tight = step.join(dist.select(F.col("node").alias("u"), F.col("dist").alias("du")), "u").join(dist.select(F.col("node").alias("v"), F.col("dist").alias("dv")), "v").filter(F.col("du") + F.col("c") == F.col("dv"))
+    back = cut(tight.groupBy("v").agg(F.min(F.struct("u", "c")).alias("by")).select("v", "by.u", "by.c"))  # a tree: one parent a node
+    kind = back.schema["c"].dataType
+    if back.count() <= SEARCH_EDGES:
+
+        def walk(rows):
+            by = {v: (u, c) for u, v, c in rows}
+            path, a = [], target
+            while a != source and a in by:
+                path.append((by[a][0], a, by[a][1]))
+                a = by[a][0]
+            return [(i, *e) for i, e in enumerate(reversed(path))] if a == source else []
+
+        return _in_one_task(back, walk, f"seq long, a long, b long, cost {kind.simpleString()}", [pa.int64()] * 3 + [to_arrow_type(kind)])
+    # pointers double: after k rounds a node points 2^k steps back; the path is what the target reaches
+    up, on = back.select("v", F.col("u").alias("up")), edges.sparkSession.createDataFrame([(target,)], "v long")
+    while True:
+        grown = cut(on.unionByName(on.join(up, "v").select(F.col("up").alias("v"))).distinct())
+        if grown.count() == on.count():
+            break
+        on, up = grown, cut(up.join(up.select(F.col("v").alias("up"), F.col("up").alias("far")), "up", "left").select("v", F.coalesce("far", "up").alias("up")))
+    steps = back.join(on, "v").join(dist.select(F.col("node").alias("v"), "dist"), "v")
+    return steps.select((F.rank().over(Window.orderBy("dist")) - 1).cast("long").alias("seq"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("c").alias("cost"))
+
+
 def lifted_distances(edges: DataFrame, upper: int) -> DataFrame:
     """(u, v, cost): cheapest path of at most ``upper`` edges for pairs that are no edge; edges keep their own cost."""
     step = cut(both_ways(edges, "cost"))
@@ -67,7 +153,9 @@ def minimum_spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
     rows = cut(edges.select("u", "v", "cost"))
     label = components(rows.select(F.explode(F.array("u", "v")).alias("a")).select("a", F.col("a").alias("b")))
     taken = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"the forest still grows after {rounds} rounds")
         left, right = label.select(F.col("node").alias("u"), F.col("component").alias("cu")), label.select(F.col("node").alias("v"), F.col("component").alias("cv"))
         out = rows.join(left, "u").join(right, "v").filter("cu <> cv")
         least = out.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("cost", "u", "v").alias("e")).groupBy("c").agg(F.min("e").alias("e"))
@@ -209,3 +297,111 @@ def grid_path(cost: dict[tuple, float], start: tuple, goal: tuple) -> list[tuple
                     best[b], by[b] = n, a
                     heapq.heappush(heap, (n, b))
     return []
+
+
+def push_relabel(edges: list[tuple], source: int, sink: int) -> tuple[float, set]:
+    """Maximum flow by first-in first-out push-relabel, and the source side of a least cut. edges: directed (u, v, capacity)."""
+    left: dict[int, dict[int, float]] = {source: {}, sink: {}}
+    for u, v, c in edges:
+        left.setdefault(u, {})[v] = left.get(u, {}).get(v, 0) + c
+        left.setdefault(v, {}).setdefault(u, 0)
+    n = len(left)
+    height, excess = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
+    height[source] = n
+    active: deque = deque()
+    for b, c in list(left[source].items()):
+        if c > 0 and b != source:
+            left[source][b] = 0
+            left[b][source] += c
+            excess[b] += c
+            if b != sink:
+                active.append(b)
+    while active:
+        a = active.popleft()
+        while excess[a] > 0:
+            low = None
+            for b, c in left[a].items():
+                if c <= 0:
+                    continue
+                if height[a] == height[b] + 1:
+                    push = min(c, excess[a])
+                    left[a][b] -= push
+                    left[b][a] += push
+                    if not excess[b] and b not in (source, sink):
+                        active.append(b)
+                    excess[a] -= push
+                    excess[b] += push
+                    if not excess[a]:
+                        break
+                elif low is None or height[b] < low:
+                    low = height[b]
+            if excess[a]:
+                height[a] = low + 1
+    side, todo = {source}, [source]
+    while todo:
+        a = todo.pop()
+        for b, c in left[a].items():
+            if c > 0 and b not in side:
+                side.add(b)
+                todo.append(b)
+    return excess[sink], side
+
+
+def component_flows(edges: DataFrame) -> DataFrame:
+    """(first, last, push, augment, cut) of every component of edges(u, v, n): flow from its first to its last node, both ways."""
+
+    def kernel(rows):
+        first, last = min(r[0] for r in rows), max(r[1] for r in rows)
+        both = [x for u, v, c in rows for x in ((u, v, c), (v, u, c))]
+        push, side = push_relabel(both, first, last)
+        return [(first, last, push, max_flow(both, first, last)[0], sum(c for u, v, c in both if u in side and v not in side))]
+
+    return _by_component(edges, kernel, "first long, last long, push long, augment long, cut long", ("n",))
+
+
+def grid_pairs(voxels: DataFrame, upper: int, lower: int, metric: str = "l2") -> DataFrame:
+    """(x, y, z, dx, dy): pairs of a slice's pixels with lower < distance <= upper, each once; metric l2 or path (city block).
+
+    The other pixel is found by its offset, one equi-join for a bounded list of offsets.
+    """
+    size = lambda a, b: (a * a + b * b) ** 0.5 if metric == "l2" else abs(a) + abs(b)
+    offsets = [(a, b) for b in range(upper + 1) for a in range(-upper, upper + 1) if (b > 0 or a > 0) and lower < size(a, b) <= upper]
+    moves = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in offsets))).alias("m")
+    asked = voxels.select("x", "y", "z", moves).select("x", "y", "z", "m.dx", "m.dy")
+    there = voxels.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    return asked.join(there, (asked.x + asked.dx == there.x2) & (asked.y + asked.dy == there.y2) & (asked.z == there.z2), "left_semi")
+
+
+def erase_vertices(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without an end among gone(seg)."""
+    for side in "uv":
+        edges = edges.join(gone.withColumnRenamed("seg", side), side, "left_anti")
+    return edges.select("u", "v")
+
+
+def insert_edges(edges: DataFrame, new: DataFrame, multiple: bool = False) -> DataFrame:
+    """Edges with more of them; without ``multiple`` an edge that is there already is not added again."""
+    both = edges.unionByName(new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    return both if multiple else both.distinct()
+
+
+def grid_graph(spark, shape: tuple) -> DataFrame:
+    """(u, v) of a grid graph of any dimension; vertex = x + w * (y + h * z)."""
+    strides = [1]
+    for n in shape:
+        strides.append(strides[-1] * n)
+    nodes = spark.range(strides[-1]).withColumnRenamed("id", "u")
+    steps = F.array_compact(F.array(*(F.when(F.floor(F.col("u") / s) % n < n - 1, F.col("u") + s) for s, n in zip(strides, shape))))
+    return nodes.select("u", F.explode(steps).alias("v"))
+
+
+def far_pairs(edges: DataFrame, nodes: DataFrame, hops: int, draws: int) -> DataFrame:
+    """(u, v): a sample of the pairs more than ``hops`` apart, from ``draws`` other nodes for each of nodes(seg).
+
+    All far pairs are the square of the nodes. Draws are spread over all nodes by a fixed linear rule on dense ids.
+    """
+    ids = cut(dense_ids(nodes, "seg").withColumnRenamed("new_label", "i"))
+    n = ids.count()
+    drawn = ids.select("seg", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"), "i").select("seg", ((F.col("i") * 7919 + F.col("k") * 104729 + 17) % max(1, n)).alias("i"))
+    pairs = drawn.join(ids.withColumnRenamed("seg", "other"), "i").filter("seg <> other").select(F.least("seg", "other").alias("u"), F.greatest("seg", "other").alias("v")).distinct()
+    return pairs.join(k_hop(edges, hops, 0).select("u", "v"), ["u", "v"], "left_anti")

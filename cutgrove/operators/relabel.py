@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running_offsets(rows: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
+    """(key, off): the sum of value over all smaller keys, by ranges of ``width`` keys and the sums of the ranges before."""
+    r = rows.select(key, value).withColumn("__b", F.floor(F.col(key) / width))
+    sums = r.groupBy("__b").agg(F.sum(value).alias("__s"))
+    before = sums.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__o"))
+    own = F.sum(value).over(Window.partitionBy("__b").orderBy(key)) - F.col(value)
+    return r.join(before, "__b").select(key, (own + F.col("__o")).cast("long").alias("off"))
+
+
 def dense_ids(values: DataFrame, col: str, start: int = 0, width: int = 4096) -> DataFrame:
     """(col, new_label) of distinct numeric labels in order: ranks inside ranges of ``width``, plus the count before each range."""
     d = values.select(col).distinct().withColumn("__b", F.floor(F.col(col) / width))

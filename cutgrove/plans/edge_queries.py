@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
 from cutgrove.operators import defects, metrics, rag
+from cutgrove.operators.relabel import running_offsets
 from cutgrove.sources.volumes import cutout
 
 from .common import WITH_EDGES, WITH_FACES, WITH_VOX, edges, faces, vox
@@ -91,7 +92,7 @@ def jn3(spark, d):
 @query("jn4_row_equality", WITH_EDGES + ", r AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS i FROM edges) SELECT i, u, v FROM r WHERE (u + v) % 3 = 0")
 def jn4(spark, d):
     e = edges(spark, d).select("u", "v")
-    before = e.groupBy("u").agg(F.count("*").alias("c")).select("u", (F.sum("c").over(Window.orderBy("u")) - F.col("c")).alias("o"))
+    before = running_offsets(e.groupBy("u").agg(F.count("*").alias("c")), "u", "c").withColumnRenamed("off", "o")
     i = F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1 + F.col("o")
     numbered = e.join(before, "u").select("u", "v", i.cast("long").alias("i"))
     return numbered.join(e.filter("(u + v) % 3 = 0"), ["u", "v"]).select("i", "u", "v")
@@ -337,11 +338,6 @@ def ag29(spark, d):
     return metrics.adapted_rand(metrics.contingency(vox(spark, d)))
 
 
-@query("ag32_rand_no_zero")
-def ag32(spark, d):
-    return metrics.rand_vi(metrics.contingency(vox(spark, d).filter("gt <> 0")))
-
-
 @query("ag31_cut_energy", WITH_EDGES + "SELECT round(sum(CASE WHEN a.gt <> b.gt THEN e ELSE 0 END), 4) AS energy FROM costs c JOIN node_gt a ON c.u = a.seg JOIN node_gt b ON c.v = b.seg")
 def ag31(spark, d):
     r = rag.ends(edges(spark, d).withColumn("e", en.energy(mean_p())), rag.node_gt(vox(spark, d)), ("gt",))
@@ -360,11 +356,6 @@ def so1(spark, d):
     return faces(spark, d).select("u", "v").distinct()
 
 
-@query("so4_sample", None)
-def so4(spark, d):
-    return edges(spark, d).orderBy(F.xxhash64("u", "v"), "u", "v").limit(20).select("u", "v")
-
-
 @query("jn14_blocks", WITH_VOX + ", b(block, lo, hi) AS (VALUES (0, 0, 6), (1, 4, 10)) SELECT block, count(*) AS n, count(DISTINCT seg) AS nseg FROM vox JOIN b ON x >= lo AND x < hi GROUP BY block")
 def jn14(spark, d):
     v = vox(spark, d)

@@ -53,16 +53,6 @@ def gr4(spark, d):
     return cc.components(gt_edges(spark, d), "u", "v").groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("gr1_bfs", WITH_EDGES + ", e2 AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), b AS (SELECT 0::BIGINT AS node, 0 AS dist UNION SELECT e2.v, dist + 1 FROM b JOIN e2 ON b.node = e2.u WHERE dist < 6) SELECT node, min(dist) AS dist FROM b GROUP BY node")
-def gr1(spark, d):
-    return graphs.distances(edges(spark, d).select("u", "v"), 0, hops=6)
-
-
-@query("gr7_dijkstra")
-def gr7(spark, d):
-    return graphs.distances(edges(spark, d).select("u", "v", "n"), 0, cost="n")
-
-
 @query("jn10_khop", WITH_EDGES + """, e2 AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), h2 AS (SELECT DISTINCT a.u, b.v FROM e2 a JOIN e2 b ON a.v = b.u WHERE a.u < b.v), h3 AS (SELECT DISTINCT a.u, c.v FROM e2 a JOIN e2 b ON a.v = b.u JOIN e2 c ON b.v = c.u WHERE a.u < c.v),
   k AS (SELECT u, v, 2 AS hops FROM h2 UNION ALL SELECT u, v, 3 FROM h3) SELECT u, v, min(hops) AS hops FROM k WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = k.u AND e.v = k.v) GROUP BY u, v""")
 def jn10(spark, d):
@@ -79,38 +69,6 @@ def gr18(spark, d):
     return graphs.lifted_distances(edges(spark, d).select("u", "v", F.col("n").alias("cost")), 2)
 
 
-@query("jn11_far_pairs", WITH_EDGES + ", m AS (SELECT seg FROM nodes WHERE seg < 30), near AS (SELECT u, v FROM edges UNION SELECT a.u, b.v FROM (SELECT u, v FROM edges UNION SELECT v, u FROM edges) a JOIN (SELECT u, v FROM edges UNION SELECT v, u FROM edges) b ON a.v = b.u) SELECT a.seg AS u, b.seg AS v FROM m a JOIN m b ON a.seg < b.seg WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.u = a.seg AND near.v = b.seg)")
-def jn11(spark, d):
-    near = graphs.k_hop(edges(spark, d).select("u", "v"), 2, 0).select("u", "v")
-    # the SQL asks for the nodes below 30: those that the volume has, each with a list of the later ones instead of a theta join
-    some = vox(spark, d).filter("seg < 30").select("seg").distinct()
-    listed = some.agg(F.sort_array(F.collect_list("seg")).alias("all"))
-    nodes = listed.select(F.explode("all").alias("u"), "all").select("u", F.explode(F.filter("all", lambda v: v > F.col("u"))).alias("v"))
-    return nodes.join(near, ["u", "v"], "left_anti")
-
-
-@query("gr10_chords", WITH_EDGES + ", p AS (SELECT unnest(range(0, 20)) AS i) SELECT e.u, e.v FROM edges e JOIN p a ON a.i = e.u JOIN p b ON b.i = e.v WHERE b.i - a.i >= 2")
-def gr10(spark, d):
-    path = spark.range(20)
-    inside = edges(spark, d).select("u", "v").join(path.select(F.col("id").alias("u")), "u", "left_semi").join(path.select(F.col("id").alias("v")), "v", "left_semi")
-    return inside.filter("v - u >= 2").select("u", "v")
-
-
-@query("gr13_mst")
-def gr13(spark, d):
-    return graphs.minimum_spanning_forest(gt_edges(spark, d).select("u", "v", F.col("n").cast("double").alias("cost"))).agg(F.sum("cost").alias("weight"), F.count("*").alias("edges"))
-
-
-@query("gr11_bridges")
-def gr11(spark, d):
-    return graphs.bridges(gt_edges(spark, d))
-
-
-@query("gr12_cut_vertices")
-def gr12(spark, d):
-    return graphs.cut_vertices(gt_edges(spark, d))
-
-
 @query("gr2_dfs")
 def gr2(spark, d):
     return graphs.dfs_order(gt_edges(spark, d))
@@ -126,12 +84,6 @@ def gr21(spark, d):
     return vox(spark, d).select((F.col("x") + 10 * F.col("y") + 100 * F.col("z")).alias("vertex"), "seg")
 
 
-@query("gr22_complete_index", "SELECT a.i AS u, b.i AS v, a.i * 20 - a.i * (a.i + 1) // 2 + b.i - a.i - 1 AS e FROM range(20) a(i) JOIN range(20) b(i) ON a.i < b.i")
-def gr22(spark, d):
-    pairs = spark.range(20).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("v")).filter("u < v")
-    return pairs.select("u", "v", F.expr("u * 20 - u * (u + 1) div 2 + v - u - 1").alias("e"))
-
-
 @query("gr25_model_costs", WITH_EDGES + ", r AS (SELECT u, v, n AS c FROM edges UNION ALL SELECT u, v, 5 FROM edges WHERE kind = 0) SELECT u, v, CAST(sum(c) AS BIGINT) AS cost FROM r GROUP BY u, v")
 def gr25(spark, d):
     e = edges(spark, d)

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
-from cutgrove.operators import graphs, rag
+from cutgrove.operators import features, graphs, rag
 
-from .common import WITH_EDGES, WITH_PAIRS, WITH_VOX, edges, vox
+from .common import WITH_EDGES, WITH_FACES, WITH_PAIRS, WITH_VOX, edges, vox
 
 QUERIES, ORACLE = {}, {}
 
@@ -80,14 +80,8 @@ def wf9(spark, d):
     return v.join(F.broadcast(off), "obj", "left").select("x", "y", "z", F.coalesce(F.col("off") + F.col("seg") % 4, "seg").alias("label"))  # one row an object class
 
 
-@query("ag9_edge_parts")
+@query("ag9_edge_parts", WITH_FACES.replace("WITH ", "WITH RECURSIVE ", 1) + """, d AS (SELECT DISTINCT u, v, x, y, z FROM faces), r AS (SELECT u, v, x, y, z, z * 100 + y * 10 + x AS k FROM d UNION SELECT d.u, d.v, d.x, d.y, d.z, r.k FROM r JOIN d ON d.u = r.u AND d.v = r.v AND abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1 AND abs(d.z - r.z) <= 1 AND r.k < d.z * 100 + d.y * 10 + d.x), m AS (SELECT u, v, x, y, z, min(k) AS k FROM r GROUP BY ALL)
+  SELECT u, v, count(DISTINCT k) AS parts FROM m GROUP BY u, v""")
 def ag9(spark, d):
-    """Number of 26-connected pieces of each boundary, by components over faces at most one voxel apart."""
-    from cutgrove.operators.components import components
-
-    f = rag.faces(vox(spark, d)).select("u", "v", "x", "y", "z").distinct()
-    near = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda k: F.struct((F.col("x") + k % 3 - 1).alias("x"), (F.col("y") + F.floor(k / 3) % 3 - 1).alias("y"), (F.col("z") + F.floor(k / 9) - 1).alias("z")))
-    me = F.struct("u", "v", "x", "y", "z")
-    moved = f.select("u", "v", me.alias("a"), F.explode(near).alias("p")).select("u", "v", "a", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"))
-    pairs = moved.join(f.withColumn("b", me), ["u", "v", "x", "y", "z"]).select("a", "b")
-    return components(pairs).select("component").distinct().groupBy("component.u", "component.v").agg(F.count("*").alias("parts"))
+    """Number of 26-connected pieces of each boundary."""
+    return features.edge_parts(rag.faces(vox(spark, d)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cutgrove.operators import images, rag
-from cutgrove.operators.relabel import consecutive, dense_ids
+from cutgrove.operators.relabel import consecutive, dense_ids, running_offsets
 from cutgrove.sources import volumes
 
 from .common import WITH_PAIRS, WITH_VOX, vox
@@ -62,7 +62,7 @@ def prj1(spark, d):
   SELECT z, seg, CAST(k + off AS BIGINT) AS label FROM r JOIN o USING (z)""")
 def prj2(spark, d):
     r = vox(spark, d).select("z", "seg").distinct().withColumn("k", F.row_number().over(Window.partitionBy("z").orderBy("seg")))
-    off = r.groupBy("z").agg(F.max("k").alias("m")).select("z", (F.sum("m").over(Window.orderBy("z")) - F.col("m")).alias("off"))
+    off = running_offsets(r.groupBy("z").agg(F.max("k").alias("m")), "z", "m")
     return r.join(off, "z").select("z", "seg", (F.col("k") + F.col("off")).cast("long").alias("label"))
 
 
@@ -73,11 +73,6 @@ def prj3(spark, d):
     return v.join(m, "seg", "left").select("x", "y", "z", F.coalesce("to_label", "seg").alias("label"))
 
 
-@query("prj6_local_weight", WITH_PAIRS + "SELECT x, y, z, axis, pm + next_pm AS w FROM pairs")
-def prj6(spark, d):
-    return rag.voxel_pairs(vox(spark, d)).select("x", "y", "z", "axis", (F.col("pm") + F.col("next_pm")).alias("w"))
-
-
 @query("prj8_edge_volume", WITH_PAIRS + """, f AS (SELECT *, (least(seg, next_seg) + greatest(seg, next_seg)) % 2 + 1 AS label FROM pairs WHERE seg <> next_seg),
   s AS (SELECT x, y, z, label FROM f UNION ALL SELECT x + CASE axis WHEN 0 THEN 1 ELSE 0 END, y + CASE axis WHEN 1 THEN 1 ELSE 0 END, z + CASE axis WHEN 2 THEN 1 ELSE 0 END, label FROM f)
   SELECT x, y, z, max(label) AS label FROM s GROUP BY x, y, z""")
@@ -192,15 +187,15 @@ def wn1(spark, d):
 @query("wn2_islands", WITH_VOX + ", d AS (SELECT DISTINCT z FROM vox WHERE z % 5 IN (0, 1, 3)), r AS (SELECT z, z - row_number() OVER (ORDER BY z) AS k FROM d) SELECT min(z) AS first_z, max(z) AS last_z, count(*) AS n FROM r GROUP BY k")
 def wn2(spark, d):
     bad = vox(spark, d).filter((F.col("z") % 5).isin(0, 1, 3)).select("z").distinct()
-    # a slice whose predecessor is absent starts a run: gaps and islands by slice, of which there are few
-    k = F.col("z") - F.row_number().over(Window.orderBy("z"))
-    return bad.withColumn("k", k).groupBy("k").agg(F.min("z").alias("first_z"), F.max("z").alias("last_z"), F.count("*").alias("n")).drop("k")
+    # a slice's place among the bad ones, taken from it, is one number for a whole run
+    place = running_offsets(bad.withColumn("one", F.lit(1)), "z", "one")
+    return place.withColumn("k", F.col("z") - F.col("off")).groupBy("k").agg(F.min("z").alias("first_z"), F.max("z").alias("last_z"), F.count("*").alias("n")).drop("k")
 
 
 @query("wn3_running_offset", WITH_VOX + ", c AS (SELECT z, count(DISTINCT seg) AS k FROM vox GROUP BY z) SELECT z, CAST(sum(k) OVER (ORDER BY z) - k AS BIGINT) AS off FROM c")
 def wn3(spark, d):
     c = vox(spark, d).groupBy("z").agg(F.countDistinct("seg").alias("k"))
-    return c.select("z", (F.sum("k").over(Window.orderBy("z")) - F.col("k")).alias("off"))
+    return running_offsets(c, "z", "k")
 
 
 @query("wn6_windows", WITH_VOX + "SELECT x0, y0, z, CAST(sum(raw) AS BIGINT) AS total, count(*) AS n FROM vox, (SELECT unnest([0, 2, 4, 6]) AS x0), (SELECT unnest([0, 2, 4, 6]) AS y0) WHERE x >= x0 AND x < x0 + 4 AND y >= y0 AND y < y0 + 4 GROUP BY ALL")
@@ -245,12 +240,6 @@ def st3(spark, d):
     return v.select("seg").distinct().join(v.filter("raw > 45000").select("seg").distinct(), "seg", "left_anti")
 
 
-@query("st4_intersect", WITH_VOX + "SELECT seg FROM vox WHERE raw > 45000 INTERSECT SELECT seg FROM vox WHERE raw < 500")
-def st4(spark, d):
-    v = vox(spark, d)
-    return v.filter("raw > 45000").select("seg").intersect(v.filter("raw < 500").select("seg"))
-
-
 @query("im1_smooth", WITH_VOX + "SELECT x, y, z, lag(raw) OVER w + 2 * raw + lead(raw) OVER w AS v FROM vox WINDOW w AS (PARTITION BY y, z ORDER BY x)")
 def im1(spark, d):
     w = Window.partitionBy("y", "z").orderBy("x")
@@ -268,16 +257,6 @@ def im3(spark, d):
     return images.distance_transform(vox(spark, d))
 
 
-@query("im8_watershed")
-def im8(spark, d):
-    return images.watershed_superpixels(vox(spark, d), "pm", 50_000)
-
-
-@query("im12_label_volume")
-def im12(spark, d):
-    return images.label_volume(vox(spark, d), "gt")
-
-
 @query("im14_border_contacts", WITH_VOX + ", f AS (SELECT 'x0' AS face, seg, y AS a, z AS b FROM vox WHERE x = 0 UNION ALL SELECT 'x1', seg, y, z FROM vox WHERE x = 9 UNION ALL SELECT 'y0', seg, x, z FROM vox WHERE y = 0 UNION ALL SELECT 'y1', seg, x, z FROM vox WHERE y = 9) SELECT face, seg, count(*) AS n, min(a) AS a, min(b) AS b FROM f GROUP BY face, seg")
 def im14(spark, d):
     return images.border_contacts(vox(spark, d), 9, 9).groupBy("face", "seg").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cutgrove-checkpoints"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: lineage ends here and survives lost executors."""
     checkpoint_dir(df.sparkSession)

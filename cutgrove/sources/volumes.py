@@ -45,3 +45,29 @@ def inverse_cutout(voxels: DataFrame, box: tuple, seg: str = "seg") -> DataFrame
     x0, x1, y0, y1, z0, z1 = box
     inside = (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("z") >= z0) & (F.col("z") < z1)
     return voxels.withColumn(seg, F.when(inside, F.lit(0)).otherwise(F.col(seg) + 1))
+
+
+def input_channel(voxels: DataFrame, number: int, names: tuple):
+    """The numbered input as a 32-bit float column."""
+    if not 0 <= number < len(names):
+        raise IndexError(f"input {number} of {len(names)}")
+    return voxels[names[number]].cast("float")
+
+
+def child_cutout(voxels: DataFrame, box: tuple, ignore: tuple = (), bad: tuple = ()) -> DataFrame:
+    """x, y, z from the box's corner, consecutive seg, gt with ignored ids as 0, defect = 1 in bad slices of the parent."""
+    from cutgrove.operators.relabel import consecutive
+
+    x0, _, y0, _, z0, _ = box
+    inside = consecutive(cutout(voxels, box), "seg")
+    gt = F.when(F.col("gt").isin(*ignore), 0).otherwise(F.col("gt")) if ignore else F.col("gt")
+    defect = F.col("z").isin(*bad).cast("int") if bad else F.lit(0)
+    return inside.select((F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), (F.col("z") - z0).alias("z"), F.col("new_label").alias("seg"), gt.alias("gt"), defect.alias("defect"))
+
+
+def parameters(spark: SparkSession, **lists: tuple) -> DataFrame:
+    """(kind, value) of the id lists that a user sets; ids must be whole and not negative."""
+    rows = [(kind, int(v)) for kind, values in lists.items() for v in values]
+    if any(v < 0 for _, v in rows):
+        raise ValueError("ids are not negative")
+    return spark.createDataFrame(rows, "kind string, value long")

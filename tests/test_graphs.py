@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from cutgrove.operators import graphs, multicut
+from cutgrove.operators import defects, graphs, multicut
 from cutgrove.operators.components import components, contract
 
 F1 = [(0, 1, 5.0), (0, 3, -20.0), (1, 2, 5.0), (1, 4, 5.0), (2, 5, -20.0), (3, 4, 5.0), (4, 5, 5.0)]
@@ -145,16 +146,18 @@ def test_grid_path_prefers_cheap_voxels():
     assert graphs.grid_path({(0, 0, 0): 1.0, (5, 5, 5): 1.0}, (0, 0, 0), (5, 5, 5)) == []
 
 
-def test_distances_run_until_nothing_improves(spark):
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_distances_run_until_nothing_improves(spark, monkeypatch, in_one_task):
     n = 105
+    if not in_one_task:
+        n = 25
+        monkeypatch.setattr(graphs, "SEARCH_EDGES", 0)
     chain = spark.range(n).selectExpr("id u", "id + 1 v")
     assert {r.node: r.dist for r in graphs.distances(chain, 0).collect()} == {i: i for i in range(n + 1)}
     assert {r.node: r.dist for r in graphs.distances(chain, 0, hops=3).collect()} == {i: i for i in range(4)}
-    try:
-        graphs.distances(chain, 0, limit=4)
-    except RuntimeError:
-        return
-    raise AssertionError("unfinished distances were returned")
+    if not in_one_task:
+        with pytest.raises(RuntimeError):
+            graphs.distances(chain, 0, limit=4)
 
 
 def test_shortest_paths_against_relaxation(spark):
@@ -186,3 +189,38 @@ def test_far_pairs_are_pairs_of_nodes_of_the_graph(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "vox", lambda s, d: s.createDataFrame([(i,) for i in (0, 1, 3, 3, 4, 7, 31)], "seg long"))
     got = sorted(tuple(r) for r in graph_queries.QUERIES["jn11_far_pairs"](spark, "").collect())
     assert got == [(0, 4), (0, 7), (1, 7), (3, 7), (4, 7)]
+
+
+def test_searches_by_joins_and_in_one_task(spark, monkeypatch):
+    r = random.Random(9)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(110)) if a != b})
+    e = spark.createDataFrame([(u, v, r.randrange(1, 9)) for u, v in pairs], "u long, v long, n long")
+    for cost in (None, "n"):
+        one = {x.node: x.dist for x in graphs.distances(e, pairs[0][0], cost=cost).collect()}
+        target = max(one)
+        path = sorted(map(tuple, graphs.shortest_path(e, pairs[0][0], target, cost).collect()))
+        monkeypatch.setattr(graphs, "SEARCH_EDGES", 0)
+        assert {x.node: x.dist for x in graphs.distances(e, pairs[0][0], cost=cost).collect()} == one
+        assert sorted(map(tuple, graphs.shortest_path(e, pairs[0][0], target, cost).collect())) == path
+        monkeypatch.undo()
+        assert sum(p[3] for p in path) == one[target] and path[0][1] == pairs[0][0] and path[-1][2] == target and all(a[2] == b[1] for a, b in zip(path, path[1:]))
+        assert graphs.shortest_path(e, pairs[0][0], 10**6, cost).count() == 0
+    two = {x.node: x.dist for x in graphs.distances(e, pairs[0][0], 2).collect()}
+    assert two == {k: v for k, v in {x.node: x.dist for x in graphs.distances(e, pairs[0][0]).collect()}.items() if v <= 2}
+
+
+def test_flows_and_cuts():
+    r = random.Random(10)
+    for _ in range(60):
+        n = r.randrange(2, 9)
+        rows = [(r.randrange(n), r.randrange(n), r.randrange(0, 9)) for _ in range(r.randrange(1, 25))]
+        rows = [x for x in rows if x[0] != x[1]]
+        push, side = graphs.push_relabel(rows, 0, n - 1)
+        assert push == graphs.max_flow(rows, 0, n - 1)[0] == sum(c for u, v, c in rows if u in side and v not in side) and n - 1 not in side
+
+
+def test_slices_to_replace():
+    assert defects.run_sources((0,), 9) == [(0, 1)] and defects.run_sources((8,), 9) == [(8, 7)]
+    assert defects.run_sources((2, 3, 4), 9) == [(2, 1), (3, 1), (4, 5)] and defects.run_sources((5, 6, 7, 8), 9) == [(5, 4), (6, 4), (7, 4), (8, 4)]
+    with pytest.raises(ValueError):
+        defects.run_sources((1, 2, 3, 4, 5), 9)
