@@ -405,3 +405,11 @@ def far_pairs(edges: DataFrame, nodes: DataFrame, hops: int, draws: int) -> Data
     drawn = ids.select("seg", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"), "i").select("seg", ((F.col("i") * 7919 + F.col("k") * 104729 + 17) % max(1, n)).alias("i"))
     pairs = drawn.join(ids.withColumnRenamed("seg", "other"), "i").filter("seg <> other").select(F.least("seg", "other").alias("u"), F.greatest("seg", "other").alias("v")).distinct()
     return pairs.join(k_hop(edges, hops, 0).select("u", "v"), ["u", "v"], "left_anti")
+
+
+def long_range_costs(voxels: DataFrame, col: str, reach: int, scale: float) -> DataFrame:
+    """(x, y, z, cost): every pixel and the one ``reach`` further along x, the logit of the largest value on the line between."""
+    w = Window.partitionBy("z", "y").orderBy("x")
+    p = F.greatest(F.col(col), *(F.lead(col, k).over(w) for k in range(1, reach + 1))) * scale
+    rows = voxels.select("x", "y", "z", p.alias("p"), F.lead("x", reach).over(w).alias("end"))
+    return rows.filter(F.col("end") == F.col("x") + reach).select("x", "y", "z", F.ln((1 - F.col("p")) / F.col("p")).alias("cost"))

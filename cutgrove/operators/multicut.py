@@ -7,11 +7,15 @@ any optimum of the plain problem. Kernels are plain Python over one component's
 from __future__ import annotations
 
 import heapq
+import random
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutgrove.session import cut
+
 from .components import components
 
 
@@ -92,45 +96,182 @@ def connected_labels(edges, labels: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def kernighan_lin(edges: list[tuple], labels: dict[int, int], lifted: list[tuple] = (), rounds: int = 100, eps: float = 1e-7) -> dict[int, int]:
-    """Improves a labelling by moves of boundary nodes between touching parts, joins of parts and splits of single nodes."""
-    both = [*edges, *lifted]
+def adjacency(labels, edges, lifted=()) -> tuple[dict, dict]:
+    """Costs of all pairs and neighbours by local edges, as dictionaries of dictionaries and of sets."""
     cost: dict[int, dict[int, float]] = {a: {} for a in labels}
-    for u, v, c in both:
-        cost[u][v] = cost[u].get(v, 0.0) + c
-        cost[v][u] = cost[v].get(u, 0.0) + c
     near: dict[int, set] = {a: set() for a in labels}
-    for u, v, _ in edges:
-        near[u].add(v)
-        near[v].add(u)
+    for rows, local in ((edges, True), (lifted, False)):
+        for u, v, c in rows:
+            if u != v:
+                cost[u][v] = cost[u].get(v, 0.0) + c
+                cost[v][u] = cost[v].get(u, 0.0) + c
+                if local:
+                    near[u].add(v)
+                    near[v].add(u)
+    return cost, near
+
+
+def two_cut(a: set, b: set, cost: dict, near: dict, eps: float) -> tuple[float, list, bool]:
+    """The best sequence of moves between two parts: (gain, moved nodes, whether both parts should rather be one).
+
+    Nodes move one by one, the largest gain first (ties: the smaller node), each at most once and only where a local
+    neighbour is on the other side; with b empty any node may start it. The best prefix of the sequence counts.
+    """
+    side = dict.fromkeys(a, 0) | dict.fromkeys(b, 1)
+    gain = {}
+    between = 0.0
+    for v in side:
+        g = 0.0
+        for w, c in cost[v].items():
+            if w in side:
+                g += c if side[w] != side[v] else -c
+                if side[v] == 0 and side[w] == 1:
+                    between += c
+        gain[v] = g
+    start = a if not b else [v for v in side if any(w in side and side[w] != side[v] for w in near[v])]
+    heap = [(-gain[v], v) for v in start]
+    heapq.heapify(heap)
+    moved, total, best, prefix, done = [], 0.0, 0.0, 0, set()
+    while heap:
+        g, v = heapq.heappop(heap)
+        if v in done or -g != gain[v]:
+            continue
+        if moved and not any(w in side and side[w] != side[v] for w in near[v]):
+            continue
+        done.add(v)
+        moved.append(v)
+        total -= g
+        side[v] = 1 - side[v]
+        if total > best + eps:
+            best, prefix = total, len(moved)
+        for w, c in cost[v].items():
+            if w in side and w not in done:
+                gain[w] += -2 * c if side[w] == side[v] else 2 * c
+                if w in near[v] or any(x in side and side[x] != side[w] for x in near[w]):
+                    heapq.heappush(heap, (-gain[w], w))
+        if len(moved) - prefix > 50 + prefix:  # far behind the best prefix: the rest of a long part seldom returns
+            break
+    if b and between > best + eps:
+        return between, [], True
+    return best, moved[:prefix], False
+
+
+def kernighan_lin(edges: list[tuple], labels: dict[int, int], lifted: list[tuple] = (), rounds: int = 100, eps: float = 1e-7) -> dict[int, int]:
+    """Improves a labelling by two-cut moves: between every pair of touching parts, joins included, and from a part to a new one.
+
+    Rounds go on while the energy falls; pairs of parts that did not change since they were last tried are skipped.
+    """
+    cost, near = adjacency(labels, edges, lifted)
     labels = connected_labels(edges, labels)
-    best, value = dict(labels), cut_energy(both, labels)
+    both = [*edges, *lifted]
+    value = cut_energy(both, labels)
+    parts: dict[int, set] = {}
+    for v, k in labels.items():
+        parts.setdefault(k, set()).add(v)
     fresh = max(labels, default=0) + 1
+    changed = set(parts)
+    best = dict(labels)
     for _ in range(rounds):
-        for a in sorted(labels):
-            pull: dict[int, float] = {}
-            for b, c in cost[a].items():
-                pull[labels[b]] = pull.get(labels[b], 0.0) + c
-            own = pull.get(labels[a], 0.0)
-            options = [(pull.get(k, 0.0), -k) for k in {labels[b] for b in near[a]} - {labels[a]}] + [(0.0, -fresh)]
-            gain, k = max(options)
-            if gain > own + eps:
-                labels[a] = -k
-                fresh += -k == fresh
-        labels = connected_labels(edges, labels)
-        between: dict[tuple, float] = {}
-        touching = {(min(labels[u], labels[v]), max(labels[u], labels[v])) for u, v, _ in edges if labels[u] != labels[v]}
-        for u, v, c in both:
+        now: set = set()
+        touching = sorted({(min(labels[u], labels[v]), max(labels[u], labels[v])) for u, v, _ in edges if labels[u] != labels[v]})
+        for k, m in touching:
+            if not (k in changed or m in changed) or not parts.get(k) or not parts.get(m):
+                continue
+            gain, moved, join = two_cut(parts[k], parts[m], cost, near, eps)
+            if gain <= eps:
+                continue
+            if join:
+                for v in parts[m]:
+                    labels[v] = k
+                parts[k] |= parts.pop(m)
+            else:
+                for v in moved:
+                    to = m if labels[v] == k else k
+                    parts[labels[v]].discard(v)
+                    parts[to].add(v)
+                    labels[v] = to
+            now |= {k, m}
+        for k in sorted(k for k in parts if k in changed or k in now):
+            while len(parts[k]) > 1:
+                gain, moved, _ = two_cut(parts[k], set(), cost, near, eps)
+                if gain <= eps or len(moved) == len(parts[k]):
+                    break
+                parts[fresh] = set(moved)
+                parts[k] -= parts[fresh]
+                for v in moved:
+                    labels[v] = fresh
+                now |= {k, fresh}
+                fresh += 1
+        parts = {k: s for k, s in parts.items() if s}
+        # moves may take a part to pieces: those become parts of their own
+        split = connected_labels(edges, labels)
+        pieces: dict[int, set] = {}
+        for v, k in split.items():
+            pieces.setdefault(k, set()).add(v)
+        before = {frozenset(s): k for k, s in parts.items()}
+        changed = {k for k, s in pieces.items() if before.get(frozenset(s)) in now or frozenset(s) not in before}
+        labels, parts = split, pieces
+        energy = cut_energy(both, labels)
+        if energy >= value - eps:
+            break
+        best, value = dict(labels), energy
+    return best
+
+
+def contracted(edges, labels: dict[int, int], lifted=()) -> tuple[list, list]:
+    """Local and lifted edges between labels, with summed costs."""
+    out = []
+    for rows in (edges, lifted):
+        sums: dict[tuple, float] = {}
+        for u, v, c in rows:
             k = (min(labels[u], labels[v]), max(labels[u], labels[v]))
             if k[0] != k[1]:
-                between[k] = between.get(k, 0.0) + c
-        merged = gaec([(a, b, between[a, b]) for a, b in sorted(touching)], [(a, b, c) for (a, b), c in sorted(between.items()) if (a, b) not in touching])
-        labels = {a: merged.get(k, k) for a, k in labels.items()}
-        now = cut_energy(both, labels)
-        if now >= value - eps:
-            break
-        best, value = dict(labels), now
-    return connected_labels(edges, best)
+                sums[k] = sums.get(k, 0.0) + c
+        out.append([(u, v, c) for (u, v), c in sorted(sums.items())])
+    return out[0], out[1]
+
+
+def branch_and_bound(edges: list[tuple], lifted: list[tuple] = (), most: int = 50_000) -> dict[int, int] | None:
+    """The optimum, by joining or cutting the pair with the largest cost first; None after ``most`` open problems.
+
+    A problem is a contracted graph and its pairs that must stay cut; its bound is the cost cut so far plus all negative
+    costs left, which no partition can go under. Only locally connected parts count.
+    """
+    nodes = sorted({a for u, v, _ in [*edges, *lifted] for a in (u, v)})
+    start = kernighan_lin(edges, gaec(edges, lifted), lifted)
+    start = {a: start.get(a, a) for a in nodes}
+    best, value, opened = start, cut_energy([*edges, *lifted], start), 0
+    stack = [({a: a for a in nodes}, frozenset())]
+    while stack:
+        labels, apart = stack.pop()
+        opened += 1
+        if opened > most:
+            return None
+        local, far = contracted(edges, labels, lifted)
+        total: dict[tuple, float] = {}
+        for u, v, c in [*local, *far]:
+            total[u, v] = total.get((u, v), 0.0) + c
+        if any(p not in total and p[0] == p[1] for p in apart):
+            continue
+        bound = sum(c if p in apart else min(0.0, c) for p, c in total.items())
+        if bound >= value - 1e-9:
+            continue
+        open_pairs = [(abs(total[u, v]), -u, -v) for u, v, _ in local if (u, v) not in apart]
+        here = cut_energy([*edges, *lifted], labels)
+        if here < value - 1e-9:
+            best, value = labels, here
+        if not open_pairs:
+            continue
+        _, u, v = max(open_pairs)
+        u, v = -u, -v
+        joined = {a: u if k == v else k for a, k in labels.items()}
+        names = lambda p: tuple(sorted(u if x == v else x for x in p))
+        first, second = (joined, frozenset(map(names, apart))), (labels, apart | {(u, v)})
+        ok = all(p[0] != p[1] for p in first[1])
+        for x in (second, first) if total[u, v] > 0 else (first, second):
+            if x is not first or ok:
+                stack.append(x)
+    return {a: min(b for b in nodes if best[b] == best[a]) for a in nodes}
 
 
 def brute_force(edges: list[tuple], lifted: list[tuple] = (), most: int = 9) -> dict[int, int] | None:
@@ -159,28 +300,145 @@ def brute_force(edges: list[tuple], lifted: list[tuple] = (), most: int = 9) ->
 
 def fuse(edges, first: dict, second: dict, lifted=()) -> dict[int, int]:
     """Contracts what neither labelling cuts, solves the rest, returns the best of the three."""
-    both = {a: (first[a], second[a]) for a in first}
     names: dict[tuple, int] = {}
-    for a in sorted(both):
-        names.setdefault(both[a], a)
-    start = connected_labels(edges, {a: names[k] for a, k in both.items()})
-    small: list[dict] = [{}, {}]
-    for i, rows in enumerate((edges, lifted)):
-        for u, v, c in rows:
-            k = (min(start[u], start[v]), max(start[u], start[v]))
-            if k[0] != k[1]:
-                small[i][k] = small[i].get(k, 0.0) + c
-    reduced = [[(u, v, c) for (u, v), c in sorted(s.items())] for s in small]
-    solved = kernighan_lin(reduced[0], gaec(*reduced), reduced[1]) if reduced[0] else {}
+    for a in sorted(first):
+        names.setdefault((first[a], second[a]), a)
+    start = connected_labels(edges, {a: names[first[a], second[a]] for a in first})
+    local, far = contracted(edges, start, lifted)
+    solved = kernighan_lin(local, gaec(local, far), far) if local else {}
     fused = {a: solved.get(k, k) for a, k in start.items()}
     return min((fused, first, second), key=lambda x: cut_energy([*edges, *lifted], x))
 
 
+def noisy_proposal(edges, lifted, r: random.Random, sigma: float) -> dict[int, int]:
+    """Greedy contraction of costs with Gaussian noise of ``sigma`` times their spread."""
+    spread = sigma * (sum(c * c for _, _, c in edges) / max(1, len(edges))) ** 0.5
+    return gaec([(u, v, c + r.gauss(0, spread)) for u, v, c in edges], lifted)
+
+
+def watershed_proposal(edges, r: random.Random, sigma: float, seed_fraction: float) -> dict[int, int]:
+    """Random seeds grown over the heaviest noisy edges first: a spanning forest with one seed a tree."""
+    nodes = sorted({a for u, v, _ in edges for a in (u, v)})
+    label = {a: a for a in nodes}
+    seeds = set(r.sample(nodes, max(1, int(seed_fraction * len(nodes)))))
+
+    def root(a):
+        while label[a] != a:
+            label[a] = a = label[label[a]]
+        return a
+
+    for _, u, v in sorted((-(c + r.gauss(0, sigma)), u, v) for u, v, c in edges):
+        a, b = root(u), root(v)
+        if a != b and not (a in seeds and b in seeds):
+            label[a if b in seeds else b] = b if b in seeds else a
+    return connected_labels(edges, {a: root(a) for a in nodes})
+
+
+def subgraph_proposal(edges, lifted, labels: dict, near: dict, r: random.Random, radius: int) -> dict[int, int]:
+    """The labelling with a ball around a random node solved anew while the rest keeps its labels."""
+    start = r.choice(sorted(labels))
+    ball, rim = {start}, {start}
+    for _ in range(radius):
+        rim = {b for a in rim for b in near[a]} - ball
+        ball |= rim
+    inside = [(u, v, c) for u, v, c in edges if u in ball and v in ball]
+    far = [(u, v, c) for u, v, c in lifted if u in ball and v in ball]
+    if not inside:
+        return labels
+    own = kernighan_lin(inside, gaec(inside, far), far)
+    shift = max(labels.values()) + 1
+    return connected_labels(edges, {a: own[a] + shift if a in own else k for a, k in labels.items()})
+
+
+@dataclass(frozen=True)
+class FusionSettings:
+    """Fusion moves: the kind of proposals (noise, watershed, subgraph), how many a round, when to stop, and their shape."""
+
+    kind: str = "watershed"
+    rounds: int = 10
+    proposals: int = 2
+    stale: int = 3
+    sigma: float = 1.0
+    seed_fraction: float = 0.1
+    radius: int = 5
+    seed: int = 42
+
+
+def fusion_moves(edges, labels: dict, lifted=(), settings: FusionSettings = FusionSettings(), extra: list[dict] = ()) -> dict[int, int]:
+    """Fuses proposals with the best labelling and with one another, pair by pair, until ``stale`` rounds gain nothing.
+
+    extra: labellings from outside that are fused first. The energy never rises.
+    """
+    r = random.Random(settings.seed)
+    both = [*edges, *lifted]
+    _, near = adjacency(labels, edges)
+    best, value, stale = labels, cut_energy(both, labels), 0
+    for k in range(settings.rounds):
+        if settings.kind == "noise":
+            made = [noisy_proposal(edges, lifted, r, settings.sigma) for _ in range(settings.proposals)]
+        elif settings.kind == "watershed":
+            made = [watershed_proposal(edges, r, settings.sigma, settings.seed_fraction) for _ in range(settings.proposals)]
+        else:
+            made = [subgraph_proposal(edges, lifted, best, near, r, settings.radius) for _ in range(settings.proposals)]
+        made = [*(extra if not k else ()), *made]
+        pool = [fuse(edges, best, m, lifted) for m in made]
+        while len(pool) > 1:  # a tree of fusions
+            pool = [fuse(edges, pool[i], pool[i + 1], lifted) if i + 1 < len(pool) else pool[i] for i in range(0, len(pool), 2)]
+        energy = cut_energy(both, pool[0])
+        if energy < value - 1e-9:
+            best, value, stale = pool[0], energy, 0
+        elif (stale := stale + 1) >= settings.stale:
+            break
+    return best
+
+
+def block_icm(edges, labels: dict, lifted=(), radius: int = 2, rounds: int = 3) -> dict[int, int]:
+    """Local search: balls around one node after the other are solved anew and kept where the energy falls."""
+    both = [*edges, *lifted]
+    _, near = adjacency(labels, edges)
+    best, value = labels, cut_energy(both, labels)
+
+    class At:
+        def __init__(self, node):
+            self.node = node
+
+        def choice(self, _):
+            return self.node
+
+    for _ in range(rounds):
+        before = value
+        for a in sorted(labels):
+            if all(best[b] == best[a] for b in near[a]):
+                continue
+            got = fuse(edges, best, subgraph_proposal(edges, lifted, best, near, At(a), radius), lifted)
+            if (energy := cut_energy(both, got)) < value - 1e-9:
+                best, value = got, energy
+        if value >= before - 1e-9:
+            break
+    return best
+
+
+def optimize_lifted(edges, lifted, start: dict | None = None) -> dict[int, int]:
+    """Greedy contraction (or a given start), two-cut moves, one round of noisy proposals, three of subgraph proposals."""
+    labels = kernighan_lin(edges, start or gaec(edges, lifted), lifted)
+    labels = fusion_moves(edges, labels, lifted, FusionSettings("noise", rounds=1, proposals=2, sigma=0.5, seed=42))
+    return fusion_moves(edges, labels, lifted, FusionSettings("subgraph", rounds=3, proposals=10, radius=5, seed=43))
+
+
+def _kl(e, f):
+    return kernighan_lin(e, gaec(e, f), f)
+
+
+#: Kernels over one component's local and lifted edges.
 SOLVERS = {
-    "gaec": lambda e, f: gaec(e, f),
-    "kl": lambda e, f: kernighan_lin(e, gaec(e, f), f),
-    "exact": lambda e, f: brute_force(e, f) or kernighan_lin(e, gaec(e, f), f),
-    "fusion": lambda e, f: fuse(e, kernighan_lin(e, gaec(e, f), f), gaec([(u, v, c + (0.1 if (u * 31 + v) % 2 else -0.1)) for u, v, c in e], f), f),
+    "gaec": gaec,
+    "kl": _kl,
+    "exact": lambda e, f: (branch_and_bound(e, f, 2_000) if len(e) <= 60 else None) or _kl(e, f),
+    "fusion": lambda e, f: fusion_moves(e, _kl(e, f), f),
+    "noise": lambda e, f: fusion_moves(e, _kl(e, f), f, FusionSettings("noise", rounds=3, sigma=0.5)),
+    "subgraph": lambda e, f: fusion_moves(e, _kl(e, f), f, FusionSettings("subgraph", rounds=3, radius=3)),
+    "icm": lambda e, f: block_icm(e, gaec(e, f), f, rounds=1),
+    "lifted": optimize_lifted,
 }
 
 
@@ -195,8 +453,11 @@ def attractive_components(edges: DataFrame, lifted: DataFrame | None = None) ->
 
 def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None) -> DataFrame:
     """node_labels(node, label) of edges(u, v, cost) and lifted edges of the same form; labels are smallest nodes."""
-    comp = attractive_components(edges, lifted)
-    rows = edges.select("u", "v", F.col("cost").cast("double"), F.lit(True).alias("is_local"))
+    edges = cut(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
+    if lifted is not None:
+        lifted = cut(lifted.select("u", "v", F.col("cost").cast("double").alias("cost")))
+    comp = cut(attractive_components(edges, lifted))
+    rows = edges.select("u", "v", "cost", F.lit(True).alias("is_local"))
     if lifted is not None:
         rows = rows.unionByName(lifted.select("u", "v", F.col("cost").cast("double"), F.lit(False).alias("is_local")))
     left, right = comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), comp.select(F.col("node").alias("v"), F.col("component").alias("cv"))
@@ -223,3 +484,10 @@ def cut_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges with cut = 1 where the end labels differ."""
     both = edges.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
     return both.withColumn("cut", (F.col("lu") != F.col("lv")).cast("int")).drop("lu", "lv")
+
+
+def node_labels(cut_table: DataFrame) -> DataFrame:
+    """(node, label) from edges(u, v, cut): parts joined by uncut edges, named by their smallest node."""
+    alone = cut_table.select(F.explode(F.array("u", "v")).alias("a")).distinct().select("a", F.col("a").alias("b"))
+    uncut = cut_table.filter("cut = 0").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return components(uncut.unionByName(alone)).withColumnRenamed("component", "label")

@@ -281,7 +281,7 @@ def label_slices(voxels: DataFrame, col: str, neighbours: int = 8) -> DataFrame:
 
 def face_centroids(voxels: DataFrame, col: str, last_x: int, last_y: int) -> DataFrame:
     """(face, col, piece, a, b): for every piece of a label on a side (8-connected) its innermost point, the mean of equals."""
-    contacts = images.border_contacts(voxels.withColumnRenamed(col, "seg"), last_x, last_y)
+    contacts = images.border_contacts(voxels.select("x", "y", "z", F.col(col).alias("seg")), last_x, last_y)
     # every face is one slice of a volume of faces
     number = F.array_position(F.array(*(F.lit(f) for f in ("x0", "x1", "y0", "y1"))), F.col("face")) - 1
     flat = contacts.select(F.col("a").alias("x"), F.col("b").alias("y"), number.cast("long").alias("z"), "seg")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
 from cutgrove.operators import components as cc
-from cutgrove.operators import graphs, learning, metrics, multicut, rag, relabel
+from cutgrove.operators import graphs, learning, metrics, multicut, rag, relabel, workflows
 from cutgrove.session import cut
 
 from .common import WITH_EDGES, WITH_VOX, edges, vox
@@ -206,16 +206,22 @@ def gr9(spark, d):
     return vox(spark, d).select("gt", "x", "y", "z", "pm").groupBy("gt").applyInArrow(run, "obj long, seq long, x long, y long, z long")
 
 
+def halves(spark, d):
+    return learning.z_cutouts(vox(spark, d), (0.5,))
+
+
 @query("ml3_forest_probabilities")
 def ml3(spark, d):
-    return learning.boundary_probabilities(edges(spark, d), vox(spark, d))
+    """Probabilities of the second half's edges from a forest over the first half's."""
+    train, test = halves(spark, d)
+    return learning.learn_and_predict([train], test).select("u", "v", "p")
 
 
 @query("wf1_multicut_workflow")
 def wf1(spark, d):
-    p = cut(learning.boundary_probabilities(edges(spark, d), vox(spark, d)))
-    labels = cut(multicut.solve(p.select("u", "v", en.energy(F.col("p")).alias("cost"))))
-    return labels
+    """Learnt on the outer parts of the volume along z, solved on the middle."""
+    low, middle, high = learning.z_cutouts(vox(spark, d))
+    return workflows.multicut_workflow([low, high], middle)
 
 
 @query("wf5_no_learning")
