@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cutgrove.llm import bpe, decontaminate, near_dups, pii, quality
 from cutgrove.llm.common import table
-from cutgrove.session import checkpoint_dir
+from cutgrove.session import drop_path, scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +38,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage but the last goes to the shared checkpoint folder: no stage computes the ones before it again."""
-    checkpoint_dir(spark)
-    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """Every stage but the last goes to the shared checkpoint folder: no stage computes the ones before it again.
+
+    A stage's table is dropped once the next one is written; the last of them stays, as the result is read from it.
+    """
+    docs, written = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         if k:
-            docs.write.parquet(f"{shared}/{k}")
-            docs = spark.read.parquet(f"{shared}/{k}")
+            path = scratch(spark, "pipeline")
+            docs.write.parquet(path)
+            if written:
+                drop_path(spark, written)
+            docs, written = spark.read.parquet(path), path
         docs = stage(spark, docs, sf_dir)
     return docs
