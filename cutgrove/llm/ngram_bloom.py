@@ -1,30 +1,39 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training documents (crc32 of doc_id mod 7 not 2) give word and word-pair counts. A count c is quantised to
-level 1 + floor(log2 c) and stored by entering the n-gram once for every level up to its own; a reader probes level 1, 2,
-... until one is absent and takes the lower end of the last level found. A text's probability is the product of
-(c(u,w) + M * p(w)) / (c(u) + M) with p(w) = (c(w) + 1) / (N + V + 1), all counts read from the filter.
-
-Counting is one shuffle. A map task hashes words (64 bits) in groups of at most GROUP_BYTES of text and sends each shard,
-a range of hashes, one packed row: the group's distinct hashes with their documents, and its distinct pairs. A shard
-holds about SHARD_BYTES of text and returns exact counts for the base score, as sums per document, and its part of the
-filter. A word or pair that fills a third of the corpus is one entry a group.
-
-The filter grows with the corpus. It is broadcast in passes: each carries the word part and pair parts of at most
-PASS_BYTES, and scores the pairs of its parts; a document's score is the sum over passes.
-
-Null and empty texts are one end token. Repeated rows get equal scores. An empty table gives no rows; without training
-rows every count is 0 and p(w) = 1.
+Training documents (crc32 of doc_id as text, mod 7, not 2) give counts of words, word pairs and word triples. A count is
+quantised down to 1, 2, 3, 4, 6, 8, 12, 16, ... and stored by entering the n-gram once for every level up to its own; a
+reader probes level 1, 2, ... until one is absent. A text's probability is the product over its tokens of
+
+    p(w | u v) = (c(u v w) + M3 p(w | v)) / (c(u v) + M3),    p(w | v) = (c(v w) + M2 p(w)) / (c(v) + M2),
+    p(w) = (c(w) + 1) / (N + V + 1)
+
+with all counts read from the filter and no count above that of its context; a text's first token has no triple.
+
+1. Map tasks hash texts in groups of at most GROUP_BYTES and write, for each shard (a range of hashes), one packed row with
+   the group's distinct words and n-grams of that shard and how often training documents of the group hold them, and one
+   row with the group's texts, compressed. A word or n-gram that fills a third of the corpus is one entry a group.
+2. A shard holds about SHARD_BYTES of text. Its task adds the counts up, builds its part of the filter, and answers every
+   group with the exact counts of its words, for the base score.
+3. If the parts together are at most BROADCAST_BYTES, the whole filter is broadcast. Beyond that no broadcast can keep up
+   with the corpus: the groups' n-grams are sent to the parts, probed there, and the levels come back, one byte each. Both
+   ways read the same bits and give the same scores, each in one pass over the texts.
+4. A group's task has its texts and all answers and scores its documents.
+
+Everything that is written or shuffled grows with the text; rows grow with groups times shards, of which either grows with
+the text: the product is 2 million rows at 30 GB and 2 billion at 1 TB. Groups and shards must grow beyond that.
+
+Null and empty texts are one end token. A null id is a training id. Repeated rows are scored each. Other columns are not
+read. An empty table gives no rows; without training rows every count is 0 and p(w) = 1.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,38 +43,26 @@ from .words import hash_texts, mix
 
 GROUP_BYTES = 8 << 20
 GROUP_ROWS = 60_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 64
-PASS_BYTES = 128 << 20
+BROADCAST_BYTES = 16 << 20
 BITS = 12
 PROBES = 5
-#: Pseudo-count of the word model in the pair model.
-M = 60.0
+#: Pseudo-counts of the lower model in the pair and in the triple model.
+M2, M3 = 20.0, 2.0
+#: Counts that levels stand for: powers of two and halfway between.
+VALUES = np.array(sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(40))}), np.int64)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_PAIR = np.uint64(0xA24BAED4963EE407)
+_PAIR, _TRIPLE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
-_U32 = np.uint64(32)
+_U32, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+_END_ROW = np.array([END])
 
 
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-_END_ROW = np.array([END])
-
-
-def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The token before each one, START at the texts' first tokens."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[starts] = START
-    return before
-
-
-def pair_hashes(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + tokens)
-
-
 def flat_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts in a row, an end after each text, and where each text begins."""
     words = hash_texts(texts)
@@ -73,66 +70,123 @@ def flat_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
 
 
+def before(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The token before each one, START at the texts' first tokens."""
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[starts] = START
+    return out
+
+
+def ngrams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the pair and of the triple that end at each token, and a mask of the tokens that have a triple."""
+    one = before(tokens, starts)
+    two = before(one, starts)
+    has = np.ones(len(tokens), bool)
+    has[starts] = False
+    pair = one * _PAIR + tokens
+    return mix(pair), mix((two * _PAIR + one) * _TRIPLE + tokens), has
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> _U32) * np.uint64(shards)) >> _U32
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.log2(counts).astype(np.int64)
+    return np.searchsorted(VALUES, counts, "right")
 
 
-def _place(h: np.ndarray, level: int, size: np.ndarray | int):
-    """Word of the filter and bit mask for each hash at a level; all PROBES bits lie in one 64-bit word."""
-    x = mix(h + np.uint64(level * int(_LEVEL) % (1 << 64)))
+def _place(key: np.ndarray, level: int, size: np.ndarray | int):
+    """Word of the filter and bit mask for each key (32 bits) at a level; all PROBES bits lie in one 64-bit word."""
+    x = mix((key & _LOW) + np.uint64(level * int(_LEVEL) % (1 << 64)))
     at = ((x >> _U32) * np.asarray(size, np.uint64)) >> _U32
-    mask = np.zeros(len(h), np.uint64)
+    mask = np.zeros(len(key), np.uint64)
     for i in range(PROBES):
         mask |= np.uint64(1) << ((x >> np.uint64(6 * i)) & np.uint64(63))
     return at, mask
 
 
-def build(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Filter words for distinct hashes with counts over 0."""
+def build(key: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Filter words for distinct keys with counts over 0."""
     level = levels(counts)
-    out = np.zeros(max(1, int(level.sum()) * BITS // 64 + 1), np.uint64)
+    out = np.zeros(max(1, int(level.sum()) * bits // 64 + 1), np.uint64)
     for k in range(1, int(level.max(initial=0)) + 1):
-        at, mask = _place(h[level >= k], k, len(out))
+        at, mask = _place(key[level >= k], k, len(out))
         np.bitwise_or.at(out, at, mask)
     return out
 
 
 class Filter:
-    """Filter parts of some shards, read together."""
-
-    def __init__(self, parts: dict[int, np.ndarray], shards: int):
-        self.size, self.offset = np.zeros(shards, np.uint64), np.zeros(shards, np.uint64)
-        at = 0
-        for s, p in sorted(parts.items()):
-            self.size[s], self.offset[s] = len(p), at
-            at += len(p)
-        self.words = np.concatenate([p for _, p in sorted(parts.items())]) if parts else np.zeros(1, np.uint64)
-        self.shards = shards
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Lower end of the quantised count of each hash, 0 where level 1 is absent."""
-        out = np.zeros(len(h), np.float64)
-        s = shard_of(h, self.shards)
-        left = np.flatnonzero(self.size[s] > 0)
-        level = 1
-        while len(left) and level < 64:
-            x = s[left]
-            at, mask = _place(h[left], level, self.size[x])
-            left = left[(self.words[self.offset[x] + at] & mask) == mask]
-            out[left] = 2.0 ** (level - 1)
+    """Filter parts of all shards in one array, or of one shard."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        self.words, self.sizes = words, sizes.astype(np.uint64)
+        self.offsets = (np.cumsum(sizes) - sizes).astype(np.uint64)
+
+    def levels(self, h: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
+        """The last level of each hash's key before one is absent."""
+        shard = shard_of(h, len(self.sizes)) if shard is None else shard
+        out = np.zeros(len(h), np.uint8)
+        left, level = np.flatnonzero(self.sizes[shard] > 0), 1
+        while len(left) and level <= len(VALUES):
+            x = shard[left]
+            at, mask = _place(h[left], level, self.sizes[x])
+            left = left[(self.words[self.offsets[x] + at] & mask) == mask]
+            out[left] = level
             level += 1
         return out
 
 
-def fingerprint(doc_id, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{doc_id}|{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+_COUNT = np.concatenate(([0], VALUES)).astype(np.float64)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = [a.tobytes() for a in arrays]
+    return np.array([len(raw), *map(len, raw)], "<i8").tobytes() + b"".join(raw)
+
+
+def _unpack(raw: bytes, *types) -> list[np.ndarray]:
+    sizes = np.frombuffer(raw, "<i8", len(types), 8)
+    at, out = 8 * (len(types) + 1), []
+    for n, kind in zip(sizes, types):
+        out.append(np.frombuffer(raw, kind, int(n) // np.dtype(kind).itemsize, at))
+        at += int(n)
+    return out
+
+
+def _short(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes; those from 255 on follow apart."""
+    return np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype(np.uint32)
+
+
+def _long(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = large
+    return out
+
+
+def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and the sum of their weights."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(weight[order].astype(np.int64), first)
+
+
+def _keys(h: np.ndarray, weight: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of 32 bits by shard, their weights, and where each shard begins. h: not empty."""
+    u, c = _distinct((shard_of(h, shards) << _U32) | (h & _LOW), weight)
+    return (u & _LOW).astype(np.uint32), c, np.searchsorted(u, np.arange(shards + 1, dtype=np.uint64) << _U32)
 
 
-def _groups(batches, start: int):
+def _hashed(texts: list[str], shards: int):
+    """What a group's texts look like, the same wherever it is computed: tokens, starts, n-grams and distinct words."""
+    tokens, starts = flat_tokens(texts)
+    pair, triple, has = ngrams(tokens, starts)
+    return tokens, starts, pair, triple, has
+
+
+def _groups(batches):
     """(ids, texts) of at most GROUP_ROWS rows and about GROUP_BYTES of text."""
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -148,169 +202,142 @@ def _groups(batches, start: int):
         yield ids, texts
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(len(a.tobytes()) for a in arrays)], "<i8")
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def _unpack(raw: bytes, *types) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, "<i8", len(types), 8)
-    at, out = 8 * (len(types) + 1), []
-    for n, kind in zip(sizes, types):
-        out.append(np.frombuffer(raw, kind, int(n) // np.dtype(kind).itemsize, at))
-        at += int(n)
-    return out
+NAMES = ["shard", "gid", "data"]
 
 
 def _gather(docs: DataFrame, shards: int) -> DataFrame:
-    """Packed rows (shard, gid, data) of every group; negative shards, dealt by group, hold the fingerprints."""
+    """(shard, gid, data): words and n-grams of every group for every shard; under shard -1 its ids and texts."""
 
     def run(batches):
-        part, n = TaskContext.get().partitionId(), 0
-        for ids, texts in _groups(batches, 0):
-            gid = part * (1 << 24) + n
-            n += 1
-            train = np.array([not held_out(i) for i in ids])
-            tokens, starts = flat_tokens(texts)
+        part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        for n, (ids, texts) in enumerate(_groups(batches)):
+            tokens, starts, pair, triple, has = _hashed(texts, shards)
             sizes = np.diff(np.append(starts, len(tokens)))
-            h, idx, tf = [], [], []
-            for i, (lo, size) in enumerate(zip(starts, sizes)):
-                u, c = np.unique(tokens[lo : lo + size], return_counts=True)
-                h.append(u)
-                tf.append(c.astype(np.uint32))
-                idx.append(np.full(len(u), i, np.uint16))
-            pairs = pair_hashes(tokens, contexts(tokens, starts))[np.repeat(train, sizes)]
-            prints = np.array([fingerprint(i, t) for i, t in zip(ids, texts)], np.int64)
-            h, idx, tf = np.concatenate(h), np.concatenate(idx), np.concatenate(tf)
-            order = np.argsort(h, kind="stable")
-            h, idx, tf = h[order], idx[order], tf[order]
-            u, first, many = np.unique(h, return_index=True, return_counts=True)
-            p, pc = np.unique(pairs, return_counts=True)
-            pc = pc.astype(np.uint32)
-            many, flags = many.astype(np.uint32), np.packbits(train)
-            edges = np.arange(shards + 1)
-            su, sp = np.searchsorted(shard_of(u, shards), edges), np.searchsorted(shard_of(p, shards), edges)
-            at = np.append(first, len(h))
-            rows = [_pack(prints)]
+            train = np.repeat([not held_out(i) for i in ids], sizes)
+            words, counts = _distinct(tokens, train)
+            edges = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
+            keys, grams, at = _keys(np.concatenate([pair, triple[has]]), np.concatenate([train, train[has]]), shards)
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            known = np.array([i is not None for i in ids])
+            rows = [_pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, raw)), np.int64), np.frombuffer(pack.compress(b"".join(raw)), np.uint8))]
             for s in range(shards):
-                a, b = at[su[s]], at[su[s + 1]]
-                rows.append(_pack(np.array([len(ids)], np.int64), flags, u[su[s] : su[s + 1]], many[su[s] : su[s + 1]], idx[a:b], tf[a:b], p[sp[s] : sp[s + 1]], pc[sp[s] : sp[s + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - (part * 4096 + n) % (1 << 24), *range(shards)], pa.int32()), pa.array([gid] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["shard", "gid", "data"])
+                a, b, c, d = edges[s], edges[s + 1], at[s], at[s + 1]
+                rows.append(_pack(words[a:b], *_short(counts[a:b]), keys[c:d], *_short(grams[c:d])))
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, shards), pa.int32()), pa.array([part * (1 << 24) + n] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=NAMES)
 
     return docs.mapInArrow(run, "shard int, gid long, data binary")
 
 
-def _merge(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    u, inverse = np.unique(k, return_inverse=True)
-    return u, np.bincount(inverse, c, len(u))
+GROUP_ROW = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint32)
 
 
-def _count(key, rows):
-    """One shard: its exact counts, turned into sums per document (gid >= 0), totals and filter parts (gid < 0)."""
-    gids, blobs = rows.column("gid").to_pylist(), rows.column("data").to_pylist()
-    names = ["shard", "gid", "data", "tokens", "distinct"]
-    shard = key[0].as_py()
-    if shard < 0:
-        return pa.table([pa.array([-1] * len(gids), pa.int32()), pa.array(gids, pa.int64()), pa.array(blobs, pa.binary()), pa.array([0] * len(gids), pa.int64()), pa.array([0] * len(gids), pa.int64())], names=names)
-    read = [_unpack(b, np.int64, np.uint8, np.uint64, np.uint32, np.uint16, np.uint32, np.uint64, np.uint32) for b in blobs]
-    trained = []
-    for n, flags, u, many, idx, tf, _, _ in read:
-        own = np.repeat(np.arange(len(u)), many)
-        trained.append(np.bincount(own, tf * np.unpackbits(flags, count=int(n[0]))[idx], len(u)) if len(u) else np.zeros(0))
-    words, counts = _merge([r[2] for r in read], trained)
-    pairs, pair_counts = _merge([r[6] for r in read], [r[7] for r in read])
-    out_gid, out_data = [], []
-    for gid, (n, flags, u, many, idx, tf, _, _) in zip(gids, read):
-        c = np.repeat(counts[np.searchsorted(words, u)], many)
-        base = np.bincount(idx, tf * np.log10(c + 1), int(n[0]))
-        known = np.bincount(idx, tf * (c > 0), int(n[0])).astype(np.int64)
-        out_gid.append(gid)
-        out_data.append(_pack(base, known))
-    seen = counts > 0
-    out_gid += [-1, -2]
-    out_data += [build(words[seen], counts[seen]).tobytes(), build(pairs, pair_counts).tobytes()]
-    extra = [0] * (len(out_gid) - 2)
-    return pa.table([pa.array([shard] * len(out_gid), pa.int32()), pa.array(out_gid, pa.int64()), pa.array(out_data, pa.binary()), pa.array([*extra, int(counts.sum()), 0], pa.int64()), pa.array([*extra, int(seen.sum()), 0], pa.int64())], names=names)
-
-
-def _sum_group(key, rows):
-    prints, base, known = None, 0.0, 0
-    for shard, data in zip(rows.column("shard").to_pylist(), rows.column("data").to_pylist()):
-        if shard < 0:
-            (prints,) = _unpack(data, np.int64)
-        else:
-            b, k = _unpack(data, np.float64, np.int64)
-            base, known = base + b, known + k
-    return pa.table({"print": pa.array(prints), "base": pa.array(base), "n_known": pa.array(known)})
+def _counter(bits: int):
+    """One shard: its filter part (gid -1), its tokens and distinct words, and every group's word counts."""
+
+    def count(key, rows):
+        gids, read = rows.column("gid").to_pylist(), [_unpack(b.as_py(), *GROUP_ROW) for b in rows.column("data")]
+        words, counts = _distinct(np.concatenate([r[0] for r in read]), np.concatenate([_long(r[1], r[2]) for r in read])) if any(len(r[0]) for r in read) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        keys = np.concatenate([r[3] for r in read])
+        grams, gram_counts = _distinct(keys, np.concatenate([_long(r[4], r[5]) for r in read])) if len(keys) else (keys, np.empty(0, np.int64))
+        seen, some = counts > 0, gram_counts > 0
+        # words and n-grams share a part; words are told apart by their own constant
+        all_keys = np.concatenate([word_key(words[seen]), grams[some].astype(np.uint64)])
+        part = build(all_keys, np.concatenate([counts[seen], gram_counts[some]]), bits) if len(all_keys) else np.empty(0, np.uint64)
+        out = [part.tobytes(), *(_pack(*_short(counts[np.searchsorted(words, r[0])])) for r in read)]
+        extra = [0] * len(gids)
+        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([-1, *gids], pa.int64()), pa.array(out, pa.binary()), pa.array([int(counts.sum()), *extra], pa.int64()), pa.array([int(seen.sum()), *extra], pa.int64())], names=[*NAMES, "tokens", "distinct"])
+
+    return count
 
 
-def score_tokens(tokens, starts, words: Filter, pairs: Filter, train_tokens: int, vocabulary: int) -> np.ndarray:
-    """For each text the sum of log10 probabilities of its tokens whose pair lies in ``pairs``."""
-    before = contexts(tokens, starts)
-    h = pair_hashes(tokens, before)
-    own = words.counts(tokens)
+def word_key(h: np.ndarray) -> np.ndarray:
+    return mix(h + _TRIPLE) & _LOW
+
+
+def _probe(key, rows):
+    """One shard: the levels of every group's words and n-grams. rows: the groups' and, under gid -1, the filter part."""
+    gids, blobs = rows.column("gid").to_pylist(), rows.column("data").to_pylist()
+    part = np.frombuffer(blobs[gids.index(-1)], np.uint64)
+    one, out = Filter(part, np.array([len(part)])), []
+    for gid, blob in zip(gids, blobs):
+        if gid != -1:
+            words, _, _, keys, _, _ = _unpack(blob, *GROUP_ROW)
+            zero = np.zeros(len(words) + len(keys), np.int64)
+            out.append(one.levels(np.concatenate([word_key(words), keys.astype(np.uint64)]), zero).tobytes())
+    return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([g for g in gids if g != -1], pa.int64()), pa.array(out, pa.binary())], names=NAMES)
+
+
+def score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, train_tokens: int, vocabulary: int) -> np.ndarray:
+    """log10 probability of each text; read_word and read_gram give quantised counts of hashes."""
+    own, pairs, triples = read_word(tokens), read_gram(pair), np.zeros(len(tokens))
+    triples[has] = read_gram(triple[has])
     context = np.empty_like(own)
     context[1:] = own[:-1]
-    context[starts] = words.counts(_END_ROW)[0]  # as many texts begin as end
+    context[starts] = read_word(_END_ROW)[0]  # as many texts begin as end
+    above = np.zeros_like(own)  # the count of the pair before the token
+    above[1:] = pairs[:-1]
     p = (own + 1) / (train_tokens + vocabulary + 1)
-    logs = np.log10((pairs.counts(h) + M * p) / (context + M))
-    return np.add.reduceat(np.where(pairs.size[shard_of(h, pairs.shards)] > 0, logs, 0.0), starts)
-
-
-def _score_pass(docs: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        words, pairs, shards, n, v = shared.value
-        unpack = lambda d: Filter({s: np.frombuffer(x, np.uint64) for s, x in d.items()}, shards)
-        words, pairs = unpack(words), unpack(pairs)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                tokens, starts = flat_tokens(texts)
-                flat, sizes = score_tokens(tokens, starts, words, pairs, n, v), np.diff(np.append(starts, len(tokens)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(i, t) for i, t in zip(ids, texts)], pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(flat, pa.float64())], names=["doc_id", "print", "held_out", "n_tokens", "score"])
+    p = (np.minimum(pairs, context) + M2 * p) / (context + M2)
+    p[has] = ((np.minimum(triples, above) + M3 * p) / (above + M3))[has]
+    return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+
+
+def _scorer(shards: int, n: int, v: int, shared):
+    """Scores one group from its texts, the answers on its words and, without a broadcast filter, on its levels."""
+
+    def run(key, rows):
+        found: dict[tuple, bytes] = {}
+        for s, kind, data in zip(rows.column("shard").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist()):
+            found[kind, s] = data
+        ids, known, lengths, raw = _unpack(found["text", -1], np.int64, np.bool_, np.int64, np.uint8)
+        raw, ends = zstandard.ZstdDecompressor().decompress(raw.tobytes(), int(lengths.sum()) or 1), np.cumsum(lengths)
+        texts = [raw[e - k : e].decode("utf-8", "surrogatepass") for e, k in zip(ends.tolist(), lengths.tolist())]
+        ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
+        tokens, starts, pair, triple, has = _hashed(texts, shards)
+        words, at = np.unique(tokens, return_inverse=True)
+        exact = np.concatenate([_long(*_unpack(found["count", s], np.uint8, np.uint32)) for s in range(shards)])[at]
+        sizes = np.diff(np.append(starts, len(tokens)))
+        base = np.add.reduceat(np.log10(exact + 1.0), starts) - sizes * math.log10(n + v + 1)
+        if shared is not None:
+            whole = Filter(*shared.value)
+            read_word = lambda h: _COUNT[whole.levels(word_key(h), shard_of(h, shards))]
+            read_gram = lambda h: _COUNT[whole.levels(h)]
+        else:
+            keys, _, edges = _keys(np.concatenate([pair, triple[has]]), np.zeros(len(pair) + int(has.sum()), np.int64), shards)
+            cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
+            answers = [np.frombuffer(found["level", s], np.uint8) for s in range(shards)]
+            word_levels = np.concatenate([x[: b - a] for x, a, b in zip(answers, cuts, cuts[1:])])
+            gram_levels = np.concatenate([x[b - a :] for x, a, b in zip(answers, cuts, cuts[1:])])
+            full = (np.repeat(np.arange(shards, dtype=np.uint64), np.diff(edges)) << _U32) | keys
+            read_word = lambda h: _COUNT[word_levels[np.searchsorted(words, h)]]
+            read_gram = lambda h: _COUNT[gram_levels[np.searchsorted(full, (shard_of(h, shards) << _U32) | (h & _LOW))]]
+        score = score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, n, v)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": [held_out(i) for i in ids], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)), "base_score": base, "score": score})
 
-    return docs.mapInArrow(run, "doc_id long, print long, held_out boolean, n_tokens long, score double")
+    return run
 
 
-def score_documents(docs: DataFrame, pass_bytes: int = PASS_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs."""
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(size / shard_bytes))
-    counted = cut(_gather(docs, shards).groupBy("shard").applyInArrow(_count, "shard int, gid long, data binary, tokens long, distinct long"))
-    totals = counted.agg(F.sum("tokens"), F.sum("distinct")).first()
-    n, v = totals[0] or 0, totals[1] or 0
-    base = counted.filter("gid >= 0").select("shard", "gid", "data").groupBy("gid").applyInArrow(_sum_group, "print long, base double, n_known long")
-    base = base.groupBy("print").agg(F.first("base").alias("base"), F.first("n_known").alias("n_known"))
-
-    def filter_rows(gid):
-        for r in counted.filter(F.col("gid") == gid).select("shard", "data").toLocalIterator():
-            yield r["shard"], bytes(r["data"])
-
-    words, scored, held = dict(filter_rows(-1)), [], {}
-
-    def one_pass():
-        shared = sc.broadcast((words, dict(held), shards, n, v))
-        scored.append(cut(_score_pass(docs, shared)))
-        shared.unpersist()
-        held.clear()
-
-    for s, data in filter_rows(-2):
-        if held and sum(map(len, held.values())) + len(data) > pass_bytes:
-            one_pass()
-        held[s] = data
-    if held or not scored:
-        one_pass()
-    total = scored[0]
-    if len(scored) > 1:
-        union = scored[0].select("print", "score")
-        for more in scored[1:]:
-            union = union.unionByName(more.select("print", "score"))
-        copies = scored[0].groupBy("print").agg(F.count("*").alias("copies"))
-        sums = union.groupBy("print").agg(F.sum("score").alias("score")).join(copies, "print").select("print", (F.col("score") / F.col("copies")).alias("score"))
-        total = scored[0].drop("score").join(sums, "print")
-    return total.join(base, "print").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
+    gathered = cut(_gather(docs, shards))
+    groups = gathered.filter("shard >= 0")
+    counted = cut(groups.groupBy("shard").applyInArrow(_counter(bits), "shard int, gid long, data binary, tokens long, distinct long"))
+    parts = counted.filter("gid = -1")
+    n, v, filled = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.octet_length("data"))).first())
+    answers = counted.filter("gid >= 0").select("gid", "shard", F.lit("count").alias("kind"), "data")
+    texts = gathered.filter("shard < 0").select("gid", "shard", F.lit("text").alias("kind"), "data")
+    shared = None
+    if filled <= broadcast_bytes:
+        found = dict((r["shard"], np.frombuffer(bytes(r["data"]), np.uint64)) for r in parts.select("shard", "data").toLocalIterator())
+        whole = [found.get(s, np.empty(0, np.uint64)) for s in range(shards)]
+        shared = sc.broadcast((np.concatenate(whole), np.array(list(map(len, whole)))))
+    else:
+        asked = groups.unionByName(parts.select(*NAMES)).groupBy("shard").applyInArrow(_probe, "shard int, gid long, data binary")
+        answers = answers.unionByName(asked.select("gid", "shard", F.lit("level").alias("kind"), "data"))
+    scored = texts.unionByName(answers).groupBy("gid").applyInArrow(_scorer(shards, n, v, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

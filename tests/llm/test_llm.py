@@ -129,34 +129,86 @@ def test_near_duplicates_of_long_texts(spark):
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(df, 85).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-def test_lm_base_score_against_counts(spark):
+def lm_by_force(rows):
+    """n_tokens, n_known, train tokens, base score and score of each row, from exact counts that are quantised as written."""
     import math
     from collections import Counter
 
-    rows = list(enumerate(made(60, 2))) + [(100, None), (101, ""), (102, "Zz " * 5000)]
+    texts = [(i, [*tokens(t), None]) for i, t in rows]
+    c: Counter = Counter()
+    for i, w in texts:
+        if not ngram_bloom.held_out(i):
+            c.update((x,) for x in w)
+            c.update(zip(["<", *w], w))
+            c.update(zip(["<", "<", *w][1:], ["<", *w][1:], w[1:]))
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    q = lambda *g: max((int(x) for x in ngram_bloom.VALUES if x <= c[g]), default=0)
+    out = []
+    for i, w in texts:
+        score = 0.0
+        for k, x in enumerate(w):
+            u, y = (["<", "<", *w][k], ["<", *w][k])
+            p = (q(x) + 1) / (n + v + 1)
+            above = q(y) if k else q(None)
+            p = (min(q(y, x), above) + ngram_bloom.M2 * p) / (above + ngram_bloom.M2)
+            if k:
+                p = (min(q(u, y, x), q(u, y)) + ngram_bloom.M3 * p) / (q(u, y) + ngram_bloom.M3)
+            score += math.log10(p)
+        base = sum(math.log10((c[x,] + 1) / (n + v + 1)) for x in w)
+        out.append((i, ngram_bloom.held_out(i), len(w), sum(c[x,] > 0 for x in w), n, base, score))
+    return out
+
+
+def lm_rows(df, **kw):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_bloom.score_documents(df, **kw).collect()), key=str)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 30, 0])
+def test_lm_scores_against_counts(spark, broadcast):
+    rows = list(enumerate(made(60, 2))) + [(100, None), (101, ""), (102, "Zz " * 5000), (103, "a b c d e f"), (103, "a b c d e f"), (None, "A b c"), (-7, "\ud7ff x \U0001F600")]
     df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], DOCS)
-    for one_pass in (1 << 30, 1):
-        got = {r.doc_id: r for r in ngram_bloom.score_documents(df, pass_bytes=one_pass).collect()}
-        c = Counter(w for i, t in rows if not ngram_bloom.held_out(i) for w in [*tokens(t), None])
-        n, v = sum(c.values()), len(c)
-        for i, t in rows:
-            ws = [*tokens(t), None]
-            base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-            x = got[i]
-            assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, ngram_bloom.held_out(i))
-            assert x.base_score == pytest.approx(base) and x.score < 0
-        first = got if one_pass > 1 else first
-    assert all(first[i].score == pytest.approx(got[i].score) for i in got)
-    assert ngram_bloom.score_documents(df.limit(0)).count() == 0
+    got, want = lm_rows(df, broadcast_bytes=broadcast, bits=2000), sorted(lm_by_force(rows), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+    assert np.mean([g[6] == pytest.approx(w[6], rel=1e-6) for g, w in zip(got, want)]) > 0.9
+    for bits, off in ((2000, 0.001), (12, 0.05)):  # with enough bits the filter makes no mistakes; as shipped few
+        assert [g[6] for g in lm_rows(df, broadcast_bytes=broadcast, bits=bits)] == pytest.approx([w[6] for w in want], rel=off)
+
+
+def test_lm_both_ways_give_one_score(spark):
+    rows = list(enumerate(made(300, 12)))
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], DOCS).repartition(3)
+    assert lm_rows(df, broadcast_bytes=0) == lm_rows(df)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    texts = made(400, 14)
+    rows = [(i, t) for i, t in enumerate(texts) if not ngram_bloom.held_out(i)]
+    twice = [(1000 + i, t) for i, t in rows[:40] if not ngram_bloom.held_out(1000 + i)]
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows + twice], DOCS)
+    per = {r.doc_id: r.score / r.n_tokens for r in ngram_bloom.score_documents(df).collect()}
+    both = [per[i - 1000] for i, _ in twice]
+    assert np.median([per[i] for i, _ in rows[40:]]) < min(both)
+
+
+def test_lm_without_training_rows(spark):
+    ids = [i for i in range(200) if ngram_bloom.held_out(i)][:4]
+    df = spark.createDataFrame([(i, "some words here", 0.0) for i in ids], DOCS)
+    for kind in (0, 1 << 30):
+        assert [(r[2], r[3], r[4], r[5], r[6]) for r in lm_rows(df, broadcast_bytes=kind)] == [(4, 0, 0, 0.0, 0.0)] * 4
+        assert ngram_bloom.score_documents(df.limit(0), kind).count() == 0
 
 
 def test_bloom_filter_never_loses_counts():
-    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20000, dtype=np.uint64))
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 20000, dtype=np.uint64))
     c = np.random.default_rng(2).integers(1, 300, len(h))
-    f = ngram_bloom.Filter({0: ngram_bloom.build(h, c)}, 1)
-    assert (f.counts(h) >= 2.0 ** np.floor(np.log2(c))).all() and (f.counts(h) <= c).mean() > 0.97
-    absent = np.random.default_rng(3).integers(0, 1 << 63, 20000, dtype=np.uint64)
-    assert (f.counts(absent) > 0).mean() < 0.03
+    part = ngram_bloom.build(h, c)
+    f = ngram_bloom.Filter(part, np.array([len(part)]))
+    read = lambda x: ngram_bloom._COUNT[f.levels(x, np.zeros(len(x), np.int64))]
+    exact = ngram_bloom.VALUES[ngram_bloom.levels(c) - 1]
+    assert (read(h) >= exact).all() and (read(h) == exact).mean() > 0.95
+    absent = np.random.default_rng(3).integers(0, 1 << 32, 20000, dtype=np.uint64)
+    assert (read(absent[~np.isin(absent, h)]) > 0).mean() < 0.03
 
 
 def test_bpe_against_the_library(spark):
