@@ -9,18 +9,18 @@ reader probes level 1, 2, ... until one is absent. A text's probability is the p
 
 with all counts read from the filter and no count above that of its context; a text's first token has no triple.
 
-1. Map tasks hash texts in groups of at most GROUP_BYTES and write, for each shard (a range of hashes), one packed row with
-   the group's distinct words and n-grams of that shard and how often training documents of the group hold them, and one
-   row with the group's texts, compressed. A word or n-gram that fills a third of the corpus is one entry a group.
+1. Documents are packed into groups of at most GROUP_BYTES of text, written compressed. A group's distinct words and n-grams
+   go to shards (ranges of hashes), one packed row a shard, with how often the group's training documents hold them. A word
+   or n-gram that fills a third of the corpus is one entry a group.
 2. A shard holds about SHARD_BYTES of text. Its task adds the counts up, builds its part of the filter, and answers every
    group with the exact counts of its words, for the base score.
-3. If the parts together are at most BROADCAST_BYTES, the whole filter is broadcast. Beyond that no broadcast can keep up
-   with the corpus: the groups' n-grams are sent to the parts, probed there, and the levels come back, one byte each. Both
-   ways read the same bits and give the same scores, each in one pass over the texts.
-4. A group's task has its texts and all answers and scores its documents.
+3. If the whole filter is sure to take at most BROADCAST_BYTES (see ``filter_bound``), it is broadcast. Beyond that no
+   broadcast can keep up with the corpus: a shard's task probes its part with every group's words and n-grams, and the
+   levels go back with the answers. Both ways read the same bits and give the same scores.
+4. A group's task has its texts and all answers and scores its documents: one pass over the texts whatever the size.
 
 Everything that is written or shuffled grows with the text; rows grow with groups times shards, of which either grows with
-the text: the product is 2 million rows at 30 GB and 2 billion at 1 TB. Groups and shards must grow beyond that.
+the text: the product is 12 million rows at 30 GB of text and 8 billion at 1 TB. Groups and shards must grow beyond that.
 
 Null and empty texts are one end token. A null id is a training id. Repeated rows are scored each. Other columns are not
 read. An empty table gives no rows; without training rows every count is 0 and p(w) = 1.
@@ -179,11 +179,31 @@ def _keys(h: np.ndarray, weight: np.ndarray, shards: int) -> tuple[np.ndarray, n
     return (u & _LOW).astype(np.uint32), c, np.searchsorted(u, np.arange(shards + 1, dtype=np.uint64) << _U32)
 
 
-def _hashed(texts: list[str], shards: int):
-    """What a group's texts look like, the same wherever it is computed: tokens, starts, n-grams and distinct words."""
-    tokens, starts = flat_tokens(texts)
-    pair, triple, has = ngrams(tokens, starts)
-    return tokens, starts, pair, triple, has
+def _thin(keys: np.ndarray) -> bytes:
+    """Sorted integers as compressed planes of the bytes of their differences."""
+    step = np.diff(keys, prepend=keys.dtype.type(0))
+    planes = step.view(np.uint8).reshape(-1, keys.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _thick(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
+
+
+def _bytes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    small, large = _short(counts)
+    return zstandard.ZstdCompressor(level=1).compress(small.tobytes() + large.tobytes())
+
+
+def _large(raw: bytes, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    return _long(np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, np.uint32, (len(raw) - n) // 4, n))
 
 
 def _groups(batches):
@@ -205,66 +225,90 @@ def _groups(batches):
 NAMES = ["shard", "gid", "data"]
 
 
-def _gather(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, gid, data): words and n-grams of every group for every shard; under shard -1 its ids and texts."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """(gid, data): ids and compressed texts of every group."""
 
     def run(batches):
-        part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         for n, (ids, texts) in enumerate(_groups(batches)):
-            tokens, starts, pair, triple, has = _hashed(texts, shards)
-            sizes = np.diff(np.append(starts, len(tokens)))
-            train = np.repeat([not held_out(i) for i in ids], sizes)
-            words, counts = _distinct(tokens, train)
-            edges = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
-            keys, grams, at = _keys(np.concatenate([pair, triple[has]]), np.concatenate([train, train[has]]), shards)
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             known = np.array([i is not None for i in ids])
-            rows = [_pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, raw)), np.int64), np.frombuffer(pack.compress(b"".join(raw)), np.uint8))]
-            for s in range(shards):
-                a, b, c, d = edges[s], edges[s + 1], at[s], at[s + 1]
-                rows.append(_pack(words[a:b], *_short(counts[a:b]), keys[c:d], *_short(grams[c:d])))
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, shards), pa.int32()), pa.array([part * (1 << 24) + n] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=NAMES)
+            data = _pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, raw)), np.int64), _bytes(pack.compress(b"".join(raw))))
+            yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 24) + n], pa.int64()), pa.array([data], pa.binary())], names=NAMES[1:])
+
+    return docs.mapInArrow(run, "gid long, data binary")
+
+
+def _texts(data: bytes) -> tuple[list, list[str]]:
+    ids, known, lengths, raw = _unpack(data, np.int64, np.bool_, np.int64, np.uint8)
+    raw, ends = zstandard.ZstdDecompressor().decompress(raw.tobytes(), int(lengths.sum()) or 1), np.cumsum(lengths)
+    texts = [raw[e - k : e].decode("utf-8", "surrogatepass") for e, k in zip(ends.tolist(), lengths.tolist())]
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], texts
 
-    return docs.mapInArrow(run, "shard int, gid long, data binary")
 
+def _gather(packed: DataFrame, shards: int) -> DataFrame:
+    """(shard, gid, data): words and n-grams of every group for every shard."""
+
+    def run(batches):
+        for batch in batches:
+            for gid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, texts = _texts(data.as_py())
+                tokens, starts = flat_tokens(texts)
+                pair, triple, has = ngrams(tokens, starts)
+                train = np.repeat([not held_out(i) for i in ids], np.diff(np.append(starts, len(tokens))))
+                words, counts = _distinct(tokens, train)
+                edges = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
+                keys, grams, at = _keys(np.concatenate([pair, triple[has]]), np.concatenate([train, train[has]]), shards)
+                rows = []
+                for s in range(shards):
+                    a, b, c, d = edges[s], edges[s + 1], at[s], at[s + 1]
+                    rows.append(_pack(*(_bytes(x) for x in (_thin(words[a:b]), _small(counts[a:b]), _thin(keys[c:d]), _small(grams[c:d])))))
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([gid] * shards, pa.int64()), pa.array(rows, pa.binary())], names=NAMES)
+
+    return packed.mapInArrow(run, "shard int, gid long, data binary")
 
-GROUP_ROW = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint32)
 
+def _read(data: bytes):
+    """A group's words and n-gram keys in one shard, each with counts."""
+    words, counts, keys, grams = (x.tobytes() for x in _unpack(data, *[np.uint8] * 4))
+    words, keys = _thick(words, np.uint64), _thick(keys, np.uint32)
+    return words, _large(counts, len(words)), keys, _large(grams, len(keys))
 
-def _counter(bits: int):
-    """One shard: its filter part (gid -1), its tokens and distinct words, and every group's word counts."""
+
+def _counter(bits: int, probe: bool):
+    """One shard: its tokens and distinct words (gid -1), and for every group the counts of its words.
+
+    With ``probe`` the levels of the group's words and n-grams come with the counts; without it the filter part under gid -1.
+    """
 
     def count(key, rows):
-        gids, read = rows.column("gid").to_pylist(), [_unpack(b.as_py(), *GROUP_ROW) for b in rows.column("data")]
-        words, counts = _distinct(np.concatenate([r[0] for r in read]), np.concatenate([_long(r[1], r[2]) for r in read])) if any(len(r[0]) for r in read) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keys = np.concatenate([r[3] for r in read])
-        grams, gram_counts = _distinct(keys, np.concatenate([_long(r[4], r[5]) for r in read])) if len(keys) else (keys, np.empty(0, np.int64))
+        gids, read = rows.column("gid").to_pylist(), [_read(b.as_py()) for b in rows.column("data")]
+        words, counts = _total([r[0] for r in read], [r[1] for r in read])
+        grams, gram_counts = _total([r[2] for r in read], [r[3] for r in read])
         seen, some = counts > 0, gram_counts > 0
         # words and n-grams share a part; words are told apart by their own constant
-        all_keys = np.concatenate([word_key(words[seen]), grams[some].astype(np.uint64)])
-        part = build(all_keys, np.concatenate([counts[seen], gram_counts[some]]), bits) if len(all_keys) else np.empty(0, np.uint64)
-        out = [part.tobytes(), *(_pack(*_short(counts[np.searchsorted(words, r[0])])) for r in read)]
+        keys = np.concatenate([word_key(words[seen]), grams[some].astype(np.uint64)])
+        part = build(keys, np.concatenate([counts[seen], gram_counts[some]]), bits) if len(keys) else np.empty(0, np.uint64)
+        one, out, pack = Filter(part, np.array([len(part)])), [b"" if probe else part.tobytes()], zstandard.ZstdCompressor(level=1)
+        for own, _, own_keys, _ in read:
+            level = b""
+            if probe:
+                asked = np.concatenate([word_key(own), own_keys.astype(np.uint64)])
+                level = pack.compress(one.levels(asked, np.zeros(len(asked), np.int64)).tobytes())
+            out.append(_pack(_bytes(_small(counts[np.searchsorted(words, own)])), _bytes(level)))
         extra = [0] * len(gids)
         return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([-1, *gids], pa.int64()), pa.array(out, pa.binary()), pa.array([int(counts.sum()), *extra], pa.int64()), pa.array([int(seen.sum()), *extra], pa.int64())], names=[*NAMES, "tokens", "distinct"])
 
     return count
 
 
-def word_key(h: np.ndarray) -> np.ndarray:
-    return mix(h + _TRIPLE) & _LOW
+def _total(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    return _distinct(keys, counts) if len(keys) else (keys, counts.astype(np.int64))
 
 
-def _probe(key, rows):
-    """One shard: the levels of every group's words and n-grams. rows: the groups' and, under gid -1, the filter part."""
-    gids, blobs = rows.column("gid").to_pylist(), rows.column("data").to_pylist()
-    part = np.frombuffer(blobs[gids.index(-1)], np.uint64)
-    one, out = Filter(part, np.array([len(part)])), []
-    for gid, blob in zip(gids, blobs):
-        if gid != -1:
-            words, _, _, keys, _, _ = _unpack(blob, *GROUP_ROW)
-            zero = np.zeros(len(words) + len(keys), np.int64)
-            out.append(one.levels(np.concatenate([word_key(words), keys.astype(np.uint64)]), zero).tobytes())
-    return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([g for g in gids if g != -1], pa.int64()), pa.array(out, pa.binary())], names=NAMES)
+def word_key(h: np.ndarray) -> np.ndarray:
+    return mix(h + _TRIPLE) & _LOW
 
 
 def score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, train_tokens: int, vocabulary: int) -> np.ndarray:
@@ -283,19 +327,18 @@ def score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, train_
 
 
 def _scorer(shards: int, n: int, v: int, shared):
-    """Scores one group from its texts, the answers on its words and, without a broadcast filter, on its levels."""
+    """Scores one group from its texts, the answers on its words and, without a broadcast filter, their levels."""
 
     def run(key, rows):
-        found: dict[tuple, bytes] = {}
-        for s, kind, data in zip(rows.column("shard").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist()):
-            found[kind, s] = data
-        ids, known, lengths, raw = _unpack(found["text", -1], np.int64, np.bool_, np.int64, np.uint8)
-        raw, ends = zstandard.ZstdDecompressor().decompress(raw.tobytes(), int(lengths.sum()) or 1), np.cumsum(lengths)
-        texts = [raw[e - k : e].decode("utf-8", "surrogatepass") for e, k in zip(ends.tolist(), lengths.tolist())]
-        ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
-        tokens, starts, pair, triple, has = _hashed(texts, shards)
+        answers: dict[int, bytes] = dict(zip(rows.column("shard").to_pylist(), rows.column("data").to_pylist()))
+        ids, texts = _texts(answers.pop(-1))
+        tokens, starts = flat_tokens(texts)
+        pair, triple, has = ngrams(tokens, starts)
         words, at = np.unique(tokens, return_inverse=True)
-        exact = np.concatenate([_long(*_unpack(found["count", s], np.uint8, np.uint32)) for s in range(shards)])[at]
+        cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
+        many = np.diff(cuts)
+        got = [[x.tobytes() for x in _unpack(answers[s], np.uint8, np.uint8)] for s in range(shards)]
+        exact = np.concatenate([_large(c, k) for (c, _), k in zip(got, many.tolist())])[at]
         sizes = np.diff(np.append(starts, len(tokens)))
         base = np.add.reduceat(np.log10(exact + 1.0), starts) - sizes * math.log10(n + v + 1)
         if shared is not None:
@@ -304,10 +347,9 @@ def _scorer(shards: int, n: int, v: int, shared):
             read_gram = lambda h: _COUNT[whole.levels(h)]
         else:
             keys, _, edges = _keys(np.concatenate([pair, triple[has]]), np.zeros(len(pair) + int(has.sum()), np.int64), shards)
-            cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
-            answers = [np.frombuffer(found["level", s], np.uint8) for s in range(shards)]
-            word_levels = np.concatenate([x[: b - a] for x, a, b in zip(answers, cuts, cuts[1:])])
-            gram_levels = np.concatenate([x[b - a :] for x, a, b in zip(answers, cuts, cuts[1:])])
+            level = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for _, x in got]
+            word_levels = np.concatenate([x[:k] for x, k in zip(level, many)])
+            gram_levels = np.concatenate([x[k:] for x, k in zip(level, many)])
             full = (np.repeat(np.arange(shards, dtype=np.uint64), np.diff(edges)) << _U32) | keys
             read_word = lambda h: _COUNT[word_levels[np.searchsorted(words, h)]]
             read_gram = lambda h: _COUNT[gram_levels[np.searchsorted(full, (shard_of(h, shards) << _U32) | (h & _LOW))]]
@@ -317,27 +359,28 @@ def _scorer(shards: int, n: int, v: int, shared):
     return run
 
 
+def filter_bound(text_bytes: int, rows: int, bits: int = BITS) -> int:
+    """The most bytes that the filter of so much text can take: two bytes of text make a token at most, a token one word, one
+    pair and one triple, and the levels of an n-gram are no more than its count."""
+    return (text_bytes // 2 + 2 * rows) * 3 * bits // 8 + 16 * LEAST_SHARDS
+
+
 def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs."""
     sc = docs.sparkSession.sparkContext
-    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, math.ceil(size / shard_bytes))
-    gathered = cut(_gather(docs, shards))
-    groups = gathered.filter("shard >= 0")
-    counted = cut(groups.groupBy("shard").applyInArrow(_counter(bits), "shard int, gid long, data binary, tokens long, distinct long"))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shards, small = max(LEAST_SHARDS, math.ceil(size / shard_bytes)), filter_bound(size, rows, bits) <= broadcast_bytes
+    with small_batches(docs.sparkSession):
+        packed = cut(_packed(docs))
+    counted = cut(_gather(packed, shards).groupBy("shard").applyInArrow(_counter(bits, not small), "shard int, gid long, data binary, tokens long, distinct long"))
     parts = counted.filter("gid = -1")
-    n, v, filled = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.octet_length("data"))).first())
-    answers = counted.filter("gid >= 0").select("gid", "shard", F.lit("count").alias("kind"), "data")
-    texts = gathered.filter("shard < 0").select("gid", "shard", F.lit("text").alias("kind"), "data")
+    n, v = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("distinct")).first())
     shared = None
-    if filled <= broadcast_bytes:
+    if small:
         found = dict((r["shard"], np.frombuffer(bytes(r["data"]), np.uint64)) for r in parts.select("shard", "data").toLocalIterator())
         whole = [found.get(s, np.empty(0, np.uint64)) for s in range(shards)]
         shared = sc.broadcast((np.concatenate(whole), np.array(list(map(len, whole)))))
-    else:
-        asked = groups.unionByName(parts.select(*NAMES)).groupBy("shard").applyInArrow(_probe, "shard int, gid long, data binary")
-        answers = answers.unionByName(asked.select("gid", "shard", F.lit("level").alias("kind"), "data"))
-    scored = texts.unionByName(answers).groupBy("gid").applyInArrow(_scorer(shards, n, v, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    answers = packed.select("gid", F.lit(-1).alias("shard"), "data").unionByName(counted.filter("gid >= 0").select("gid", "shard", "data"))
+    scored = answers.groupBy("gid").applyInArrow(_scorer(shards, n, v, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
