@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
-
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 200_000
 LONG_MATCH = 2_000
@@ -120,7 +118,6 @@ def _codec(raw: bytes, pattern: str, piece_chars: int, long_match: int) -> Codec
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple = ("doc_id",), piece_chars: int = PIECE_CHARS, long_match: int = LONG_MATCH, with_ids: bool = False) -> DataFrame:
     """keep columns, n_tokens, ids_sha256, decoded_sha256 (and the ids where asked for), a row for each row."""
-    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

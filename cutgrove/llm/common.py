@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cutgrove.session import cut
@@ -17,9 +19,18 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows that Spark hands to a Python worker at once: whole texts are long, so the default of 10,000 rows holds much memory.
+#: Rows that Spark hands to a Python worker at once while a step runs that holds much beside its texts (the default is 10,000).
 BATCH_ROWS = 1024
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of at most BATCH_ROWS rows for what is computed inside the block; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -23,8 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
-
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds.
 ADDED = ("secret", "ident")
@@ -292,7 +290,6 @@ def redact(text: str, spans: list) -> str:
 
 def find_pii(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, counts of base kinds, base_sha256, spans."""
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained())
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema
@@ -316,7 +313,6 @@ def find_pii(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text") ->
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """The same rows with spans in ``text`` replaced; null texts stay null and n_chars follows the text."""
-    small_batches(docs.sparkSession)
     model, at = docs.sparkSession.sparkContext.broadcast(trained()), docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

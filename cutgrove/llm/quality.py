@@ -23,8 +23,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 MAX_ROWS = 3000
 DICT_BYTES = 512 << 10
 BLOCK = 1 << 10
@@ -148,7 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns and score, a row for each row of ``docs``."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, docs[text].cast("string").alias("__text"))
     schema = source.drop("__text").schema.add("score", "double")
@@ -163,7 +160,6 @@ def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text:
 
 def keep_good(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs with a score of at least ``least``; the text passes through Python once."""
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
