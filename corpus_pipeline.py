@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cutgrove.llm import bpe, decontaminate, near_dups, pii, quality
-from cutgrove.llm.common import table
+from cutgrove.llm.common import small_batches, table
 from cutgrove.session import drop_path, scratch
 
 
@@ -46,7 +46,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         if k:
             path = scratch(spark, "pipeline")
-            docs.write.parquet(path)
+            with small_batches(spark):
+                docs.write.parquet(path)
             if written:
                 drop_path(spark, written)
             docs, written = spark.read.parquet(path), path
