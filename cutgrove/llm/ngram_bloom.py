@@ -166,16 +166,35 @@ def _long(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes and the sum of their weights."""
-    order = np.argsort(h, kind="stable")
+    """Sorted distinct hashes and the sum of their weights. h: not empty."""
+    order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     return h[first], np.add.reduceat(weight[order].astype(np.int64), first)
 
 
-def _keys(h: np.ndarray, weight: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of 32 bits by shard, their weights, and where each shard begins. h: not empty."""
-    u, c = _distinct((shard_of(h, shards) << _U32) | (h & _LOW), weight)
+def _located(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and where each of h stands among them. h: not empty."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
+def _key(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and 32-bit key in one number."""
+    return (shard_of(h, shards) << _U32) | (h & _LOW)
+
+
+def _keys(h: np.ndarray, train: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of 32 bits by shard, how often they are marked, and where each shard begins. h: not empty."""
+    ranked = np.sort((_key(h, shards) << np.uint64(1)) | train.astype(np.uint64))  # shards are far under 2^31
+    u = ranked >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    c = np.add.reduceat((ranked & np.uint64(1)).astype(np.int64), first)
+    u = u[first]
     return (u & _LOW).astype(np.uint32), c, np.searchsorted(u, np.arange(shards + 1, dtype=np.uint64) << _U32)
 
 
@@ -311,18 +330,17 @@ def word_key(h: np.ndarray) -> np.ndarray:
     return mix(h + _TRIPLE) & _LOW
 
 
-def score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, train_tokens: int, vocabulary: int) -> np.ndarray:
-    """log10 probability of each text; read_word and read_gram give quantised counts of hashes."""
-    own, pairs, triples = read_word(tokens), read_gram(pair), np.zeros(len(tokens))
-    triples[has] = read_gram(triple[has])
+def score_tokens(own, pairs, triples, ends, starts, has, train_tokens: int, vocabulary: int) -> np.ndarray:
+    """log10 probability of each text from the quantised counts of its tokens, pairs, triples (where it has them) and of ends."""
     context = np.empty_like(own)
     context[1:] = own[:-1]
-    context[starts] = read_word(_END_ROW)[0]  # as many texts begin as end
+    context[starts] = ends  # as many texts begin as end
     above = np.zeros_like(own)  # the count of the pair before the token
     above[1:] = pairs[:-1]
+    above = above[has]
     p = (own + 1) / (train_tokens + vocabulary + 1)
     p = (np.minimum(pairs, context) + M2 * p) / (context + M2)
-    p[has] = ((np.minimum(triples, above) + M3 * p) / (above + M3))[has]
+    p[has] = (np.minimum(triples, above) + M3 * p[has]) / (above + M3)
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
@@ -334,7 +352,7 @@ def _scorer(shards: int, n: int, v: int, shared):
         ids, texts = _texts(answers.pop(-1))
         tokens, starts = flat_tokens(texts)
         pair, triple, has = ngrams(tokens, starts)
-        words, at = np.unique(tokens, return_inverse=True)
+        words, at = _located(tokens)
         cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
         many = np.diff(cuts)
         got = [[x.tobytes() for x in _unpack(answers[s], np.uint8, np.uint8)] for s in range(shards)]
@@ -343,17 +361,16 @@ def _scorer(shards: int, n: int, v: int, shared):
         base = np.add.reduceat(np.log10(exact + 1.0), starts) - sizes * math.log10(n + v + 1)
         if shared is not None:
             whole = Filter(*shared.value)
-            read_word = lambda h: _COUNT[whole.levels(word_key(h), shard_of(h, shards))]
-            read_gram = lambda h: _COUNT[whole.levels(h)]
+            own = whole.levels(word_key(words), shard_of(words, shards))
+            pairs, triples = whole.levels(pair), whole.levels(triple[has])
         else:
-            keys, _, edges = _keys(np.concatenate([pair, triple[has]]), np.zeros(len(pair) + int(has.sum()), np.int64), shards)
+            _, place = _located(_key(np.concatenate([pair, triple[has]]), shards))
             level = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for _, x in got]
-            word_levels = np.concatenate([x[:k] for x, k in zip(level, many)])
-            gram_levels = np.concatenate([x[k:] for x, k in zip(level, many)])
-            full = (np.repeat(np.arange(shards, dtype=np.uint64), np.diff(edges)) << _U32) | keys
-            read_word = lambda h: _COUNT[word_levels[np.searchsorted(words, h)]]
-            read_gram = lambda h: _COUNT[gram_levels[np.searchsorted(full, (shard_of(h, shards) << _U32) | (h & _LOW))]]
-        score = score_tokens(tokens, starts, pair, triple, has, read_word, read_gram, n, v)
+            own = np.concatenate([x[:k] for x, k in zip(level, many)])
+            grams = np.concatenate([x[k:] for x, k in zip(level, many)])[place]
+            pairs, triples = grams[: len(pair)], grams[len(pair) :]
+        ends = _COUNT[own[np.searchsorted(words, END)]]  # every text has an end
+        score = score_tokens(_COUNT[own[at]], _COUNT[pairs], _COUNT[triples], ends, starts, has, n, v)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": [held_out(i) for i in ids], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)), "base_score": base, "score": score})
 
     return run
