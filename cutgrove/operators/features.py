@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rag
@@ -142,3 +142,60 @@ def curvature(faces: DataFrame) -> DataFrame:
         return pa.table({"u": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([float(f(k))]) for n, f in (("mean", np.mean), ("low", np.min), ("high", np.max), ("dev", np.std))}})
 
     return faces.select("u", "v", "x", "y").groupBy("u", "v").applyInArrow(run, "u long, v long, mean double, low double, high double, dev double")
+
+
+def border_lines(pairs: DataFrame, voxels: DataFrame, value: str, samples: int) -> DataFrame:
+    """(u, v, dist_.., line_..): distances from border to border, and what lies along the ``samples`` shortest lines.
+
+    For pairs of regions in one slice. dist_: mean, low, high, median, deviation over the border voxels of either region of the
+    distance to the other region, and their number. line_: mean, low, high, var of the values along the lines of the closest
+    border pairs (ties: the smaller places), which end in u and v. One task holds one pair.
+    """
+    rim = cut(border_voxels(voxels))
+    sent = pairs.select("u", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("seg")), F.struct(F.lit(1).alias("side"), F.col("v").alias("seg")))).alias("s")).select("u", "v", "s.*")
+
+    def run(key, t):
+        side, x, y, z = (np.asarray(t.column(c)) for c in ("side", "x", "y", "z"))
+        ends = [np.stack([x[side == k], y[side == k]], 1) for k in (0, 1)]
+        order = [e[np.lexsort((e[:, 0], e[:, 1]))] for e in ends]
+        least = [np.full(len(e), np.inf) for e in order]
+        close: list = []
+        for lo in range(0, len(order[0]), 512):
+            gap = ((order[0][lo : lo + 512, None] - order[1][None]) ** 2).sum(2)
+            least[0][lo : lo + 512] = gap.min(1)
+            least[1] = np.minimum(least[1], gap.min(0))
+            best = np.argsort(gap, axis=None, kind="stable")[:samples]
+            i, j = np.unravel_index(best, gap.shape)
+            close = sorted([*close, *((int(gap[a, b]), lo + int(a), int(b)) for a, b in zip(i, j))])[:samples]
+        d = np.sqrt(np.concatenate(least))
+        points = []
+        for k, (_, a, b) in enumerate(close):
+            p, q = order[0][a], order[1][b]
+            steps = max(1, int(np.abs(p - q).max()))
+            at = (2 * (p * steps + np.arange(steps + 1)[:, None] * (q - p)) + steps) // (2 * steps)
+            points += [(k, int(i), int(j)) for i, j in at]
+        stats = [float(f) for f in (d.mean(), d.min(), d.max(), np.median(d), d.std(), len(d))]
+        n = len(points)
+        own = {"u": pa.array([key[0].as_py()] * n, pa.int64()), "v": pa.array([key[1].as_py()] * n, pa.int64()), "z": pa.array([int(z[0])] * n, pa.int64())}
+        return pa.table(own | {c: pa.array([p[i] for p in points], pa.int64()) for i, c in enumerate(("line", "x", "y"))} | {c: pa.array([s] * n) for c, s in zip(DISTANCES, stats)})
+
+    rows = sent.join(rim, "seg").select("u", "v", "side", "x", "y", "z")
+    lines = rows.groupBy("u", "v").applyInArrow(run, "u long, v long, z long, line long, x long, y long, " + ", ".join(f"{c} double" for c in DISTANCES))
+    w = F.col(value)
+    on = lines.join(voxels.select("x", "y", "z", value), ["x", "y", "z"])
+    return on.groupBy("u", "v").agg(*(F.first(c).alias(c) for c in DISTANCES), F.avg(w).alias("line_mean"), F.min(w).alias("line_low"), F.max(w).alias("line_high"), F.var_pop(w).alias("line_var"))
+
+
+#: Statistics of the distances between two borders.
+DISTANCES = ("dist_mean", "dist_low", "dist_high", "dist_median", "dist_dev", "dist_n")
+
+
+def border_voxels(voxels: DataFrame) -> DataFrame:
+    """(seg, x, y, z) of the voxels beside another label of their slice, or at the slice's rim."""
+    change = F.lit(False)
+    for along, other in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(other, "z").orderBy(along)
+        for f in (F.lead, F.lag):
+            near = F.when(f(along).over(w) - F.col(along) == (1 if f is F.lead else -1), f("seg").over(w))
+            change = change | F.coalesce(near != F.col("seg"), F.lit(True))
+    return voxels.withColumn("on_rim", change).filter("on_rim").select("seg", "x", "y", "z")

@@ -75,6 +75,21 @@ def multicut_states(p: DataFrame, pairs: DataFrame, scheme: str = "z") -> DataFr
     return out.groupBy("u", "v").agg(*(F.max(F.when(F.col("k") == k, F.col("s"))).alias(f"mc_{k}") for k in range(len(settings))), F.sum("s").alias("mc_sum"))
 
 
+def perturbed(p: DataFrame, pairs: DataFrame, n: int, spread: float, seed: int = 42) -> DataFrame:
+    """(u, v, share): the share of ``n`` multicuts with noise on their costs that separate a pair.
+
+    The noise is logistic with scale ``spread``, made from a hash of the edge, so it is the same in every run.
+    """
+    nodes = (p.agg(F.max("v")).first()[0] or 0) + 1
+    whole = _copies(costs(p), n, nodes)
+    unit = (F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    labels = cut(multicut.solve(whole.withColumn("cost", F.col("cost") + spread * F.ln(unit / (1 - unit))).select("u", "v", "cost")))
+    asked = _copies(pairs.select("u", "v"), n, nodes)
+    both = asked.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+    back = both.select((F.col("u") - F.col("k") * nodes).alias("u"), (F.col("v") - F.col("k") * nodes).alias("v"), (F.coalesce("lu", "u") != F.coalesce("lv", "v")).cast("double").alias("s"))
+    return back.groupBy("u", "v").agg(F.avg("s").alias("share"))
+
+
 def merge_heights(rows: list[tuple], sizes: dict, wardness: float, pairs: list[tuple]) -> list[float]:
     """The height at which hierarchical clustering of edges (u, v, p, n) joins each pair; the last height where it never does.
 

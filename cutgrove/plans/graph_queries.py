@@ -141,7 +141,7 @@ def mc10(spark, d):
 
 
 def workflow_lifted(spark, d, solver):
-    """Lifted pairs at two hops; their cost is the balanced energy of the cheapest path between them."""
+    """Lifted pairs at two hops; their cost is the balanced energy of the weaker edge on the best two-hop path."""
     e = cut(costs(spark, d))
     far = graphs.k_hop(e.select("u", "v"), 2).select("u", "v")
     b = graphs.both_ways(e, "cost")
