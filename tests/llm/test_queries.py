@@ -76,11 +76,10 @@ def test_chat_query_reads_back(spark, tables):
 
 def test_bpe_query(spark, tables):
     import public_tokenizers
-    import tiktoken
 
     from cutgrove.llm import bpe
 
-    codec = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path(queries.RANKS)), public_tokenizers.PATTERN).bpe  # the library itself
     for r in rows(spark, tables, "op4_bpe"):
         t = tables[1][r.doc_id][1] or ""
         ids = codec.encode_ordinary(t)
