@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 200_000
 LONG_MATCH = 2_000
@@ -140,4 +142,4 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                 cols.append(pa.array(all_ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 RATE = 0.05
 CHUNK_CHARS = 2_000_000
@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_
                     ids, ds, ends, sizes = zip(*hits)
                     yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(len(keep))), pa.array(ids, pa.int64()), pa.array(ds, pa.int32()), pa.array(ends, pa.int32()), pa.array([n < least_chars for n in sizes], pa.bool_())], names=schema.names)
 
-        found.append(source.mapInArrow(run, schema))
+        found.append(source.mapInArrow(lean(run), schema))
         if not alone:
             found[-1] = cut(found[-1])
             shared.unpersist()
@@ -186,7 +186,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, chunk_
             for batch in batches:
                 yield batch.filter(pa.array([all(h[3] < least_chars for h in matcher.search(normal(t.as_py()))) for t in batch.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
     keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
     gone = find_leaks(keyed, benchmark, rate, chunk_chars, ("__h1", "__h2"), text, least_chars)
     gone = cut(gone.filter("not short").select("__h1", "__h2").distinct())

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Tags that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -413,4 +415,4 @@ def main_texts(pages: DataFrame, keep: tuple = ("page_id", "url"), html: str = "
                 texts = extract(part.column(len(keep)).to_pylist(), net)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

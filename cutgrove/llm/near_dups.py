@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from cutgrove.operators.components import components
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 from .words import hash_texts, shingles
 
 COORDINATES = 48
@@ -90,7 +90,7 @@ def hashed(docs: DataFrame, keep: tuple, text: str = "text") -> DataFrame:
                 sigs = [next(rows) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 class Postings:
@@ -214,7 +214,7 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int, least: int, block: in
                     sig = signatures([sets[i] for i in keep])
                     yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(5)), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["family", "node", "blocks", "mine", "lead", "items", "sig"])
 
-    full = found.mapInArrow(prepare, "family long, node long, blocks int, mine int, lead boolean, items binary, sig binary").dropDuplicates(["node"])
+    full = found.mapInArrow(lean(prepare), "family long, node long, blocks int, mine int, lead boolean, items binary, sig binary").dropDuplicates(["node"])
     full, match = cut(full) if split else full, _match(least, percent)
     at = F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))).alias("at")
     inside = full.select("family", "node", "items", "sig", F.lit(0).alias("side"), F.col("node").alias("comp"), at)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 from .words import hash_texts, mix
 
 GROUP_BYTES = 8 << 20
@@ -255,7 +255,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             data = _pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, raw)), np.int64), _bytes(pack.compress(b"".join(raw))))
             yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 24) + n], pa.int64()), pa.array([data], pa.binary())], names=NAMES[1:])
 
-    return docs.mapInArrow(run, "gid long, data binary")
+    return docs.mapInArrow(lean(run), "gid long, data binary")
 
 
 def _texts(data: bytes) -> tuple[list, list[str]]:
@@ -284,7 +284,7 @@ def _gather(packed: DataFrame, shards: int) -> DataFrame:
                     rows.append(_pack(*(_bytes(x) for x in (_thin(words[a:b]), _small(counts[a:b]), _thin(keys[c:d]), _small(grams[c:d])))))
                 yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([gid] * shards, pa.int64()), pa.array(rows, pa.binary())], names=NAMES)
 
-    return packed.mapInArrow(run, "shard int, gid long, data binary")
+    return packed.mapInArrow(lean(run), "shard int, gid long, data binary")
 
 
 def _read(data: bytes):

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the method adds.
 ADDED = ("secret", "ident")
@@ -308,7 +310,7 @@ def find_pii(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text") ->
                 spans.append(joined(base + added))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
@@ -325,4 +327,4 @@ def redact_pii(docs: DataFrame) -> DataFrame:
                 cols[size] = pa.array([o if t is None else len(t) for t, o in zip(texts, batch.column(size).to_pylist())], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MAX_ROWS = 3000
 DICT_BYTES = 512 << 10
 BLOCK = 1 << 10
@@ -155,7 +157,7 @@ def score_quality(docs: DataFrame, model: dict, keep: tuple = ("doc_id",), text:
             scores = [score_text(shared.value, t.as_py() or "") for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -166,4 +168,4 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5, text: str = "tex
         for batch in batches:
             yield batch.filter(pa.array([score_text(shared.value, t.as_py() or "") >= least for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
