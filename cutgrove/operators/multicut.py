@@ -451,8 +451,46 @@ def attractive_components(edges: DataFrame, lifted: DataFrame | None = None) ->
     return components(pairs.unionByName(alone))
 
 
-def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None) -> DataFrame:
-    """node_labels(node, label) of edges(u, v, cost) and lifted edges of the same form; labels are smallest nodes."""
+#: Edges of one component that a kernel takes; larger ones are contracted first.
+KERNEL_EDGES = 500_000
+
+
+def _renamed(edges: DataFrame, match: DataFrame) -> DataFrame:
+    """Edges between the nodes that are left after v became u for match(u, v); parallel ones are summed."""
+    for side in "uv":
+        edges = edges.join(match.select(F.col("v").alias(side), F.col("u").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    ends = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return cut(edges.filter("u <> v").groupBy(*ends).agg(F.sum("cost").alias("cost")))
+
+
+def contract_mutual(edges: DataFrame, lifted: DataFrame | None, most: int, rounds: int = 200) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Greedy contraction in parallel until at most ``most`` local edges or no attractive pair is left: edges, lifted, (node, label).
+
+    A round joins every pair of nodes each of which is the other's most attractive local neighbour, lifted costs included:
+    what greedy contraction does next at all these places, as long as sums of parallel edges don't overtake them.
+    """
+    names = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")))
+    for _ in range(rounds):
+        if edges.count() <= most:
+            break
+        pull = edges if lifted is None else edges.join(lifted.withColumnRenamed("cost", "far"), ["u", "v"], "left").select("u", "v", (F.col("cost") + F.coalesce("far", F.lit(0.0))).alias("cost"))
+        pull = pull.filter("cost > 0")
+        both = pull.unionByName(pull.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
+        best = cut(both.groupBy("u").agg(F.max_by("v", F.struct("cost", (-F.col("v")).alias("v"))).alias("v")))
+        match = cut(best.filter("u < v").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi"))
+        if match.isEmpty():
+            break
+        edges, lifted = _renamed(edges, match), None if lifted is None else _renamed(lifted, match)
+        names = cut(names.join(match.select(F.col("v").alias("label"), F.col("u").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return edges, lifted, names
+
+
+def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None, most: int | None = KERNEL_EDGES) -> DataFrame:
+    """node_labels(node, label) of edges(u, v, cost) and lifted edges of the same form; labels are smallest nodes.
+
+    A kernel takes at most ``most`` edges of a component (None: any number); with a larger one the whole problem is contracted in
+    parallel first, and the kernels solve what is left.
+    """
     edges = cut(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
     if lifted is not None:
         lifted = cut(lifted.select("u", "v", F.col("cost").cast("double").alias("cost")))
@@ -463,6 +501,13 @@ def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None)
     left, right = comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), comp.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     inner = rows.join(left, "u").join(right, "v").filter("cu = cv").select(F.col("cu").alias("component"), "u", "v", "cost", "is_local")
 
+    if most is not None and edges.count() > most and (inner.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > most:
+        edges, lifted, names = contract_mutual(edges, lifted, most)
+        solved = solve(edges, solver, lifted, None).select(F.col("node").alias("label"), F.col("label").alias("part"))
+        named = cut(names.join(solved, "label", "left").select("node", F.coalesce("part", "label").alias("label")))
+        low = cut(named.groupBy("label").agg(F.min("node").alias("low")))
+        return named.join(low, "label").select("node", F.col("low").alias("label"))
+
     def run(key, t):
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("u", "v", "cost", "is_local"))))
         local, more = [r[:3] for r in rows if r[3]], [r[:3] for r in rows if not r[3]]

@@ -34,6 +34,19 @@ def test_solvers_between_optimum_and_greedy():
     assert missed <= 8
 
 
+def test_large_problems_are_contracted_first(spark):
+    r = random.Random(12)
+    e = [(i, j, round(r.gauss(0.3, 1), 3)) for i in range(60) for j in (i + 1, i + 2, i + 13) if j < 60]
+    f = [(i, i + 5, round(r.gauss(0, 1), 3)) for i in range(0, 55, 3)]
+    schema = "u long, v long, cost double"
+    for lifted in (None, f):
+        rows = [*e, *(lifted or [])]
+        far = None if lifted is None else spark.createDataFrame(lifted, schema)
+        labels = {x.node: x.label for x in multicut.solve(spark.createDataFrame(e, schema), "kl", far, most=90).collect()}
+        assert multicut.connected_labels(e, labels) == labels and len(labels) == 60
+        assert multicut.cut_energy(rows, labels) <= 0.9 * multicut.cut_energy(rows, multicut.gaec(e, lifted or []))  # energies are negative: at most a tenth is lost
+
+
 def test_two_cut_moves_and_joins():
     e = [(0, 1, 5.0), (1, 2, -3.0), (2, 3, 5.0)]
     cost, near = multicut.adjacency(range(4), e)
