@@ -9,9 +9,27 @@ from cutgrove.llm.common import small_batches, table
 from cutgrove.session import drop_path, scratch
 
 
+def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read again.
+
+    Texts that go through Python do so here, in small batches: an executor holds two of them for each task outside its heap.
+    """
+    path = scratch(spark, "pipeline")
+    with small_batches(spark):
+        docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
+def forget(spark: SparkSession, docs: DataFrame) -> None:
+    """Drop the folder of a stored table; other tables stay."""
+    for folder in {f.rpartition("/")[0] for f in docs.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("pipeline-"):
+            drop_path(spark, folder)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    return stored(spark, quality.keep_good(docs, model))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,17 +37,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return stored(spark, decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact_pii(docs)
+    return stored(spark, pii.redact_pii(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return stored(spark, bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("quality classifier", keep_good), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", drop_benchmark), ("personal data", redact), ("byte-level BPE", encode)]
@@ -38,18 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage but the last goes to the shared checkpoint folder: no stage computes the ones before it again.
-
-    A stage's table is dropped once the next one is written; the last of them stays, as the result is read from it.
-    """
-    docs, written = table(spark, sf_dir, "documents"), None
-    for k, (_, stage) in enumerate(STAGES):
-        if k:
-            path = scratch(spark, "pipeline")
-            with small_batches(spark):
-                docs.write.parquet(path)
-            if written:
-                drop_path(spark, written)
-            docs, written = spark.read.parquet(path), path
-        docs = stage(spark, docs, sf_dir)
+    """All stages in a row. Every stage's rows are stored, so none computes the ones before it again; a stage's table goes
+    once the next one is stored, and the last one's stays, as the result is read from it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        done = stage(spark, docs, sf_dir)
+        if stage is drop_near_copies:
+            done = stored(spark, done)
+        forget(spark, docs)
+        docs = done
     return docs
