@@ -91,7 +91,7 @@ def mc24(spark, d):
     return first.join(again, ["u", "v"]).agg(F.count("*").alias("edges"), F.count(F.when(F.col("cut") != F.col("again"), 1)).alias("changed"))
 
 
-@query("mc19_affinity_features", WITH_EDGES + ", f AS (SELECT u, v, CASE WHEN axis < 2 THEN w ELSE 200000 - w END / 200000.0 AS w FROM faces), s AS (SELECT u, v, avg(w) AS mean, max(w) AS maximum, quantile_cont(w, 0.5) AS median, quantile_cont(w, 0.75) AS quantile75, quantile_cont(w, 0.9) AS quantile90 FROM f GROUP BY u, v), l AS (SELECT u, v, 'mean' AS feature, mean AS p FROM s UNION ALL SELECT u, v, 'max', maximum FROM s UNION ALL SELECT u, v, 'median', median FROM s UNION ALL SELECT u, v, 'quantile75', quantile75 FROM s UNION ALL SELECT u, v, 'quantile90', quantile90 FROM s) SELECT u, v, feature, round(ln((0.001 + 0.998 * p) / (1 - (0.001 + 0.998 * p))), 6) AS cost FROM l")
+@query("mc19_affinity_features", WITH_EDGES + ", f AS (SELECT u, v, CASE WHEN axis < 2 THEN w ELSE 200000 - w END / 200000.0 AS w FROM faces), s AS (SELECT u, v, avg(w) AS mean, max(w) AS maximum, quantile_cont(w, 0.5) AS median, quantile_cont(w, 0.75) AS quantile75, quantile_cont(w, 0.9) AS quantile90 FROM f GROUP BY u, v), l AS (SELECT u, v, 'mean' AS feature, mean AS p FROM s UNION ALL SELECT u, v, 'max', maximum FROM s UNION ALL SELECT u, v, 'median', median FROM s UNION ALL SELECT u, v, 'quantile75', quantile75 FROM s UNION ALL SELECT u, v, 'quantile90', quantile90 FROM s) SELECT u, v, feature, round(ln((0.001 + 0.998 * p) / (1 - (0.001 + 0.998 * p))), 6) + 0.0 AS cost FROM l")
 def mc19(spark, d):
     """Costs straight from affinities by each of the five statistics."""
     from cutgrove.operators import features
@@ -99,7 +99,7 @@ def mc19(spark, d):
     f = features.affinity_faces(rag.faces(vox(spark, d)), 200_000.0).withColumn("w", F.col("w") / 200_000.0)
     s = features.edge_statistics(f, F.col("w"))
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(c).alias("p")) for k, c in (("mean", "mean"), ("max", "high"), ("median", "q50"), ("quantile75", "q75"), ("quantile90", "q90"))))).alias("x")
-    return s.select("u", "v", named).select("u", "v", "x.feature", F.round(en.affinity_energy(F.col("x.p")), 6).alias("cost"))
+    return s.select("u", "v", named).select("u", "v", "x.feature", (F.round(en.affinity_energy(F.col("x.p")), 6) + 0.0).alias("cost"))
 
 
 @query("mc20_slicewise")
