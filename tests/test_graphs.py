@@ -173,22 +173,23 @@ def test_shortest_paths_against_relaxation(spark):
 
 
 def test_dijkstra_query_reaches_the_whole_graph(spark, monkeypatch):
-    from cutgrove.plans import graph_queries
+    from cutgrove.plans import graph_more
 
     # three objects of two nodes: edges between objects count too
     rows = spark.createDataFrame([(0, 1, 3), (1, 2, 4), (2, 3, 1), (3, 4, 1), (4, 5, 2), (0, 2, 9)], "u long, v long, n long")
-    monkeypatch.setattr(graph_queries, "edges", lambda s, d: rows)
-    monkeypatch.setattr(graph_queries, "gt_edges", lambda s, d: rows.filter("u % 2 = 0 and v = u + 1"))
-    assert {r.node: r.dist for r in graph_queries.QUERIES["gr7_dijkstra"](spark, "").collect()} == {0: 0, 1: 3, 2: 7, 3: 8, 4: 9, 5: 11}
+    monkeypatch.setattr(graph_more, "edges", lambda s, d: rows)
+    monkeypatch.setattr(graph_more, "gt_edges", lambda s, d: rows.filter("u % 2 = 0 and v = u + 1"))
+    assert {r.node: r.dist for r in graph_more.QUERIES["gr7_dijkstra"](spark, "").collect()} == {0: 0, 1: 3, 2: 7, 3: 8, 4: 9, 5: 11}
 
 
 def test_far_pairs_are_pairs_of_nodes_of_the_graph(spark, monkeypatch):
-    from cutgrove.plans import graph_queries
+    from cutgrove.plans import graph_more
 
-    monkeypatch.setattr(graph_queries, "edges", lambda s, d: s.createDataFrame([(0, 1, 1), (1, 3, 1), (3, 4, 1), (4, 31, 1)], "u long, v long, n long"))
-    monkeypatch.setattr(graph_queries, "vox", lambda s, d: s.createDataFrame([(i,) for i in (0, 1, 3, 3, 4, 7, 31)], "seg long"))
-    got = sorted(tuple(r) for r in graph_queries.QUERIES["jn11_far_pairs"](spark, "").collect())
-    assert got == [(0, 4), (0, 7), (1, 7), (3, 7), (4, 7)]
+    # six nodes and eight draws a node: the sample holds all far pairs, of all nodes that there are
+    monkeypatch.setattr(graph_more, "edges", lambda s, d: s.createDataFrame([(0, 1, 1), (1, 3, 1), (3, 4, 1), (4, 31, 1)], "u long, v long, n long"))
+    monkeypatch.setattr(graph_more, "vox", lambda s, d: s.createDataFrame([(i,) for i in (0, 1, 3, 3, 4, 7, 31)], "seg long"))
+    got = sorted(tuple(r) for r in graph_more.QUERIES["jn11_far_pairs"](spark, "").collect())
+    assert got == [(0, 4), (0, 7), (0, 31), (1, 7), (1, 31), (3, 7), (4, 7), (7, 31)]
 
 
 def test_searches_by_joins_and_in_one_task(spark, monkeypatch):
