@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hnsw, html, near_dups, ngram_bloom, pii, quality, url_rules
+from . import bpe, chat, decontaminate, hnsw, html, intervals, near_dups, ngram_bloom, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -70,7 +70,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules}
+def op12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sale_relations(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
+#: crc32 of the decimal or UTF-8 bytes of a text, as DuckDB has no such function; ``tab`` comes from CRC_TABLE.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text expression, next to a table with ``tab``."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules, "op12_intervals": op12_intervals}
 
 ORACLE = {
     "op3_chat": r"""
@@ -93,4 +106,21 @@ ORACLE = {
         hit AS (SELECT p.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
                 FROM parts p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE n = 1""",
+    "op12_intervals": f"""
+        WITH {CRC_TABLE},
+        seen AS (SELECT client_id, epoch_us(ts) AS t, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS buys FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+        marked AS (SELECT *, coalesce(t - lag(t) OVER w > 600000000, true) AS begins FROM seen WINDOW w AS (PARTITION BY client_id ORDER BY t)),
+        numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY client_id ORDER BY t) AS nr FROM marked),
+        met AS (SELECT client_id, min(t) AS first, max(t) AS last, arg_max(buys, t) = 1 AS open FROM numbered GROUP BY client_id, nr),
+        met_slots AS (SELECT client_id, first // 3600000000 AS s, CASE WHEN open THEN 1000000000000 ELSE last // 3600000000 END AS e, {crc_sql("first::VARCHAR")} AS crc FROM met, crc_table),
+        shipped AS (SELECT sale_id, max(epoch_us(shipped_at)) AS shipped, bool_or(shipped_at IS NULL) AS open FROM sale_lines GROUP BY sale_id),
+        sold AS (SELECT sale_id, client_id, epoch_us(sold_at) // 3600000000 AS s,
+                   CASE WHEN coalesce(open, false) THEN 1000000000000 ELSE greatest(epoch_us(sold_at), coalesce(shipped, epoch_us(sold_at))) // 3600000000 END AS e
+                 FROM sales LEFT JOIN shipped USING (sale_id) WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+        pairs AS (SELECT sale_id, crc, CASE WHEN a.e = 1000000000000 AND b.e = a.e THEN NULL ELSE least(a.e, b.e) - greatest(a.s, b.s) + 1 END AS shared,
+                    CASE WHEN a.s < b.s THEN (CASE WHEN a.e < b.e THEN 'overlaps' WHEN a.e = b.e THEN 'finished_by' ELSE 'contains' END)
+                         WHEN a.s = b.s THEN (CASE WHEN a.e < b.e THEN 'starts' WHEN a.e = b.e THEN 'equals' ELSE 'started_by' END)
+                         ELSE (CASE WHEN a.e < b.e THEN 'during' WHEN a.e = b.e THEN 'finishes' ELSE 'overlapped_by' END) END AS relation
+                  FROM sold a JOIN met_slots b ON a.client_id = b.client_id AND a.s <= b.e AND b.s <= a.e)
+        SELECT sale_id, relation, count(*)::BIGINT AS n_pairs, sum(shared)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM pairs GROUP BY sale_id, relation""",
 }
