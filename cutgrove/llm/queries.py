@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hnsw, html, intervals, near_dups, ngram_bloom, pii, quality, url_rules
+from . import bpe, chat, decontaminate, hnsw, html, intervals, lang_masks, near_dups, ngram_bloom, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -74,6 +74,13 @@ def op12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sale_relations(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    may_learn = lang_masks.learned(F.col("doc_id"))
+    out = lang_masks.identify(docs, lang_masks.train(docs.filter(may_learn)))
+    return out.select("doc_id", (~may_learn).alias("held_out"), "lang_pred", "score")
+
+
 #: crc32 of the decimal or UTF-8 bytes of a text, as DuckDB has no such function; ``tab`` comes from CRC_TABLE.
 CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
 
@@ -83,7 +90,7 @@ def crc_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
 
 
-QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules, "op12_intervals": op12_intervals}
+QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules, "op12_intervals": op12_intervals, "op13_language": op13_language}
 
 ORACLE = {
     "op3_chat": r"""

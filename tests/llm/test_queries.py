@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op10_url_rules": {"page_id", "host", "path", "rule", "verdict"},
     "op12_intervals": {"sale_id", "relation", "n_pairs", "overlap_slots", "sessions_crc"},
+    "op13_language": {"doc_id", "held_out", "lang_pred", "score"},
 }
 CHAT = [(1, 0, "user", "Hi: #1"), (1, 1, "assistant", "a<b\\h"), (2, 0, None, None), (None, 0, "assistant", "lost?"), (3, 0, "assistant", ""), (3, 1, "assistant", "x</turn>\n### y")]
 
