@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hnsw, html, intervals, lang_masks, near_dups, ngram_bloom, pii, quality, url_rules
+from . import anagrams, bpe, chat, decontaminate, hnsw, html, intervals, lang_masks, near_dups, ngram_bloom, pii, quality, url_rules
 from .common import table
 
 #: The rules of op10: (host, path, verdict).
@@ -70,6 +70,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anagrams.spelling_groups(anagrams.word_counts(table(spark, sf_dir, "documents"), divisor=199))
+
+
 def op12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sale_relations(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
 
@@ -86,11 +90,12 @@ CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_redu
 
 
 def crc_sql(text: str) -> str:
-    """SQL for the unsigned crc32 of an ASCII text expression, next to a table with ``tab``."""
-    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+    """SQL for the unsigned crc32 of a text expression of code points up to U+00FF, next to a table with ``tab``."""
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [(192 + (ord(x) >> 6))::BIGINT, 128 + (ord(x) & 63)] END))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {utf8}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
 
 
-QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules, "op12_intervals": op12_intervals, "op13_language": op13_language}
+QUERIES = {"op1_html": op1_html, "op2_lm_score": op2_lm_score, "op3_chat": op3_chat, "op4_bpe": op4_bpe, "op5_decontaminate": op5_decontaminate, "op6_hnsw": op6_hnsw, "op7_quality": op7_quality, "op8_near_dups": op8_near_dups, "op9_pii": op9_pii, "op10_url_rules": op10_url_rules, "op11_spelling": op11_spelling, "op12_intervals": op12_intervals, "op13_language": op13_language}
 
 ORACLE = {
     "op3_chat": r"""
@@ -113,6 +118,24 @@ ORACLE = {
         hit AS (SELECT p.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
                 FROM parts p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE n = 1""",
+    "op11_spelling": f"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (SELECT id, run, count(*) AS n FROM (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY id, run),
+        hashed AS (SELECT run, n, {crc_sql("(id || ':' || run)")} AS h FROM runs, crc_table),
+        words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS near, max(other_n) AS near_n FROM pairs GROUP BY word),
+        formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+        steps AS (SELECT word, form AS root FROM formed WHERE form IS NOT NULL UNION ALL SELECT steps.word, formed.form FROM steps JOIN formed ON formed.word = steps.root WHERE formed.form IS NOT NULL),
+        last AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NULL)
+        SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM formed f LEFT JOIN last l USING (word)""",
     "op12_intervals": f"""
         WITH {CRC_TABLE},
         seen AS (SELECT client_id, epoch_us(ts) AS t, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS buys FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),

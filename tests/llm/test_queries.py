@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_near_dups": {"doc_id", "n_shingles", "component_id", "kept"},
     "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op10_url_rules": {"page_id", "host", "path", "rule", "verdict"},
+    "op11_spelling": {"word", "form", "root", "n", "n_near", "form_n"},
     "op12_intervals": {"sale_id", "relation", "n_pairs", "overlap_slots", "sessions_crc"},
     "op13_language": {"doc_id", "held_out", "lang_pred", "score"},
 }
