@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import lean
 
 #: Left intervals in one chunk of a key, about.
-CHUNK = 16_384
+CHUNK = 4_096
 #: Rows that a task sweeps at once (whole groups).
 SWEEP_ROWS = 1 << 18
 #: Starts, in slots, that are counted together when a key is cut into chunks.
