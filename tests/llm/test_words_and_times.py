@@ -1,0 +1,238 @@
+"""Spelling groups, interval relations and language masks against brute force, and their odd cases."""
+
+import random
+import zlib
+from collections import Counter
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cutgrove.llm import anagrams, intervals, lang_masks
+
+DOCS = "doc_id long, text string, n long, word string, id string"  # n, word and id clash with names of the operators
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def groups_by_force(docs, min_len, min_count, divisor, ratio=5):
+    counts = Counter()
+    for i, text in docs:
+        for run in anagrams.RUN.findall(text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if divisor and h % divisor == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_len and n >= min_count}
+    form, out = {}, {}
+    for w, n in words.items():
+        others = [v for v in words if near(w, v)]
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= ratio * n else None
+        out[w] = len(others)
+    rows = {}
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        rows[w] = (form[w], root, n, out[w], words.get(form[w]))
+    return rows
+
+
+def spelling(spark, docs, **kw):
+    df = spark.createDataFrame([(i, t, 0, "x", "y") for i, t in docs], DOCS)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in anagrams.spelling_groups(anagrams.word_counts(df, **kw)).collect()}
+
+
+def test_spelling_groups_against_brute_force(spark):
+    r = random.Random(4)
+    base = ["".join(r.choice("abcé") for _ in range(r.randint(3, 7))) for _ in range(30)]
+    words = []
+    for w in base:
+        words += [w] * r.choice((1, 3, 30, 160))
+        for _ in range(4):  # removals, exchanges, additions, anagrams
+            i = r.randrange(len(w))
+            words += [r.choice((w[:i] + w[i + 1 :], w[:i] + "b" + w[i + 1 :], w[:i] + "c" + w[i:], w[::-1]))] * r.randint(1, 6)
+    r.shuffle(words)
+    docs = [(k, " ".join(words[k::40])) for k in range(40)]
+    docs += [(None, "abcabc, Abcabc1ABCABC-abcabx"), (3, docs[3][1]), (3, None), (5, ""), (6, "12 !"), (7, "rootab " * 200 + "rootabc " * 30 + "rotabc " * 4 + "rotxbc " * 3)]
+    for divisor in (0, 7):
+        want = groups_by_force(docs, 3, 2, divisor)
+        got = spelling(spark, docs, min_len=3, min_count=2, divisor=divisor)
+        assert got == want and any(x[0] for x in got.values()) and any(x[0] and x[1] != x[0] for x in got.values())
+
+
+def test_spelling_of_long_words_ties_and_empty_tables(spark):
+    long = "ab" * 30_000
+    docs = [(1, f"{long} " * 5 + f"{long}c " * 30), (2, "straße strasse " * 5), (3, "xaaaay xaaay xaaay xaaazy " * 5), (4, "tiedab " * 25 + "tiedac " * 25 + "tiedad " * 5)]
+    got = spelling(spark, docs, min_len=5)
+    assert got[long] == (long + "c", long + "c", 5, 1, 30) and got["tiedad"] == ("tiedab", "tiedab", 5, 2, 25) and got["tiedac"][0] is None
+    assert got["xaaay"][3] == 2 and got["xaaaay"][3] == 2 and got["straße"][3] == 0
+    assert spelling(spark, []) == {} and spelling(spark, [(1, None), (2, "")]) == {}
+    with pytest.raises(ValueError):
+        anagrams.spelling_groups(spark.createDataFrame([], "word string, n long"), ratio=1)
+
+
+def test_texts_are_cut_between_words_only(monkeypatch):
+    monkeypatch.setattr(anagrams, "PIECE", 7)
+    text = "Abc abcdefghijklmnopqrstuvwxyz é" + "x" * 40 + " 1 end"
+    assert "".join(anagrams._pieces(text)) == text and anagrams.altered_words("1", text, 0) == Counter(w.lower() for w in anagrams.RUN.findall(text))
+
+
+def test_anagrams_are_no_pairs(spark):
+    """Thousands of orders of the same letters share a key and give no pair unless they differ in one place."""
+    r = random.Random(1)
+    words = list({"".join(r.sample("abcdefghijkl", 12)) for _ in range(3000)})
+    df = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    assert {r.n_near for r in anagrams.spelling_groups(df).collect()} == {0}
+
+
+def relations_by_force(left, right):
+    out = {}
+    for key, i, s, e in left:
+        for key2, s2, e2, v in right:
+            if key is None or s is None or s2 is None or key != key2 or (e is not None and e < s) or (e2 is not None and e2 < s2):
+                continue
+            a, b = (float("inf") if x is None else x for x in (e, e2))
+            if s <= b and s2 <= a:
+                name = intervals.RELATIONS[3 * (0 if s < s2 else 1 if s == s2 else 2) + (0 if a < b else 1 if a == b else 2)]
+                n, shared, total = out.get((i, name), (0, None, 0))
+                if min(a, b) < float("inf"):
+                    shared = (shared or 0) + min(a, b) - max(s, s2) + 1
+                out[i, name] = (n + 1, shared, total + (v or 0))
+    return out
+
+
+def related(spark, left, right, **kw):
+    a = spark.createDataFrame([(*x, 1) for x in left], "key string, id long, s long, e long, n long")
+    b = spark.createDataFrame([(*x, 1) for x in right], "key string, s long, e long, v long, id long")
+    return {(r.id, r.relation): (r.n_pairs, r.overlap, r.total) for r in intervals.relate(a, b, **kw).collect()}
+
+
+def test_relations_against_brute_force(spark):
+    r = random.Random(2)
+
+    def span(most):
+        s = r.randint(-20, 60)
+        return s, r.choice((None, s, s, s + r.randint(0, most), s + r.randint(0, most), s - 1))
+
+    left = [(r.choice(("a", "a", "b", "ü", None)), i, *span(40)) for i in range(300)]
+    right = [(r.choice(("a", "a", "b", None)), *span(9), r.choice((None, 5, 4_000_000_000))) for _ in range(200)]
+    left += [("a", None, 3, 9), ("a", 7, 1, 2), ("b", 8, None, 5)]  # a null id, an id that occurs twice, a null start
+    right += [right[0], ("b", None, 4, 1)]
+    want = relations_by_force(left, right)
+    for kw in ({}, {"chunk": 5, "span": 3, "sweep_rows": 20}, {"chunk": 2, "span": 50}):
+        assert related(spark, left, right, **kw) == want
+    assert related(spark, [], right) == {} and related(spark, left, []) == {}
+
+
+def test_sweep_against_brute_force():
+    r = np.random.default_rng(0)
+    for _ in range(40):
+        p, q = r.integers(1, 60), r.integers(1, 30)
+        pg, qg, ps, qs = r.integers(0, 3, p), r.integers(0, 4, q), r.integers(-5, 12, p), r.integers(-5, 12, q)
+        pe, qe = (np.where(r.random(len(s)) < 0.2, intervals.OPEN, s + r.integers(0, 6, len(s))) for s in (ps, qs))
+        v = r.integers(0, 100, p)
+        got, infinite = intervals.sweep(pg, ps, pe, np.ones(p, np.int64), v, qg, qs, qe)
+        end = lambda x: None if x >= intervals.OPEN else int(x)
+        want = relations_by_force([(int(g), i, int(s), end(e)) for i, (g, s, e) in enumerate(zip(qg, qs, qe))], [(int(g), int(s), end(e), int(x)) for g, s, e, x in zip(pg, ps, pe, v)])
+        made = {(i, intervals.RELATIONS[k]): (got[i, k, 0], None if infinite[i, k] else got[i, k, 1], got[i, k, 2]) for i, k in zip(*np.nonzero(got[:, :, 0]))}
+        assert made == want
+
+
+def test_sessions_and_sales(spark):
+    at = lambda m: datetime(2024, 3, 31, 1, 50) + timedelta(minutes=m)
+    clicks = [(1, at(0), None), (1, at(10), "view"), (1, at(10), "purchase"), (1, at(20.1), "purchase"), (1, at(20.1), "purchase"), (1, at(29), "x"), (2, at(0), "purchase"), (None, at(0), "view"), (2, None, "view")]
+    c = spark.createDataFrame(clicks, "client_id long, ts timestamp_ntz, kind string")
+    us = lambda d: (d - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert sorted(tuple(r) for r in intervals.sessions(c).collect()) == [(1, us(at(0)), us(at(10)), True), (1, us(at(20.1)), us(at(29)), False), (2, us(at(0)), us(at(0)), True)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # 02:00 of that day does not exist there
+        assert {r[1] for r in intervals.sessions(c).collect()} == {us(at(0)), us(at(20.1))}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    sales = spark.createDataFrame([(1, 1, at(0)), (2, 1, at(5)), (3, None, at(5)), (4, 2, None), (5, 2, at(9))], "sale_id long, client_id long, sold_at timestamp_ntz")
+    lines = spark.createDataFrame([(1, at(-60)), (2, at(600)), (2, None), (5, at(9000)), (None, at(1))], "sale_id long, shipped_at timestamp_ntz")
+    assert sorted(tuple(r) for r in intervals.sale_spans(sales, lines).collect()) == [(1, 1, us(at(0)), us(at(0)), False), (2, 1, us(at(5)), us(at(600)), True), (5, 2, us(at(9)), us(at(9000)), False)]
+    out = {(r.sale_id, r.relation): (r.n_pairs, r.overlap_slots, r.sessions_crc) for r in intervals.sale_relations(sales, lines, c).collect()}
+    crc = lambda m: zlib.crc32(str(us(at(m))).encode())
+    assert out == {(1, "starts"): (1, 1, crc(0)), (2, "equals"): (1, None, crc(0)), (2, "contains"): (1, 1, crc(20.1)), (5, "starts"): (1, 151, crc(0))}
+
+
+LANGS = {"aa": "ka lo mira tesu no", "bb": "qui dor vexa lum oth", "cc": "żó łać ęsi кот δες"}
+
+
+def texts_in(name, n, seed):
+    r = random.Random(seed)
+    parts = LANGS[name].split()
+    return [" ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(r.randint(3, 30))) for _ in range(n)]
+
+
+def test_masks_hold_every_language_of_a_gram(spark):
+    docs = [(i, t, name) for name in LANGS for i, t in enumerate(texts_in(name, 40, 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = lang_masks.train(df)
+    seen: dict = {}
+    for _, t, name in docs:
+        for h in lang_masks.grams(t)[0]:
+            seen.setdefault(int(h), Counter())[name] += 1
+    hashes = np.array(list(seen), np.uint64)
+    wrong = 0
+    for h, mask in zip(hashes, model.masks(hashes)):
+        shares = {name: seen[int(h)][name] / 40 for name in LANGS}
+        for i, name in enumerate(model.names):
+            has = shares[name] >= max(lang_masks.LEAST, lang_masks.NOISE * max(shares.values()))
+            bit = bool(int(mask[0]) >> i & 1)
+            assert bit or not has  # a filter forgets nothing
+            wrong += bit and not has
+    assert wrong <= 0.02 * 3 * len(hashes)
+
+
+def test_counts_of_grams(spark):
+    docs = [("x y", "l"), ("x", "l"), ("X!x", "m"), (None, "l"), ("12", "l"), ("é", None)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    for held in (1, 1 << 20):
+        got: Counter = Counter()
+        for r in lang_masks.gram_counts(df, held=held).collect():
+            got[r.lang, r.h & (2**64 - 1)] += r.n
+        want = Counter((lang, int(h)) for t, lang in docs if lang for h in lang_masks.grams(t)[0])
+        assert got == want and max(want.values()) == 2
+    assert len(lang_masks.grams("x y")[0]) == 2 + 4 + 2  # x, y; " x", "x ", " y", "y "; " x ", " y "
+
+
+def test_languages_held_out(spark):
+    docs = [(i, t, name, "s") for k, name in enumerate(LANGS) for i, t in enumerate(texts_in(name, 150, k), 1000 * k)]
+    docs += [(9000, None, "aa", "s"), (9001, "", "aa", "s"), (9002, "12 !? 3", "aa", "s"), (None, docs[0][1], "aa", "s"), (9003, docs[200][1] * 3000, "bb", "s"), (9004, "ĸ", "cc", "s"), (9005, docs[5][1], None, "s"), docs[7], docs[7]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score string")
+    model = lang_masks.train(df.filter(lang_masks.learned(F.col("doc_id"))))
+    got = lang_masks.identify(df, model, ("doc_id", "lang")).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
+    odd = {r.doc_id: (r.lang_pred, r.score) for r in got if r.doc_id is None or r.doc_id >= 9000}
+    assert odd[9000] == odd[9001] == odd[9002] == ("und", 0.0) and odd[None][0] == "aa" and odd[9003][0] == "bb" and odd[9004][0] in LANGS and odd[9005][0] == "aa"
+    judged = [r for r in got if r.doc_id is not None and r.doc_id < 9000 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(judged) > 100 and sum(r.lang == r.lang_pred for r in judged) >= 0.98 * len(judged)
+
+
+def test_nothing_to_learn_and_many_languages(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert lang_masks.train(df) is None and [tuple(r) for r in lang_masks.identify(df, None).collect()] == [(1, "und", 0.0)]
+    assert lang_masks.identify(df.limit(0), None).count() == 0
+    many = spark.createDataFrame([(i, f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}u" * 3, f"l{i:02}") for i in range(100)], "doc_id long, text string, lang string")
+    model = lang_masks.train(many)
+    assert model.bits.shape[1] == 2 and all(r.lang == r.lang_pred for r in lang_masks.identify(many, model, ("lang",)).collect())
+    one = lang_masks.train(many.limit(1))
+    assert [r.lang_pred for r in lang_masks.identify(many.limit(1), one).collect()] == ["l00"]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    whole = lang_masks.grams("den alder tru " * 50)[0]
+    monkeypatch.setattr(lang_masks, "PIECE", 40)
+    assert sorted(lang_masks.grams("den alder tru " * 50)[0].tolist()) == sorted(whole.tolist())
