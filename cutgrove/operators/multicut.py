@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -111,11 +112,12 @@ def adjacency(labels, edges, lifted=()) -> tuple[dict, dict]:
     return cost, near
 
 
-def two_cut(a: set, b: set, cost: dict, near: dict, eps: float) -> tuple[float, list, bool]:
+def two_cut(a: set, b: set, cost: dict, near: dict, eps: float, fixed: set = frozenset()) -> tuple[float, list, bool]:
     """The best sequence of moves between two parts: (gain, moved nodes, whether both parts should rather be one).
 
     Nodes move one by one, the largest gain first (ties: the smaller node), each at most once and only where a local
-    neighbour is on the other side; with b empty any node may start it. The best prefix of the sequence counts.
+    neighbour is on the other side; with b empty any node may start it. The best prefix of the whole sequence counts. Fixed
+    nodes pull but stay, and parts with fixed nodes are never made one.
     """
     side = dict.fromkeys(a, 0) | dict.fromkeys(b, 1)
     gain = {}
@@ -129,9 +131,10 @@ def two_cut(a: set, b: set, cost: dict, near: dict, eps: float) -> tuple[float,
                     between += c
         gain[v] = g
     start = a if not b else [v for v in side if any(w in side and side[w] != side[v] for w in near[v])]
-    heap = [(-gain[v], v) for v in start]
+    heap = [(-gain[v], v) for v in start if v not in fixed]
     heapq.heapify(heap)
-    moved, total, best, prefix, done = [], 0.0, 0.0, 0, set()
+    moved, total, best, prefix, done = [], 0.0, 0.0, 0, {v for v in side if v in fixed}
+    whole = not done
     while heap:
         g, v = heapq.heappop(heap)
         if v in done or -g != gain[v]:
@@ -149,9 +152,7 @@ def two_cut(a: set, b: set, cost: dict, near: dict, eps: float) -> tuple[float,
                 gain[w] += -2 * c if side[w] == side[v] else 2 * c
                 if w in near[v] or any(x in side and side[x] != side[w] for x in near[w]):
                     heapq.heappush(heap, (-gain[w], w))
-        if len(moved) - prefix > 50 + prefix:  # far behind the best prefix: the rest of a long part seldom returns
-            break
-    if b and between > best + eps:
+    if b and whole and between > best + eps:
         return between, [], True
     return best, moved[:prefix], False
 
@@ -364,23 +365,25 @@ class FusionSettings:
     seed: int = 42
 
 
+def propose(edges, lifted, best: dict, settings: FusionSettings, turn: int, number: int) -> dict[int, int]:
+    """The numbered proposal of a round: a function of the settings and the best labelling only, wherever it is made."""
+    r = random.Random(f"{settings.seed} {turn} {number}")
+    if settings.kind == "noise":
+        return noisy_proposal(edges, lifted, r, settings.sigma)
+    if settings.kind == "watershed":
+        return watershed_proposal(edges, r, settings.sigma, settings.seed_fraction)
+    return subgraph_proposal(edges, lifted, best, adjacency(best, edges)[1], r, settings.radius)
+
+
 def fusion_moves(edges, labels: dict, lifted=(), settings: FusionSettings = FusionSettings(), extra: list[dict] = ()) -> dict[int, int]:
     """Fuses proposals with the best labelling and with one another, pair by pair, until ``stale`` rounds gain nothing.
 
     extra: labellings from outside that are fused first. The energy never rises.
     """
-    r = random.Random(settings.seed)
     both = [*edges, *lifted]
-    _, near = adjacency(labels, edges)
     best, value, stale = labels, cut_energy(both, labels), 0
     for k in range(settings.rounds):
-        if settings.kind == "noise":
-            made = [noisy_proposal(edges, lifted, r, settings.sigma) for _ in range(settings.proposals)]
-        elif settings.kind == "watershed":
-            made = [watershed_proposal(edges, r, settings.sigma, settings.seed_fraction) for _ in range(settings.proposals)]
-        else:
-            made = [subgraph_proposal(edges, lifted, best, near, r, settings.radius) for _ in range(settings.proposals)]
-        made = [*(extra if not k else ()), *made]
+        made = [*(extra if not k else ()), *(propose(edges, lifted, best, settings, k, i) for i in range(settings.proposals))]
         pool = [fuse(edges, best, m, lifted) for m in made]
         while len(pool) > 1:  # a tree of fusions
             pool = [fuse(edges, pool[i], pool[i + 1], lifted) if i + 1 < len(pool) else pool[i] for i in range(0, len(pool), 2)]
@@ -451,7 +454,7 @@ def attractive_components(edges: DataFrame, lifted: DataFrame | None = None) ->
     return components(pairs.unionByName(alone))
 
 
-#: Edges of one component that a kernel takes; larger ones are contracted first.
+#: Edges of one component that a kernel takes; larger ones are solved by blocks.
 KERNEL_EDGES = 500_000
 
 
@@ -485,12 +488,14 @@ def contract_mutual(edges: DataFrame, lifted: DataFrame | None, most: int, round
     return edges, lifted, names
 
 
-def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None, most: int | None = KERNEL_EDGES) -> DataFrame:
+def solve(edges: DataFrame, solver: str | Callable = "kl", lifted: DataFrame | None = None, most: int | None = KERNEL_EDGES) -> DataFrame:
     """node_labels(node, label) of edges(u, v, cost) and lifted edges of the same form; labels are smallest nodes.
 
-    A kernel takes at most ``most`` edges of a component (None: any number); with a larger one the whole problem is contracted in
-    parallel first, and the kernels solve what is left.
+    solver: a name in SOLVERS, or a function of local and lifted edges that returns labels by node.
+    A kernel takes at most ``most`` edges of a component (None: any number); with a larger one the problem is solved by
+    ``blockwise.blocked`` over ranges of nodes (give it positions for blocks in space), whose energy is that of a heuristic.
     """
+    kernel = SOLVERS[solver] if isinstance(solver, str) else solver
     edges = cut(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
     if lifted is not None:
         lifted = cut(lifted.select("u", "v", F.col("cost").cast("double").alias("cost")))
@@ -502,16 +507,14 @@ def solve(edges: DataFrame, solver: str = "kl", lifted: DataFrame | None = None,
     inner = rows.join(left, "u").join(right, "v").filter("cu = cv").select(F.col("cu").alias("component"), "u", "v", "cost", "is_local")
 
     if most is not None and edges.count() > most and (inner.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > most:
-        edges, lifted, names = contract_mutual(edges, lifted, most)
-        solved = solve(edges, solver, lifted, None).select(F.col("node").alias("label"), F.col("label").alias("part"))
-        named = cut(names.join(solved, "label", "left").select("node", F.coalesce("part", "label").alias("label")))
-        low = cut(named.groupBy("label").agg(F.min("node").alias("low")))
-        return named.join(low, "label").select("node", F.col("low").alias("label"))
+        from .blockwise import blocked
+
+        return blocked(edges, solver=solver, lifted=lifted, most=most)
 
     def run(key, t):
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("u", "v", "cost", "is_local"))))
         local, more = [r[:3] for r in rows if r[3]], [r[:3] for r in rows if not r[3]]
-        labels = SOLVERS[solver](local, more)
+        labels = kernel(local, more)
         return pa.table({"node": pa.array(list(labels), pa.int64()), "label": pa.array(list(labels.values()), pa.int64())})
 
     solved = inner.groupBy("component").applyInArrow(run, "node long, label long")

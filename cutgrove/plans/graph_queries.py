@@ -151,30 +151,6 @@ def workflow_lifted(spark, d, solver):
     return multicut.solve(e.withColumn("cost", F.col("cost") / n), solver, lifted)
 
 
-@query("mc18_blockwise")
-def mc18(spark, d):
-    """Solve overlapping z blocks, keep what some block cuts, contract, solve the rest, project back."""
-    e = cut(costs(spark, d))
-    z = vox(spark, d).groupBy("seg").agg(F.min("z").alias("z"))
-    b = rag.ends(e, z, ("z",)).withColumn("block", F.explode(F.array_distinct(F.array(F.expr("z_u div 16"), F.expr("(z_u + 4) div 16")))))
-    owned = b.filter("z_v < block * 16 + 16 or z_v - z_u <= 1")
-
-    def run(key, t):
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("u", "v", "cost"))))
-        labels = multicut.kernighan_lin(rows, multicut.gaec(rows))
-        cuts = [(u, v) for u, v, _ in rows if labels[u] != labels[v]]
-        return pa.table({"u": pa.array([u for u, _ in cuts], pa.int64()), "v": pa.array([v for _, v in cuts], pa.int64())})
-
-    kept = cut(owned.select("block", "u", "v", "cost").groupBy("block").applyInArrow(run, "u long, v long").distinct())
-    joined = e.join(kept, ["u", "v"], "left_anti")
-    alone = e.select(F.explode(F.array("u", "v")).alias("a")).distinct().select("a", F.col("a").alias("b"))
-    part = cut(cc.components(joined.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(alone)))
-    small = rag.ends(e, part, ("component",), "node").filter("component_u <> component_v")
-    small = small.groupBy(F.least("component_u", "component_v").alias("u"), F.greatest("component_u", "component_v").alias("v")).agg(F.sum("cost").alias("cost"))
-    solved = cut(multicut.solve(cut(small)))
-    return part.join(solved.select(F.col("node").alias("component"), "label"), "component", "left").select("node", F.coalesce("label", "component").alias("label"))
-
-
 @query("mc29_merge_small", None)
 def mc29(spark, d):
     e, v = edges(spark, d), vox(spark, d)
