@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrove.session import cut
+from cutgrove.session import settle
 
 from . import multicut
 from .relabel import dense_ids
@@ -97,14 +97,14 @@ def _round(edges: DataFrame, parts: DataFrame) -> DataFrame:
     ends = edges
     for side in "uv":
         ends = ends.join(parts.select(F.col("node").alias(side), F.col("part").alias(f"p_{side}")), side)
-    ends = cut(ends)
+    ends = settle(ends)
 
     def run(key, t):
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("u", "v", "cost"))))
         return pa.table({"u": pa.array([x[0] for x in rows], pa.int64()), "v": pa.array([x[1] for x in rows], pa.int64()), "cost": pa.array(reduced_costs(rows), pa.float64())})
 
     inside = ends.filter("p_u = p_v").select(F.col("p_u").alias("part"), "u", "v", "cost").groupBy("part").applyInArrow(run, "u long, v long, cost double")
-    return cut(inside.unionByName(ends.filter("p_u <> p_v").select("u", "v", "cost")))
+    return settle(inside.unionByName(ends.filter("p_u <> p_v").select("u", "v", "cost")))
 
 
 def component_bounds(edges: DataFrame, solver: str = "kl", most: int = 20_000, rounds: int = 2) -> DataFrame:
@@ -114,15 +114,15 @@ def component_bounds(edges: DataFrame, solver: str = "kl", most: int = 20_000, r
     ranges of its nodes of about that many edges, shifted by half a range each round, and its lower bound is what those see.
     Edges between components are cut in every optimum and are not counted.
     """
-    e = cut(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
-    comp = cut(multicut.attractive_components(e))
+    e = settle(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
+    comp = settle(multicut.attractive_components(e))
     labels = multicut.solve(e, solver)
     ends = e.join(comp.select(F.col("node").alias("u"), "component"), "u").join(comp.select(F.col("node").alias("v"), F.col("component").alias("c2")), "v").filter("component = c2").drop("c2")
-    ends = cut(ends.select("component", "u", "v", "cost"))
+    ends = settle(ends.select("component", "u", "v", "cost"))
     upper = multicut.cut_edges(ends, labels).groupBy("component").agg(F.count("*").alias("edges"), F.sum(F.when(F.col("cut") == 1, F.col("cost")).otherwise(0.0)).alias("upper"))
-    sizes = cut(ends.groupBy("component").agg(F.count("*").alias("n")))
+    sizes = settle(ends.groupBy("component").agg(F.count("*").alias("n")))
     ids = dense_ids(comp.withColumnRenamed("node", "seg"), "seg").withColumnsRenamed({"seg": "node", "new_label": "i"})
-    placed = cut(comp.join(sizes, "component").join(ids, "node"))
+    placed = settle(comp.join(sizes, "component").join(ids, "node"))
     nodes_in = placed.groupBy("component").agg(F.count("*").alias("nodes"))
     placed = placed.join(nodes_in, "component")
     reduced = ends.select("u", "v", "cost")

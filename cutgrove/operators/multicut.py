@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrove.session import cut
+from cutgrove.session import cut, settle
 
 from .components import components
 
@@ -463,7 +463,7 @@ def _renamed(edges: DataFrame, match: DataFrame) -> DataFrame:
     for side in "uv":
         edges = edges.join(match.select(F.col("v").alias(side), F.col("u").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
     ends = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return cut(edges.filter("u <> v").groupBy(*ends).agg(F.sum("cost").alias("cost")))
+    return settle(edges.filter("u <> v").groupBy(*ends).agg(F.sum("cost").alias("cost")))
 
 
 def contract_mutual(edges: DataFrame, lifted: DataFrame | None, most: int, rounds: int = 200) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -472,19 +472,19 @@ def contract_mutual(edges: DataFrame, lifted: DataFrame | None, most: int, round
     A round joins every pair of nodes each of which is the other's most attractive local neighbour, lifted costs included:
     what greedy contraction does next at all these places, as long as sums of parallel edges don't overtake them.
     """
-    names = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")))
+    names = settle(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")))
     for _ in range(rounds):
         if edges.count() <= most:
             break
         pull = edges if lifted is None else edges.join(lifted.withColumnRenamed("cost", "far"), ["u", "v"], "left").select("u", "v", (F.col("cost") + F.coalesce("far", F.lit(0.0))).alias("cost"))
         pull = pull.filter("cost > 0")
         both = pull.unionByName(pull.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
-        best = cut(both.groupBy("u").agg(F.max_by("v", F.struct("cost", (-F.col("v")).alias("v"))).alias("v")))
-        match = cut(best.filter("u < v").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi"))
+        best = settle(both.groupBy("u").agg(F.max_by("v", F.struct("cost", (-F.col("v")).alias("v"))).alias("v")))
+        match = settle(best.filter("u < v").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi"))
         if match.isEmpty():
             break
         edges, lifted = _renamed(edges, match), None if lifted is None else _renamed(lifted, match)
-        names = cut(names.join(match.select(F.col("v").alias("label"), F.col("u").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        names = settle(names.join(match.select(F.col("v").alias("label"), F.col("u").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     return edges, lifted, names
 
 

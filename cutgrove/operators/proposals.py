@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrove.session import cut
+from cutgrove.session import settle
 
 from . import multicut
 
@@ -54,15 +54,15 @@ def _fused(key, t):
 
 def parallel_fusion(edges: DataFrame, settings: multicut.FusionSettings = multicut.FusionSettings(), lifted: DataFrame | None = None, start: str = "kl") -> DataFrame:
     """(node, label) of edges(u, v, cost), labels are smallest nodes of parts."""
-    e = cut(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
-    comp = cut(multicut.attractive_components(e, lifted))
+    e = settle(edges.select("u", "v", F.col("cost").cast("double").alias("cost")))
+    comp = settle(multicut.attractive_components(e, lifted))
     kinds = [(e, 1)] + ([(lifted.select("u", "v", F.col("cost").cast("double").alias("cost")), 0)] if lifted is not None else [])
     rows = None
     for part, kind in kinds:
         inner = part.join(comp.select(F.col("node").alias("u"), "component"), "u").join(comp.select(F.col("node").alias("v"), F.col("component").alias("c2")), "v").filter("component = c2")
         inner = inner.select("component", F.lit(kind).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), "cost")
         rows = inner if rows is None else rows.unionByName(inner)
-    rows = cut(rows)
+    rows = settle(rows)
     solver = multicut.SOLVERS[start]
 
     def begin(key, t):
@@ -70,8 +70,8 @@ def parallel_fusion(edges: DataFrame, settings: multicut.FusionSettings = multic
         labels = dict(sorted(solver(local, far).items()))
         return _table(key[0].as_py(), 0, labels, multicut.cut_energy([*local, *far], labels))
 
-    best = cut(rows.withColumn("of", F.lit(0)).groupBy("component").applyInArrow(begin, _FIELDS))
-    state = cut(best.groupBy("component").agg(F.max("value").alias("best"), F.lit(0).alias("stale")))
+    best = settle(rows.withColumn("of", F.lit(0)).groupBy("component").applyInArrow(begin, _FIELDS))
+    state = settle(best.groupBy("component").agg(F.max("value").alias("best"), F.lit(0).alias("stale")))
     for turn in range(settings.rounds):
         open_ones = state.filter(F.col("stale") < settings.stale).select("component")
         if open_ones.isEmpty():
@@ -87,13 +87,13 @@ def parallel_fusion(edges: DataFrame, settings: multicut.FusionSettings = multic
             pairs = F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("k")
             made = as_rows(pool.withColumns({"of": F.col("k") % 2, "k": F.expr("k div 2").cast("int")}), F.col("of"))
             pool = here.select("*", F.lit(0).alias("of"), pairs).unionByName(made).groupBy("component", "k").applyInArrow(_fused, _FIELDS)
-        pool = cut(pool)
+        pool = settle(pool)
         new = pool.groupBy("component").agg(F.max("value").alias("value"))
         gains = F.col("value") < F.col("best") - 1e-9
-        state = cut(state.join(new, "component", "left").select("component", F.when(gains, F.col("value")).otherwise(F.col("best")).alias("best"), F.when(gains, 0).when(F.col("value").isNotNull(), F.col("stale") + 1).otherwise(F.col("stale")).alias("stale"), F.coalesce(gains, F.lit(False)).alias("gained")))
+        state = settle(state.join(new, "component", "left").select("component", F.when(gains, F.col("value")).otherwise(F.col("best")).alias("best"), F.when(gains, 0).when(F.col("value").isNotNull(), F.col("stale") + 1).otherwise(F.col("stale")).alias("stale"), F.coalesce(gains, F.lit(False)).alias("gained")))
         gained = state.filter("gained").select("component")
-        best = cut(pool.join(gained, "component", "left_semi").unionByName(best.join(gained, "component", "left_anti")))
+        best = settle(pool.join(gained, "component", "left_semi").unionByName(best.join(gained, "component", "left_anti")))
         state = state.drop("gained")
-    named = cut(best.groupBy("component", "label").agg(F.min("node").alias("low")))
+    named = settle(best.groupBy("component", "label").agg(F.min("node").alias("low")))
     solved = best.join(named, ["component", "label"]).select("node", F.col("low").alias("label"))
     return comp.select("node").join(solved, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

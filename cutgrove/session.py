@@ -37,3 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: lineage ends here and survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: for loops, whose plans would otherwise carry the estimated
+    sizes of all rounds before, multiplied at each join, while files have their own size."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def test_solvers_between_optimum_and_greedy():
     assert missed <= 8
 
 
-def test_large_problems_are_contracted_first(spark):
+def test_large_problems_are_solved_by_blocks(spark):
     r = random.Random(12)
     e = [(i, j, round(r.gauss(0.3, 1), 3)) for i in range(60) for j in (i + 1, i + 2, i + 13) if j < 60]
     f = [(i, i + 5, round(r.gauss(0, 1), 3)) for i in range(0, 55, 3)]
@@ -109,3 +109,74 @@ def test_paths_tell_merged_objects(spark):
         steps[r.obj, r.path] = (r.x, r.y, r.z)
     label = {(r.obj, r.path): r.label for r in workflows.path_features(workflows.object_paths(v, "obj", 7, 7), v).collect()}
     assert all(label[k] == 0 for k in label if k[0] != 7) and any(label[k] for k in label if k[0] == 7)
+
+
+#: Literal problems with known optima.
+SIX = [(0, 1, 5.0), (0, 3, -20.0), (1, 2, 5.0), (1, 4, 5.0), (2, 5, -20.0), (3, 4, 5.0), (4, 5, 5.0)]
+FIVE = [(0, 1, 10.0), (0, 2, -1.0), (0, 3, -1.0), (0, 4, -1.0), (1, 2, 10.0), (1, 3, -1.0), (1, 4, 4.0), (2, 3, -1.0), (2, 4, -1.0), (3, 4, 10.0)]
+
+
+def grid_problem(n, seed=1):
+    r = random.Random(seed)
+    return [(x + n * y, x + n * y + s, r.gauss(0.2, 1)) for y in range(n) for x in range(n) for s, ok in ((1, x < n - 1), (n, y < n - 1)) if ok]
+
+
+def test_bounds_reach_the_optimum_of_known_problems():
+    from cutgrove.operators import bounds
+
+    assert bounds.lower_bound(SIX) == pytest.approx(-35.0) and bounds.lower_bound(FIVE) == pytest.approx(-1.0)
+    tight = 0
+    for e, _ in problems(60, 11):
+        low, best = bounds.lower_bound(e), multicut.cut_energy(e, multicut.brute_force(e))
+        assert low <= best + 1e-6
+        tight += low > best - 1e-4
+    assert tight >= 55
+
+
+def test_bounds_of_parts_are_bounds(spark):
+    from cutgrove.operators import bounds
+
+    e = grid_problem(12)
+    df = spark.createDataFrame(e, "u long, v long, cost double")
+    whole = {r.component: r for r in bounds.component_bounds(df).collect()}
+    parts = {r.component: r for r in bounds.component_bounds(df, most=60, rounds=3).collect()}
+    trivial = sum(min(0.0, c) for *_, c in e)
+    assert set(whole) == set(parts) and sum(r.edges for r in whole.values()) <= len(e)
+    for k, r in whole.items():
+        assert parts[k].lower <= r.upper + 1e-6 and r.lower <= r.upper + 1e-6
+    assert sum(r.lower for r in whole.values()) >= sum(r.lower for r in parts.values()) > trivial
+
+
+def test_proposals_in_tasks_equal_the_kernel(spark):
+    from cutgrove.operators import proposals
+
+    schema = "u long, v long, cost double"
+    for kind, far in (("watershed", None), ("noise", [(i, i + 2, 0.4) for i in range(0, 90, 7)]), ("subgraph", None)):
+        settings = multicut.FusionSettings(kind, rounds=3, proposals=3, stale=2, radius=2)
+        e = grid_problem(10, 4)
+        labels = {x.node: x.label for x in proposals.parallel_fusion(spark.createDataFrame(e, schema), settings, spark.createDataFrame(far, schema) if far else None).collect()}
+        one = multicut.solve(spark.createDataFrame(e, schema), lambda e, f: multicut.fusion_moves(e, multicut.SOLVERS["kl"](e, f), f, settings), spark.createDataFrame(far, schema) if far else None)  # noqa: B023
+        both = [*e, *(far or [])]
+        assert multicut.cut_energy(both, labels) == pytest.approx(multicut.cut_energy(both, {x.node: x.label for x in one.collect()}))
+
+
+def test_blocks_of_a_grid(spark):
+    from cutgrove.operators import blockwise
+
+    n, e = 20, grid_problem(20, 6)
+    df = spark.createDataFrame(e, "u long, v long, cost double")
+    pos = spark.createDataFrame([(i, float(i % n), float(i // n), 0.0) for i in range(n * n)], "node long, x double, y double, z double")
+    best = multicut.cut_energy(e, multicut.SOLVERS["kl"](e, []))
+    for where in (pos, None):
+        labels = {x.node: x.label for x in blockwise.blocked(df, where, most=200).collect()}
+        assert multicut.connected_labels(e, labels) == labels and len(labels) == n * n
+        assert multicut.cut_energy(e, labels) <= best + 0.02 * abs(best)
+
+
+def test_moves_keep_fixed_nodes():
+    from cutgrove.operators import blockwise
+
+    e = grid_problem(6, 8)
+    start, fixed = {i: i // 12 for i in range(36)}, set(range(0, 36, 5))
+    out = blockwise.boundary_moves(e, start, fixed)
+    assert all(out[i] == start[i] for i in fixed) and multicut.cut_energy(e, out) < multicut.cut_energy(e, start)
