@@ -267,20 +267,6 @@ def squared_edt(on: np.ndarray, pitch: tuple = (1.0, 1.0)) -> np.ndarray:
     return f
 
 
-def distance_transform(voxels: DataFrame) -> DataFrame:
-    """x, y, z, d2: squared in-plane distance to the nearest voxel beside a label change of its slice."""
-    edge = both_sides(faces(voxels).filter("axis < 2")).distinct().withColumn("edge", F.lit(1))
-    rows = voxels.select("x", "y", "z").join(edge, ["x", "y", "z"], "left").select("x", "y", "z", F.coalesce("edge", F.lit(0)).alias("edge"))
-
-    def run(key, t):
-        x, y, ox, oy, (edge,) = _grid(t, ["edge"])
-        d = squared_edt(edge > 0)[x - ox, y - oy]
-        ok = np.isfinite(d)
-        return pa.table({"x": x[ok], "y": y[ok], "z": pa.array([key[0].as_py()] * int(ok.sum()), pa.int64()), "d2": d[ok].astype(np.int64)})
-
-    return rows.groupBy("z").applyInArrow(run, "x long, y long, z long, d2 long")
-
-
 def gaussian(g: np.ndarray, sigma: float, order: int = 0, axis: int = 0) -> np.ndarray:
     """Separable Gaussian or derivative along one axis, reflected borders, 3 sigma wide."""
     r = max(1, math.ceil(3 * sigma))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import images
+from . import grids, images
 from .components import contract
 from .relabel import running_offsets
 
@@ -180,27 +180,14 @@ def grouped_seeds(voxels: DataFrame, col: str, threshold: float, sigma: float =
     return _by_slice(voxels, (col,), kernel, "seed_group long").filter("seed_group > 0")
 
 
-def pitched_superpixels(voxels: DataFrame, col: str, threshold: float, pitch: float, depth: int) -> DataFrame:
-    """x, y, z, label: distances over chunks of ``depth`` slices with as many around them, slices ``pitch`` apart; the rest by slice.
-
-    A distance over more than ``depth`` slices is not seen.
-    """
-    dealt = voxels.select("x", "y", "z", F.col(col).cast("double").alias("v"), F.explode(F.expr(f"sequence(greatest(0, z div {depth} - 1), z div {depth} + 1)")).alias("chunk"))
-
-    def run(key, t):
-        x, y, z = (np.asarray(t.column(c)) for c in "xyz")
-        o = np.array([x.min(), y.min(), z.min()])
-        g = np.zeros(tuple(np.array([x.max(), y.max(), z.max()]) - o + 1))
-        g[x - o[0], y - o[1], z - o[2]] = np.asarray(t.column("v"))
-        d = signed_distance(g, threshold, 0, (1.0, 1.0, pitch))
-        own = np.zeros(g.shape, np.int64)
-        mine = np.unique(z[z // depth == key[0].as_py()])
-        for k in mine - o[2]:
-            own[:, :, k] = watershed(g[:, :, k], Options(threshold, grow_on_map=True, weight_sigma=0.8), d[:, :, k])
-        ok = z // depth == key[0].as_py()
-        return pa.table({"x": x[ok], "y": y[ok], "z": z[ok], "own": own[x[ok] - o[0], y[ok] - o[1], z[ok] - o[2]]})
-
-    return _apart(dealt.groupBy("chunk").applyInArrow(run, "x long, y long, z long, own long"))
+def pitched_superpixels(voxels: DataFrame, col: str, threshold: float, pitch: float) -> DataFrame:
+    """x, y, z, label: distances over the whole volume with slices ``pitch`` apart, then seeds and watershed in every slice."""
+    rows = voxels.select("x", "y", "z", F.col(col).cast("double").alias(col), (F.col(col) >= threshold).alias("__on"))
+    extent = rows.agg(*((F.max(c) - F.min(c) + 1).alias(c) for c in "xyz")).first()
+    far = float(np.linalg.norm([(n or 0) * k for n, k in zip(extent, (1.0, 1.0, pitch))]))
+    d = grids.signed_distances(rows, "__on", (1.0, 1.0, pitch)).select("x", "y", "z", F.coalesce("distance", F.lit(far)).alias("__d"))
+    o = Options(threshold, grow_on_map=True, weight_sigma=0.8)
+    return _apart(_by_slice(rows.join(d, ["x", "y", "z"]), (col, "__d"), lambda g, z: (watershed(g[0], o, g[1]),), "own long"))
 
 
 def smoothed_watershed(voxels: DataFrame, col: str, sigma: float) -> DataFrame:

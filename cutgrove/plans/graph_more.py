@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
-from cutgrove.operators import graphs, images, metrics, rag, relabel
+from cutgrove.operators import graphs, grids, images, metrics, rag, relabel
 from cutgrove.operators.components import components
 
 from .common import WITH_EDGES, WITH_PAIRS, WITH_VOX, edges, vox
@@ -305,7 +305,7 @@ def sc13(spark, d):
 def sc14(spark, d):
     """Targets that fall off with the distance to a boundary, and Gaussian weights that are 0 beyond two voxels."""
     d2 = F.col("d2")
-    return images.distance_transform(vox(spark, d)).select("x", "y", "z", F.round(F.exp(-0.5 * F.sqrt(d2)), 6).alias("target"), F.round(F.when(d2 > 4, 0.0).otherwise(10 * F.exp(-d2 / 8.0)), 6).alias("weight"))
+    return grids.edge_distances(vox(spark, d)).select("x", "y", "z", F.round(F.exp(-0.5 * F.sqrt(d2)), 6).alias("target"), F.round(F.when(d2 > 4, 0.0).otherwise(10 * F.exp(-d2 / 8.0)), 6).alias("weight"))
 
 
 @query("sc19_fused_logits", WITH_EDGES + ", f AS (SELECT e.u, e.v, (2 * (CASE WHEN e.u // 3 <> e.v // 3 THEN 1 ELSE 0 END) + (CASE WHEN a.gt <> b.gt THEN 1 ELSE 0 END)) / 3.0 AS p FROM edges e JOIN node_gt a ON e.u = a.seg JOIN node_gt b ON e.v = b.seg), q AS (SELECT u, v, greatest(0.001, least(0.999, p)) AS q FROM f) SELECT u, v, round(ln((1 - q) / q), 6) AS cost FROM q")

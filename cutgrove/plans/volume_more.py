@@ -329,8 +329,8 @@ def im8_covered(spark, d):
 
 @query("im9_pitched_watershed")
 def im9(spark, d):
-    """Distances in three dimensions with a pitch, seeds and watershed in every slice of a chunk."""
-    return superpixels.pitched_superpixels(vox(spark, d), "pm", 50_000, 5.0, 16)
+    """Distances over the volume with a pitch, then seeds and watershed in every slice."""
+    return superpixels.pitched_superpixels(vox(spark, d), "pm", 50_000, 5.0)
 
 
 @query("im10_smoothed_watershed")

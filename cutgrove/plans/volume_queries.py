@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cutgrove.operators import images, rag
+from cutgrove.operators import grids, images, rag
 from cutgrove.operators.relabel import consecutive, dense_ids, running_offsets
 from cutgrove.sources import volumes
 
@@ -254,7 +254,7 @@ def im1_bank(spark, d):
 @query("im3_distance_transform", WITH_PAIRS + """, b AS (SELECT z, x, y FROM pairs WHERE seg <> next_seg AND axis < 2 UNION SELECT z, x + CASE axis WHEN 0 THEN 1 ELSE 0 END, y + CASE axis WHEN 1 THEN 1 ELSE 0 END FROM pairs WHERE seg <> next_seg AND axis < 2)
   SELECT v.x, v.y, v.z, CAST(min((v.x - b.x) ** 2 + (v.y - b.y) ** 2) AS BIGINT) AS d2 FROM vox v JOIN b ON v.z = b.z GROUP BY v.x, v.y, v.z""")
 def im3(spark, d):
-    return images.distance_transform(vox(spark, d))
+    return grids.edge_distances(vox(spark, d))
 
 
 @query("im14_border_contacts", WITH_VOX + ", f AS (SELECT 'x0' AS face, seg, y AS a, z AS b FROM vox WHERE x = 0 UNION ALL SELECT 'x1', seg, y, z FROM vox WHERE x = 9 UNION ALL SELECT 'y0', seg, x, z FROM vox WHERE y = 0 UNION ALL SELECT 'y1', seg, x, z FROM vox WHERE y = 9) SELECT face, seg, count(*) AS n, min(a) AS a, min(b) AS b FROM f GROUP BY face, seg")
