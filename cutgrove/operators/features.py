@@ -199,3 +199,32 @@ def border_voxels(voxels: DataFrame) -> DataFrame:
             near = F.when(f(along).over(w) - F.col(along) == (1 if f is F.lead else -1), f("seg").over(w))
             change = change | F.coalesce(near != F.col("seg"), F.lit(True))
     return voxels.withColumn("on_rim", change).filter("on_rim").select("seg", "x", "y", "z")
+
+
+def line_voxels(pairs: DataFrame, centres: DataFrame) -> DataFrame:
+    """(u, v, at, x, y, z): voxels of the straight line between the centres(seg, x, y, z; whole numbers) of each pair, one a
+    step along its longest axis, halves rounded up."""
+    from .rag import ends
+
+    e = ends(pairs.select("u", "v"), centres, ("x", "y", "z"))
+    steps = F.greatest(*(F.abs(F.col(f"{c}_u") - F.col(f"{c}_v")) for c in "xyz"), F.lit(1))
+    rows = e.withColumn("steps", steps.cast("long")).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))))
+    place = lambda c: F.floor((2 * (F.col(f"{c}_u") * F.col("steps") + (F.col(f"{c}_v") - F.col(f"{c}_u")) * F.col("at")) + F.col("steps")) / (2 * F.col("steps"))).cast("long")
+    return rows.select("u", "v", "at", *(place(c).alias(c) for c in "xyz"))
+
+
+def step_fits(profiles: DataFrame, value: str) -> DataFrame:
+    """(u, v, n, split, height, rest) of profiles(u, v, at, value): the best fit by two levels to each with three values or more.
+
+    split: how many values belong to the first level (the least of equals), height: the step between both means, rest: the mean
+    squared deviation. All splits come from running sums; whole values give exact sums.
+    """
+    w = Window.partitionBy("u", "v").orderBy("at")
+    whole = Window.partitionBy("u", "v")
+    x = F.col(value).cast("long")
+    rows = profiles.select("u", "v", F.row_number().over(w).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(w).alias("s"), F.sum(x).over(whole).alias("all"), F.sum(x * x).over(whole).alias("squares"))
+    left, right = F.col("s").cast("double"), (F.col("all") - F.col("s")).cast("double")
+    k, rest = F.col("k"), F.col("n") - F.col("k")
+    fitted = rows.filter("n >= 3 AND k < n").select("u", "v", "n", "k", (F.col("squares") - left * left / k - right * right / rest).alias("d"), F.abs(left / k - right / rest).alias("height"))
+    best = fitted.groupBy("u", "v").agg(F.max("n").alias("n"), F.min(F.struct("d", "k", "height")).alias("b"))
+    return best.select("u", "v", "n", F.col("b.k").cast("long").alias("split"), F.col("b.height").alias("height"), (F.col("b.d") / F.col("n")).alias("rest"))

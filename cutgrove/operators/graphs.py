@@ -6,6 +6,7 @@ import heapq
 import itertools
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -413,3 +414,48 @@ def long_range_costs(voxels: DataFrame, col: str, reach: int, scale: float) -> D
     p = F.greatest(F.col(col), *(F.lead(col, k).over(w) for k in range(1, reach + 1))) * scale
     rows = voxels.select("x", "y", "z", p.alias("p"), F.lead("x", reach).over(w).alias("end"))
     return rows.filter(F.col("end") == F.col("x") + reach).select("x", "y", "z", F.ln((1 - F.col("p")) / F.col("p")).alias("cost"))
+
+
+def window_distances(cost: np.ndarray, reach: int) -> np.ndarray:
+    """Cheapest path from every pixel to those within ``reach`` along either axis, inside that window: (w, h, 2 reach + 1, 2 reach + 1).
+
+    A step costs the sum of both pixels. All pixels relax at once until nothing changes; pixels beyond the image are walls.
+    """
+    side = 2 * reach + 1
+    padded = np.pad(cost.astype(float), reach, constant_values=np.inf)
+    near = np.lib.stride_tricks.sliding_window_view(padded, (side, side))
+    d = np.full(near.shape, np.inf)
+    d[:, :, reach, reach] = np.where(np.isfinite(cost), 0.0, np.inf)
+    while True:
+        new = d.copy()
+        for axis in (2, 3):
+            first, second = (np.take(d, range(side - 1), axis), np.take(d, range(1, side), axis))
+            a, b = (np.take(near, range(side - 1), axis), np.take(near, range(1, side), axis))
+            low, high = [slice(None)] * 4, [slice(None)] * 4
+            low[axis], high[axis] = slice(0, side - 1), slice(1, side)
+            np.minimum(new[tuple(high)], first + (a + b), out=new[tuple(high)])
+            np.minimum(new[tuple(low)], second + (a + b), out=new[tuple(low)])
+        if np.array_equal(new, d):
+            return d
+        d = new
+
+
+def lifted_grid_distances(voxels: DataFrame, col: str, upper: int, tile: int = 64) -> DataFrame:
+    """(x, y, z, dx, dy, cost): every pair of a slice's pixels at most ``upper`` apart (the straight distance) and over one step, each once, with
+    the cheapest path between them inside the window of ``upper`` pixels around the first. A task holds a tile and that window."""
+    offsets = [(a, b) for b in range(upper + 1) for a in range(-upper, upper + 1) if (b > 0 or a > 0) and 1 < a * a + b * b <= upper * upper]
+    at = lambda c: F.explode(F.expr(f"sequence(greatest(0, {c} - {upper}) div {tile}, ({c} + {upper}) div {tile})"))
+    dealt = voxels.select("x", "y", "z", col).withColumn("tx", at("x")).withColumn("ty", at("y"))
+
+    def run(key, t):
+        x, y, c = np.asarray(t.column("x")), np.asarray(t.column("y")), np.asarray(t.column(col)).astype(float)
+        grid = np.full((int(np.ptp(x)) + 1, int(np.ptp(y)) + 1), np.inf)
+        grid[x - x.min(), y - y.min()] = c
+        own = (x // tile == key[1].as_py()) & (y // tile == key[2].as_py())
+        d = window_distances(grid, upper)[x[own] - x.min(), y[own] - y.min()]
+        found = np.stack([d[:, a + upper, b + upper] for a, b in offsets], 1) if own.any() else np.zeros((0, len(offsets)))
+        i, k = np.nonzero(np.isfinite(found))
+        moves = np.array(offsets)[k] if len(k) else np.zeros((0, 2), np.int64)
+        return pa.table({"x": x[own][i], "y": y[own][i], "z": pa.array([key[0].as_py()] * len(i), pa.int64()), "dx": moves[:, 0].astype(np.int64), "dy": moves[:, 1].astype(np.int64), "cost": found[i, k]})
+
+    return dealt.groupBy("z", "tx", "ty").applyInArrow(run, "x long, y long, z long, dx long, dy long, cost double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
@@ -168,20 +167,6 @@ def jn12(spark, d):
     return f.join(f.withColumnRenamed("a", "b"), "obj").filter("a < b")
 
 
-@query("gr9_grid_paths")
-def gr9(spark, d):
-    """Cheapest path through each gt object between its first and last voxel."""
-
-    def run(key, t):
-        at = list(zip(*(t.column(c).to_pylist() for c in "xyz")))
-        cost = dict(zip(at, (float(p) for p in t.column("pm").to_pylist())))
-        order = sorted(at, key=lambda a: (a[2], a[1], a[0]))
-        path = graphs.grid_path(cost, order[0], order[-1])
-        return pa.table({"obj": pa.array([key[0].as_py()] * len(path), pa.int64()), "seq": pa.array(range(len(path)), pa.int64()), **{c: pa.array([p[i] for p in path], pa.int64()) for i, c in enumerate("xyz")}})
-
-    return vox(spark, d).select("gt", "x", "y", "z", "pm").groupBy("gt").applyInArrow(run, "obj long, seq long, x long, y long, z long")
-
-
 def halves(spark, d):
     return learning.z_cutouts(vox(spark, d), (0.5,))
 

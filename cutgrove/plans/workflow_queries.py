@@ -122,17 +122,6 @@ def mc21_seeded(spark, d):
     return r.select("u", "v", F.when((a % 4 == 0) & (b % 4 == 0), F.when(a == b, 100.0).otherwise(-100.0)).otherwise(F.round("cost", 6)).alias("cost"))
 
 
-@query("mc23_build_lift_solve")
-def mc23(spark, d):
-    """Problem from an image, lifted on its grid, solved: a pipeline of functions."""
-    v = vox(spark, d).filter("z < 2")
-    p = rag.voxel_pairs(v).filter("axis < 2").select((F.col("x") + 10 * F.col("y") + 100 * F.col("z")).alias("u"), "axis", (F.greatest("pm", "next_pm") / 100_000.0).alias("p"))
-    local = p.select("u", (F.col("u") + F.when(F.col("axis") == 0, 1).otherwise(10)).alias("v"), en.energy(F.col("p")).alias("cost"))
-    far = graphs.long_range_costs(v, "pm", 3, 1.0 / 100_000.0)
-    first = F.col("x") + 10 * F.col("y") + 100 * F.col("z")
-    return multicut.solve(local, "kl", far.select(first.alias("u"), (first + 3).alias("v"), (F.col("cost") / 10).alias("cost")))
-
-
 @query("mc25_multicut_states")
 def mc25(spark, d):
     """Whether fifteen multicuts separate a lifted pair, and how many do."""
