@@ -63,7 +63,7 @@ def save_volume(voxels: DataFrame, path: str, chunk: tuple = (64, 64, 64)) -> in
     _save(path, META, json.dumps({"shape": shape, "chunk": list(chunk), "layers": layers}).encode())
 
     def run(key, t):
-        own = [key[0].as_py()[c] for c in AXES]
+        own = [k.as_py() for k in key]
         at = tuple(np.asarray(t.column(c)) - o * n for c, o, n in zip(AXES, own, chunk))
         size = tuple(min(n, s - o * n) for n, s, o in zip(chunk, shape, own))
         for name, kind in layers.items():
@@ -72,8 +72,8 @@ def save_volume(voxels: DataFrame, path: str, chunk: tuple = (64, 64, 64)) -> in
             _save(path, f"{name}/{own[0]}.{own[1]}.{own[2]}.npy", _npy(a))
         return pa.table({"files": pa.array([len(layers)], pa.int64())})
 
-    where = F.struct(*(F.expr(f"{c} div {n}").alias(c) for c, n in zip(AXES, chunk)))
-    return voxels.withColumn("__chunk", where).groupBy("__chunk").applyInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    where = {f"__{c}": F.expr(f"{c} div {n}") for c, n in zip(AXES, chunk)}
+    return voxels.withColumns(where).groupBy(*where).applyInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
 @dataclass

@@ -15,7 +15,7 @@ def test_array_folder_round_trip(spark):
     rows = [(x, y, z, 10 * x + y, float(z) if x else None, x > y) for x in range(5) for y in range(4) for z in range(3) if (x, y, z) != (4, 3, 2)]
     df = spark.createDataFrame(rows, "x long, y long, z long, a int, b double, c boolean")
     path = scratch(spark, "volume")
-    assert arrays.save_volume(df, path, (2, 3, 2)) == 3 * 12
+    assert arrays.save_volume(df, path, (2, 3, 2)) == 3 * 11  # the last chunk holds no voxel
     back = arrays.load_volume(spark, path)
     assert back.schema["a"].dataType.simpleString() == "int" and back.schema["c"].dataType.simpleString() == "boolean"
     want = {r[:3]: (r[3], r[4] or 0.0, r[5]) for r in rows} | {(4, 3, 2): (0, 0.0, False)}
