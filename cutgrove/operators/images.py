@@ -347,6 +347,22 @@ def filter_bank(voxels: DataFrame, col: str, sigmas: tuple = SIGMAS, anisotropy:
     return rows.select("*", chunk).groupBy("chunk").applyInArrow(in_chunk, fields)
 
 
+def slice_filters(voxels: DataFrame, cols: tuple, keep: tuple = ("seg",), sigmas: tuple = SIGMAS) -> tuple[DataFrame, list[str]]:
+    """x, y, z, the kept columns and every filter and scale of each column inside slices, as <column>_<filter>_<scale>, in one
+    pass; and the names of those. A task holds one slice."""
+    kinds = ("smooth", "log", "hessian_high", "hessian_low")
+    names = [f"{c}_{n}_{str(s).replace('.', '_')}" for c in cols for s in sigmas for n in kinds]
+    kinds_of = {f.name: f.dataType.simpleString() for f in voxels.schema}
+    fields = ", ".join(["x long", "y long", "z long", *(f"{k} {kinds_of[k]}" for k in keep), *(f"{n} double" for n in names)])
+
+    def run(key, t):
+        x, y, ox, oy, grids = _grid(t, list(cols))
+        values = [v[x - ox, y - oy] for g in grids for s in sigmas for v in filters(g, s).values()]
+        return pa.table({"x": x, "y": y, "z": pa.array([key[0].as_py()] * len(x), pa.int64()), **{k: t.column(k) for k in keep}, **dict(zip(names, values))})
+
+    return voxels.select("x", "y", "z", *keep, *cols).groupBy("z").applyInArrow(run, fields), names
+
+
 def flood(heights: np.ndarray, seeds: np.ndarray, neighbours: int = 4) -> np.ndarray:
     """Seeded watershed with 4 or 8 neighbours: pixels in order of height, then of arrival."""
     steps = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if neighbours == 8 else [])

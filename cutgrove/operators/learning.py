@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,8 +17,10 @@ from cutgrove.session import cut
 from . import defects, features, images, rag
 from .relabel import consecutive
 
-#: Kinds of local features: filters over the map, affinities, regions, topology; plain values of raw and pm.
+#: Kinds of local features: the filters over raw and over the map, regions, topology. Others: affinities, plain values.
 LOCAL = ("raw", "prob", "reg", "topo")
+#: Columns of the inputs that filters work on, by kind.
+INPUTS = {"raw": "raw", "prob": "pm"}
 
 
 @dataclass(frozen=True)
@@ -42,31 +45,29 @@ def graph(voxels: DataFrame) -> DataFrame:
 def local_features(voxels: DataFrame, edges: DataFrame, kinds: tuple = LOCAL) -> DataFrame:
     """(u, v, f_...): the kinds of features side by side; odd values are 0."""
     found = []
-    if "raw" in kinds or "prob" in kinds:
-        channels = {k: F.col(c) for k, c in (("raw", "raw"), ("prob", "pm")) if k in kinds}
-        found.append(features.wide_channels(features.channel_statistics(voxels, channels), list(channels)))
-    if "filters" in kinds:
-        bank = images.filter_bank(voxels, "pm")
-        names = [c for c in bank.columns if c not in ("x", "y", "z")]
-        wide = bank.join(voxels.select("x", "y", "z", "seg"), ["x", "y", "z"])
-        found.append(features.wide_channels(features.channel_statistics(wide, {n: F.col(n) for n in names}), names))
+    inputs = tuple(INPUTS[k] for k in kinds if k in INPUTS)
+    if inputs:
+        filtered, names = images.slice_filters(voxels, inputs)
+        found.append(_named(features.wide_statistics(filtered, names)))
+    if "plain" in kinds:
+        found.append(_named(features.wide_statistics(voxels, list(INPUTS.values()))))
     if "affinities" in kinds:
-        found.append(features.edge_statistics(features.affinity_faces(rag.faces(voxels), 200_000.0), F.col("w")).withColumnsRenamed({n: f"aff_{n}" for n in features.EDGE_STATS}))
+        found.append(fine(features.edge_statistics(features.affinity_faces(rag.faces(voxels), 200_000.0), F.col("w")).withColumnsRenamed({n: f"aff_{n}" for n in features.EDGE_STATS}), ("u", "v")))
     if "reg" in kinds:
-        found.append(features.pair_statistics(edges, features.region_statistics(voxels)))
+        found.append(fine(features.pair_statistics(edges, features.region_statistics(voxels)), ("u", "v")))
     if "topo" in kinds:
-        found.append(features.topology(edges, voxels))
-    wide = reduce(lambda a, b: a.join(b, ["u", "v"]), found)
-    return fine(wide, ("u", "v"))
+        found.append(fine(features.topology(edges, voxels), ("u", "v")))
+    return reduce(lambda a, b: a.join(b, ["u", "v"]), found)
+
+
+def _named(wide: DataFrame) -> DataFrame:
+    return wide.toDF(*(c if c in ("u", "v") else f"f_{c}" for c in wide.columns))
 
 
 def fine(wide: DataFrame, keys: tuple) -> DataFrame:
     """All columns but the keys as doubles named f_<name>, what is not finite as 0."""
-    def one(c):
-        v = F.col(c).cast("double")
-        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v).alias(f"f_{c}")
-
-    return wide.select(*keys, *(one(c) for c in wide.columns if c not in keys))
+    one = lambda v: f"CASE WHEN isnan({v}) OR abs({v}) = double('infinity') THEN 0D ELSE coalesce({v}, 0D) END"
+    return wide.selectExpr(*keys, *(f"{one(f'CAST(`{c}` AS DOUBLE)')} AS `f_{c}`" for c in wide.columns if c not in keys))
 
 
 def edge_labels(edges: DataFrame, voxels: DataFrame) -> DataFrame:
@@ -134,10 +135,11 @@ def cross_validated(rows: DataFrame, folds: int = 3, forest: Forest = Forest())
     return by_fold.groupBy("part").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("dev"))
 
 
-def learn_with_defects(volumes: list[DataFrame], test: DataFrame, bad: tuple, forest: Forest = Forest()) -> DataFrame:
-    """(u, v, origin, ignore, n, kind, p) of the test volume's modified edges: one forest for edges, the same on skip edges' statistics.
+def learn_with_defects(volumes: list[DataFrame], test: DataFrame, bad: tuple, forest: Forest = Forest(), train_bad: tuple = ()) -> DataFrame:
+    """(u, v, origin, ignore, n, kind, p) of the test volume's modified edges: one forest for edges, one for skip edges.
 
-    Skip edges are told apart by the range they bridge, a feature of their own; only statistics that both kinds have count.
+    train_bad: the bad slices of each training volume. The second forest learns on their skip edges; where those have no rows of
+    both classes, the first one judges skip edges too. Only statistics that both kinds have count, and the range bridged.
     """
     def rows(v, defect):
         e = graph(v)
@@ -153,5 +155,13 @@ def learn_with_defects(volumes: list[DataFrame], test: DataFrame, bad: tuple, fo
         wide = stats.join(features.pair_statistics(kept, features.region_statistics(v)), ["u", "v"]).join(kept.select("u", "v", "skip_range"), ["u", "v"])
         return fine(wide, ("u", "v")).join(kept, ["u", "v"]).join(edge_labels(kept, v), ["u", "v"])
 
-    model = train(reduce(DataFrame.unionByName, (rows(v, ()) for v in volumes)).drop("u", "v", "n", "kind", "origin", "ignore", "skip_range"), forest)
-    return predict(model, rows(test, bad)).select("u", "v", "origin", "ignore", "n", "kind", "p")
+    known = cut(reduce(DataFrame.unionByName, (rows(v, tuple(d)) for v, d in zip_longest(volumes, train_bad, fillvalue=()))))
+    here, out = cut(rows(test, bad)), None
+    models = {}
+    for origin in ("local", "skip"):
+        own = known.filter((F.col("origin") == origin) & (F.col("ignore") == 0)).drop("u", "v", "n", "kind", "origin", "ignore", "skip_range")
+        enough = origin == "local" or own.select("label").distinct().count() == 2
+        models[origin] = train(own, forest) if enough else models["local"]
+        part = predict(models[origin], here.filter(F.col("origin") == origin)).select("u", "v", "origin", "ignore", "n", "kind", "p")
+        out = part if out is None else out.unionByName(part)
+    return out

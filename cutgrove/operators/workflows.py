@@ -30,9 +30,9 @@ def multicut_workflow(volumes: list[DataFrame], test: DataFrame, solver: str = "
     return multicut.solve(costs(cut(learning.learn_and_predict(volumes, test))), solver)
 
 
-def defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple, solver: str = "kl") -> DataFrame:
+def defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple, solver: str = "kl", train_bad: tuple = ()) -> DataFrame:
     """The same over the edges that bad slices leave, skip edges included; ignored edges repel most."""
-    p = cut(learning.learn_with_defects(volumes, test, bad))
+    p = cut(learning.learn_with_defects(volumes, test, bad, train_bad=train_bad))
     e = cut(en.weigh(p.withColumn("cost", en.energy(F.col("p"))), "z", e="cost").select("u", "v", "ignore", "cost"))
     low = e.agg(F.min("cost")).first()[0] or 0.0
     return multicut.solve(e.select("u", "v", F.when(F.col("ignore") == 1, F.lit(2 * low)).otherwise(F.col("cost")).alias("cost")), solver)
@@ -199,9 +199,9 @@ def lifted_workflow(train: DataFrame, test: DataFrame, hops: int = 2, beta: floa
     return multicut.solve(part(1), solver, part(0))
 
 
-def lifted_defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple, hops: int = 2) -> DataFrame:
+def lifted_defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple, hops: int = 2, train_bad: tuple = ()) -> DataFrame:
     """Lifted multicut over modified edges: lifted energies from the weakest edge on the best path; pairs at bad slices repel most."""
-    p = cut(learning.learn_with_defects(volumes, test, bad))
+    p = cut(learning.learn_with_defects(volumes, test, bad, train_bad=train_bad))
     e = cut(en.weigh(p.withColumn("cost", en.energy(F.col("p"))), "z", e="cost").select("u", "v", "ignore", "cost"))
     low = e.agg(F.min("cost")).first()[0] or 0.0
     local = cut(e.select("u", "v", F.when(F.col("ignore") == 1, F.lit(2 * low)).otherwise(F.col("cost")).alias("cost")))

@@ -166,6 +166,18 @@ def ml1(spark, d):
     return learning.local_features(v, learning.graph(v), ("raw", "prob", "affinities", "reg", "topo"))
 
 
+@query("ml1_plain_columns", WITH_EDGES + """, around AS (SELECT seg, sum(n) AS a FROM (SELECT u AS seg, n FROM edges WHERE kind = 1 UNION ALL SELECT v, n FROM edges WHERE kind = 1) GROUP BY seg)
+  SELECT e.u, e.v, e.n::DOUBLE AS f_len, e.kind::DOUBLE AS f_kind, CASE WHEN e.kind = 0 THEN a.n + b.n - e.n ELSE 0 END::DOUBLE AS f_uni, least(a.n, b.n)::DOUBLE AS f_lo_n, greatest(a.n, b.n)::DOUBLE AS f_hi_n,
+    abs(a.total - b.total)::DOUBLE AS f_diff_total, least(a.low, b.low)::DOUBLE AS f_lo_low, greatest(a.high, b.high)::DOUBLE AS f_hi_high, (a.low + b.low)::DOUBLE AS f_sum_low,
+    CASE WHEN e.kind = 0 THEN round(greatest(coalesce(a.n::DOUBLE / x.a, 0), coalesce(b.n::DOUBLE / y.a, 0)), 6) ELSE 0 END::DOUBLE AS f_shape_hi
+  FROM edges e JOIN nodes a ON a.seg = e.u JOIN nodes b ON b.seg = e.v LEFT JOIN around x ON x.seg = e.u LEFT JOIN around y ON y.seg = e.v""")
+def ml1_plain(spark, d):
+    """Those columns of the feature table that filters have no part in."""
+    v = vox(spark, d)
+    wide = learning.local_features(v, learning.graph(v), ("reg", "topo"))
+    return wide.select("u", "v", *(f"f_{c}" for c in ("len", "kind", "uni", "lo_n", "hi_n", "diff_total", "lo_low", "hi_high", "sum_low")), F.round("f_shape_hi", 6).alias("f_shape_hi"))
+
+
 @query("ml2_learn_and_predict")
 def ml2(spark, d):
     """Learnt on one half, without ignored objects, predicted on the other."""
@@ -212,7 +224,8 @@ def ml5(spark, d):
 def wf2(spark, d):
     train, test = halves(spark, d)
     first = test.agg(F.min("z")).first()[0] or 0
-    return workflows.defect_workflow([train], test, (first + 1, first + 2))
+    begin = train.agg(F.min("z")).first()[0] or 0
+    return workflows.defect_workflow([train], test, (first + 1, first + 2), train_bad=((begin + 2, begin + 3),))
 
 
 @query("wf3_lifted_workflow")
@@ -225,7 +238,8 @@ def wf3(spark, d):
 def wf4(spark, d):
     train, test = halves(spark, d)
     first = test.agg(F.min("z")).first()[0] or 0
-    return workflows.lifted_defect_workflow([train], test, (first + 1, first + 2))
+    begin = train.agg(F.min("z")).first()[0] or 0
+    return workflows.lifted_defect_workflow([train], test, (first + 1, first + 2), train_bad=((begin + 2, begin + 3),))
 
 
 def merged(spark, d):

@@ -88,3 +88,20 @@ def test_distances_in_bundles_of_lines(spark):
             near = [sum((pitch[k] * (p[k] - q[k])) ** 2 for k in axes) for q in marks if all(p[k] == q[k] for k in range(3) if k not in axes)]
             assert d == (min(near) if near else None)
     assert all(r.d2 is None for r in grids.squared_distances(df.selectExpr("x", "y", "z", "CAST(NULL AS BOOLEAN) AS is_on"), "is_on").collect())
+
+
+def test_wide_statistics_equal_built_in_ones(spark):
+    from pyspark.sql import functions as F
+
+    from cutgrove.operators import features
+
+    r = np.random.default_rng(6)
+    rows = [(x, y, z, (x // 3) + 10 * (y // 4) + 100 * (z // 2), float(r.integers(0, 5)), float(r.normal()) if x != y else 1.0) for x in range(7) for y in range(8) for z in range(4)]
+    df = spark.createDataFrame(rows, "x long, y long, z long, seg long, raw double, pm double")
+    want = {(q.u, q.v): q.asDict() for q in features.wide_channels(features.channel_statistics(df, {"raw": F.col("raw"), "pm": F.col("pm")}), ["raw", "pm"]).collect()}
+    got = {(q.u, q.v): q.asDict() for q in features.wide_statistics(df, ["raw", "pm"]).collect()}
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        assert row.keys() == got[k].keys() and all(abs(got[k][c] - x) <= 1e-9 * max(1, abs(x)) for c, x in row.items()), (k, row, got[k])
+    whole = list(features.whole_groups(features.pa.Table.from_pydict({"u": [1, 1, 1, 2, 2, 3], "v": [1, 1, 2, 2, 2, 3]}).to_batches(max_chunksize=2), least=2))
+    assert [t.column("u").to_pylist() for t in whole] == [[1, 1], [1], [2, 2], [3]] or sum(len(t) for t in whole) == 6
