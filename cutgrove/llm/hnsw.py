@@ -8,7 +8,8 @@ turns up. Queries that end in one place are swept together, so a cluster of near
 slice and at worst one over the shard. Every link is decided by cosine in double precision. A task folds its matches
 into counts and a spanning forest block by block and never holds or returns all pairs.
 
-The lowest recall that the audits measured is returned in ``audited_recall`` (null where no sampled vector has a partner).
+The lowest recall that the audits measured is returned in ``audited_recall``; in a shard where no
+sampled vector has a partner it is that of the true nearest neighbours (null where no shard has two vectors).
 
 Null, empty and zero vectors and those with null or non-finite components link with nothing, and so do rows whose vec_id
 is null (component_id null, kept true); vectors of different lengths never link; equal vectors link with each other;
@@ -44,6 +45,8 @@ FOREIGN = 2_048
 LOCKSTEP = 512
 SWEEP = 256
 SEEN_BYTES = 64 << 20
+#: Where no audited query has a partner: how many true nearest neighbours are looked for, and the least recall of those.
+NEAREST, NEAREST_RECALL = 10, 0.9
 #: Searches in single precision take this much less than the threshold; double precision decides.
 SLACK = 1e-4
 #: A vector repeated more often than this, and than in a thousandth of all rows, is joined in parts.
@@ -243,7 +246,28 @@ class Graph:
             if min(recall) >= AUDIT_RECALL or width >= len(reps):
                 return width, min(recall)
             width *= 2
-        return width, None
+        return self._nearest_audit(order[:AUDIT], width)
+
+    def _nearest_audit(self, own: np.ndarray, width: int) -> tuple[int, float | None]:
+        """The beam and the recall of the true nearest neighbours of members, none of which has a partner over the threshold."""
+        k = min(NEAREST, len(self.x) - 1)
+        if k < 1:
+            return width, None
+        sims = self.exact[own] @ self.exact.T
+        sims[np.arange(len(own)), own] = -np.inf
+        bar = -np.partition(-sims, k - 1, 1)[:, k - 1]
+        step = max(8, min(LOCKSTEP, SEEN_BYTES // len(self.x)))
+        while True:
+            hits = []
+            for lo in range(0, len(own), step):
+                part = self.x[own[lo : lo + step]]
+                ids = self._beam(part, self._descend(part, self.layers[1:]), self.layers[0], min(max(width, k + 1), len(self.x)))[0]
+                near = np.where(ids >= 0, np.take_along_axis(sims[lo : lo + step], np.maximum(ids, 0), 1), -np.inf)
+                hits.append(np.minimum(k, (near >= bar[lo : lo + step, None]).sum(1)))
+            recall = float(np.concatenate(hits).mean() / k)
+            if recall >= NEAREST_RECALL or width >= len(self.x):
+                return width, recall
+            width *= 2
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

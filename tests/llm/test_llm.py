@@ -465,7 +465,8 @@ def test_hnsw_audit_leaves_self_hits_out():
     g.layers[0][:] = -1  # a graph without links finds itself at best
     beam, recall = g.audited(np.arange(400), hnsw._unit(x[:3] + 0.001), 0.95)
     assert beam >= 400 and recall < 0.6
-    assert hnsw.Graph(np.eye(8)).audited(np.arange(8), np.empty((0, 8)), 0.9)[1] is None
+    assert hnsw.Graph(np.eye(8)).audited(np.arange(8), np.empty((0, 8)), 0.9)[1] == 1.0  # no pair: the nearest neighbours are audited
+    assert hnsw.Graph(np.eye(8)[:1]).audited(np.arange(1), np.empty((0, 8)), 0.9)[1] is None
 
 
 def test_html_blocks_and_main_text(spark):

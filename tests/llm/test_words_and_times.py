@@ -263,3 +263,12 @@ def test_private_data_of_odd_tables(spark):
     assert got == [(-1, 0), (1, 1), (1, 1), (2, 0)] and pii.find_pii(df.limit(0)).count() == 0
     clean = pii.redact_pii(df)
     assert clean.columns == df.columns and sorted(str(r.text) for r in clean.collect()) == ["", "None", "mail [EMAIL]", "mail [EMAIL]"]
+
+
+def test_recall_is_measured_without_any_pair(spark):
+    from cutgrove.llm import hnsw
+
+    r = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(600, 24)))]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 600 and all(x.n_links == 0 and x.audited_recall is not None and 0.9 <= x.audited_recall <= 1 for x in got)
