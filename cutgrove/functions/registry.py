@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -20,6 +20,15 @@ def aggregate(column: Column, names: tuple) -> list[Column]:
     return [AGGREGATES[n](column).alias(n) for n in names]
 
 
+def line_points(lines: DataFrame) -> DataFrame:
+    """Rows (x0, y0, x1, y1, at, px, py) of the straight lines between two pixels, one a step along the longer axis, halves up."""
+    steps = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1)).cast("long")
+    rows = lines.withColumn("steps", steps).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))))
+    # whole numbers, floored also under 0
+    place = lambda c: F.floor((2 * (F.col(f"{c}0") * F.col("steps") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("at")) + F.col("steps")) / (2 * F.col("steps"))).cast("long")
+    return rows.select("x0", "y0", "x1", "y1", "at", place("x").alias("px"), place("y").alias("py"))
+
+
 class LinePoints:
     """Rows (at, x, y) of the straight line between two pixels, one a step along its longer axis, halves rounded up."""
 

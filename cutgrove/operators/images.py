@@ -171,12 +171,12 @@ def augmentations(voxels: DataFrame) -> DataFrame:
 
 
 def blocks(voxels: DataFrame, sizes: dict[str, int], halo: int) -> DataFrame:
-    """Each voxel once for every block that holds it, blocks of the given sizes with a halo; block = x index * 1000 + z index."""
+    """Each voxel once for every block that holds it, blocks of the given sizes with a halo; block: a struct of both indices, bx and bz."""
     at = lambda c: F.expr(f"filter(sequence(greatest(0, ({c} - {halo}) div {sizes[c]} - 1), ({c} + {halo}) div {sizes[c]}), b -> {c} >= b * {sizes[c]} - {halo} and {c} < (b + 1) * {sizes[c]} + {halo})")
     last = {c: voxels.agg(F.max(c)).first()[0] or 0 for c in sizes}
     held = voxels.withColumn("bx", F.explode(at("x"))).withColumn("bz", F.explode(at("z")))
     inside = [F.col(f"b{c}") <= last[c] // sizes[c] for c in sizes]
-    return held.filter(inside[0] & inside[1]).withColumn("block", (F.col("bx") * 1000 + F.col("bz")).cast("long")).drop("bx", "bz")
+    return held.filter(inside[0] & inside[1]).withColumn("block", F.struct(F.col("bx").cast("long").alias("bx"), F.col("bz").cast("long").alias("bz"))).drop("bx", "bz")
 
 
 def march(slowness: np.ndarray, start: tuple, interpolate: bool = True) -> np.ndarray:

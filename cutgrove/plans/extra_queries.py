@@ -27,10 +27,9 @@ def query(name, sql=None):
 
 @query("fn_line_points", WITH_VOX + ", l AS (SELECT DISTINCT x, y, seg % 10 AS x1, gt % 10 AS y1 FROM vox), s AS (SELECT *, greatest(abs(x1 - x), abs(y1 - y), 1) AS n FROM l) SELECT x AS x0, y AS y0, x1, y1, i AS at, (2 * (x * n + (x1 - x) * i) + n) // (2 * n) AS px, (2 * (y * n + (y1 - y) * i) + n) // (2 * n) AS py FROM s, range(20) t(i) WHERE i <= n")
 def fn_line_points(spark, d):
-    """The table function over all lines from a pixel to a point that its labels name."""
-    functions.register(spark)
+    """Points of all lines from a pixel to a point that its labels name, by built-in functions."""
     lines = vox(spark, d).select(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("seg") % 10).alias("x1"), (F.col("gt") % 10).alias("y1")).distinct()
-    return spark.sql("SELECT l.x0, l.y0, l.x1, l.y1, p.at, p.x AS px, p.y AS py FROM {lines} l, LATERAL line_points(l.x0, l.y0, l.x1, l.y1) p", lines=lines)
+    return functions.line_points(lines)
 
 
 @query("fn_named_aggregates", WITH_VOX + "SELECT seg, CAST(sum(raw) AS BIGINT) AS total, max(raw) AS high, count(raw) AS n, quantile_cont(raw, 0.5) AS q50 FROM vox GROUP BY seg")

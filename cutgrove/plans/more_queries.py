@@ -60,7 +60,7 @@ def ag15(spark, d):
 
 @query("ag20_line_features")
 def ag20(spark, d):
-    """Statistics of raw along the straight in-plane line between the centres of two touching regions."""
+    """Eleven statistics of raw, raw moments among them, along the straight in-plane line between the centres of two touching regions."""
     v = vox(spark, d)
     e = edges(spark, d).filter("kind = 1").select("u", "v")
     centre = rag.node_stats(v).select("seg", (F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"), F.round(F.col("sz") / F.col("n")).cast("long").alias("z"))
@@ -68,7 +68,7 @@ def ag20(spark, d):
     steps = F.ceil(F.greatest(F.abs(F.col("cx_u") - F.col("cx_v")), F.abs(F.col("cy_u") - F.col("cy_v")), F.lit(1.0))).cast("int")
     at = lambda c: F.round(F.col(f"{c}_u") + (F.col(f"{c}_v") - F.col(f"{c}_u")) * F.col("i") / F.col("steps")).cast("long")
     points = ends.withColumn("steps", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps")))).select("u", "v", at("cx").alias("x"), at("cy").alias("y"), F.col("z_u").alias("z")).distinct()
-    return points.join(v.select("x", "y", "z", "raw"), ["x", "y", "z"]).groupBy("u", "v").agg(F.count("*").alias("n"), F.avg("raw").alias("mean"), F.min("raw").alias("low"), F.max("raw").alias("high"), *(F.percentile("raw", q).alias(f"q{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)))
+    return points.join(v.select("x", "y", "z", "raw"), ["x", "y", "z"]).groupBy("u", "v").agg(F.count("*").alias("n"), F.avg("raw").alias("mean"), F.sum("raw").alias("total"), F.min("raw").alias("low"), F.max("raw").alias("high"), *((F.sum(F.col("raw").cast("double") ** k) / F.count("*")).alias(f"m{k}") for k in (2, 3)), *(F.percentile("raw", q).alias(f"q{int(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)))
 
 
 @query("wf9_project_resolved", WITH_VOX + ", r AS (SELECT DISTINCT seg, gt % 3 AS obj, seg % 4 AS part FROM vox WHERE gt % 3 < 2), o AS (SELECT obj, max(part) + 1 AS m FROM r GROUP BY obj), f AS (SELECT obj, 100000 + sum(m) OVER (ORDER BY obj) - m AS off FROM o) SELECT x, y, z, CAST(CASE WHEN gt % 3 < 2 THEN off + seg % 4 ELSE seg END AS BIGINT) AS label FROM vox LEFT JOIN f ON gt % 3 = obj")

@@ -9,7 +9,7 @@ from cutgrove.operators import defects, features, images, rag, superpixels
 from cutgrove.session import cut, scratch
 from cutgrove.sources import catalog, graph_files, rasters, volumes
 
-from .common import WITH_EDGES, WITH_PAIRS, WITH_VOX, edges, vox
+from .common import WITH_EDGES, WITH_FACES, WITH_PAIRS, WITH_VOX, edges, vox
 from .feature_queries import LIFTED, lifted
 
 QUERIES, ORACLE = {}, {}
@@ -98,15 +98,18 @@ def src15(spark, d):
     return graph_files.model_costs(local, far).withColumn("cost", F.round("cost", 6))
 
 
-@query("src16_catalogue", "SELECT * FROM (VALUES ('train', 'seg', '1'), ('train', 'raw', 'a'), ('test', 'raw', 'b')) t(name, field, value)")
+@query("src16_catalogue", WITH_VOX + ", m AS (SELECT max(z) // 2 AS half FROM vox), p AS (SELECT CASE WHEN z <= half THEN 'train' ELSE 'test' END AS name, count(*)::VARCHAR AS voxels, count(DISTINCT seg)::VARCHAR AS labels, max(z)::VARCHAR AS last FROM vox, m GROUP BY 1) SELECT name, 'voxels' AS field, voxels AS value FROM p UNION ALL SELECT name, 'labels', labels FROM p UNION ALL SELECT name, 'last', last FROM p")
 def src16(spark, d):
-    """Entries added, updated, removed and listed."""
+    """Both halves of the volume as entries with what they hold: added, updated, one more removed, listed."""
+    v = vox(spark, d)
+    middle = (v.agg(F.max("z")).first()[0] or 0) // 2
+    name = F.when(F.col("z") <= middle, "train").otherwise("test")
     c = catalog.Catalogue(spark, scratch(spark, "catalogue"))
-    c.add("train", raw="a", seg=0)
-    c.add("test", raw="b")
-    c.add("old", raw="c")
-    c.update("train", seg=1)
-    c.remove("old")
+    c.add("whole", voxels=v.count())
+    for r in v.groupBy(name.alias("name")).agg(F.count("*").alias("voxels"), F.countDistinct("seg").alias("labels"), F.max("z").alias("last")).collect():  # one row a half
+        c.add(r["name"], voxels=0)
+        c.update(r["name"], voxels=r["voxels"], labels=r["labels"], last=r["last"])
+    c.remove("whole")
     return c.entries().select("name", F.explode("fields").alias("field", "value"))
 
 
@@ -214,18 +217,23 @@ def prj22(spark, d):
     return images.normalisations(vox(spark, d), "raw", 16)
 
 
-@query("prj23_parameters", "SELECT * FROM (VALUES ('defect_slice', 3::BIGINT), ('defect_slice', 4), ('defect_slice', 7), ('ignore_gt', 0), ('false_merge', 2), ('false_split', 5)) t(kind, value)")
+@query("prj23_parameters", WITH_VOX + ", p AS (SELECT * FROM (VALUES ('defect_slice', 3::BIGINT), ('defect_slice', 4), ('defect_slice', 7), ('ignore_gt', 0), ('false_merge', 2), ('false_split', 5)) t(kind, value)) SELECT p.kind, p.value, count(vox.x) AS voxels FROM p LEFT JOIN vox ON CASE WHEN p.kind = 'defect_slice' THEN vox.z ELSE vox.gt END = p.value GROUP BY ALL")
 def prj23(spark, d):
-    """What users set on a data set, as a small table."""
-    return volumes.parameters(spark, defect_slice=(3, 4, 7), ignore_gt=(0,), false_merge=(2,), false_split=(5,))
+    """What users set on a data set, as a small table, and how many voxels each setting concerns."""
+    p = volumes.parameters(spark, defect_slice=(3, 4, 7), ignore_gt=(0,), false_merge=(2,), false_split=(5,))
+    each = F.explode(F.array(F.struct(F.lit("z").alias("of"), F.col("z").alias("value")), F.struct(F.lit("gt").alias("of"), F.col("gt").alias("value")))).alias("k")
+    held = vox(spark, d).select(each).groupBy("k.of", "k.value").agg(F.count("*").alias("voxels"))
+    asked = p.withColumn("of", F.when(F.col("kind") == "defect_slice", "z").otherwise("gt"))
+    return asked.join(held, ["of", "value"], "left").select("kind", "value", F.coalesce("voxels", F.lit(0)).alias("voxels"))
 
 
-@query("jn16_feature_names", "SELECT unnest(['mean', 'total', 'low', 'high', 'var', 'skew', 'kurt', 'q10', 'q25', 'q50', 'q75', 'q90']) AS name, unnest(range(12)) AS at")
+@query("jn16_feature_names", WITH_FACES + ", s AS (SELECT u, v, sum(w)::DOUBLE AS total, min(w)::DOUBLE AS low, max(w)::DOUBLE AS high FROM faces GROUP BY u, v) SELECT u, v, 'total' AS name, 1::BIGINT AS at, total AS value FROM s UNION ALL SELECT u, v, 'low', 2, low FROM s UNION ALL SELECT u, v, 'high', 3, high FROM s")
 def jn16(spark, d):
-    """Features go by column names; the list of the twelve statistics and their order."""
-    found = features.edge_statistics(rag.faces(vox(spark, d)).filter("false"), F.col("w"))
+    """Features zipped with their names and places: the whole-number ones of the twelve statistics, one row a value."""
+    found = features.edge_statistics(rag.faces(vox(spark, d)), F.col("w"))
     names = [c for c in found.columns if c not in ("u", "v")]
-    return spark.createDataFrame(list(enumerate(names)), "at long, name string")
+    zipped = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(i).cast("long").alias("at"), F.col(n).cast("double").alias("value")) for i, n in enumerate(names)))).alias("f")
+    return found.select("u", "v", zipped).select("u", "v", "f.*").filter(F.col("name").isin("total", "low", "high"))
 
 
 # ---- images
