@@ -65,6 +65,50 @@ def signed_distances(voxels: DataFrame, on: str, pitch: tuple = (1.0, 1.0, 1.0),
     return both.withColumn("distance", F.sqrt("outside") - F.greatest(F.coalesce(F.sqrt("inside"), F.lit(0.0)) - 1, F.lit(0.0)))
 
 
+def _inside_runs(f: np.ndarray, label: np.ndarray, at: np.ndarray, line: np.ndarray, pitch: float) -> np.ndarray:
+    """One pass of distances to other labels along lines (sorted by line, at): a run of one label is an envelope of its own
+    between two other voxels, so nothing beyond its ends counts. Runs of about equal length are worked on together."""
+    new = np.ones(len(f), bool)
+    new[1:] = (label[1:] != label[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(f)))
+    out = np.empty(len(f))
+    for power in np.unique(np.ceil(np.log2(size))).astype(int):
+        some = np.flatnonzero(np.ceil(np.log2(size)).astype(int) == power)
+        for lo in range(0, len(some), max(1, (1 << 20) >> power)):
+            k = some[lo : lo + max(1, (1 << 20) >> power)]
+            grid = np.full((int(size[k].max()) + 2, len(k)), np.inf)
+            col = np.repeat(np.arange(len(k)), size[k])
+            row = np.arange(len(col)) - np.repeat(np.cumsum(size[k]) - size[k], size[k]) + 1
+            own = np.repeat(first[k], size[k]) + row - 1
+            grid[row, col] = f[own]
+            grid[0], grid[size[k] + 1, np.arange(len(k))] = 0.0, 0.0
+            out[own] = _lower_envelope(grid, pitch)[row, col]
+    return out
+
+
+def label_distances(voxels: DataFrame, label: str, pitch: tuple = (1.0, 1.0, 1.0), bundle: int = BUNDLE) -> DataFrame:
+    """x, y, z, label, d2: squared distance of every voxel to the nearest one of another label; missing voxels and what is
+    beyond the volume are another label. All labels in one pass an axis, a task holds a bundle of lines."""
+    rows = voxels.select(*(F.col(c).cast("long").alias(c) for c in AXES), F.col(label).cast("long").alias("label"), F.lit(float("inf")).alias("d2"))
+    for axis in range(3):
+        me, (a, b) = AXES[axis], [AXES[k] for k in range(3) if k != axis]
+
+        keyed = rows.select(*AXES, "label", "d2", F.floor(F.col(a) / bundle).alias("__bundle"), F.col(b).alias("__line"))
+        rows = keyed.groupBy("__line", "__bundle").applyInArrow(_label_pass(me, a, float(pitch[axis])), "x long, y long, z long, label long, d2 double")
+    return rows
+
+
+def _label_pass(me: str, a: str, pitch: float):
+    def run(key, t):
+        order = np.lexsort((np.asarray(t.column(me)), np.asarray(t.column(a))))
+        t = t.take(pa.array(order))
+        f, label, at, line = (np.asarray(t.column(c)) for c in ("d2", "label", me, a))
+        return pa.table({**{c: t.column(c) for c in (*AXES, "label")}, "d2": _inside_runs(f, label, at, line, pitch)})
+
+    return run
+
+
 def edge_distances(voxels: DataFrame) -> DataFrame:
     """x, y, z, d2: squared in-plane distance to the nearest voxel beside a label change of its slice."""
     edge = both_sides(faces(voxels).filter("axis < 2")).distinct().withColumn("edge", F.lit(True))

@@ -6,13 +6,13 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
-from cutgrove.session import cut
+from cutgrove.session import cut, settle
 
-from . import features, graphs, images, learning, multicut, rag, superpixels
+from . import features, graphs, grids, images, learning, multicut, paths, rag, superpixels
 from .components import components
 
 #: What the lifted features vary.
@@ -221,43 +221,37 @@ def lifted_defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple
 # ---- false merges
 
 
-def object_paths(voxels: DataFrame, obj: str, last_x: int, last_y: int, pitch: float = 5.0, power: int = 10) -> DataFrame:
+def path_ends(voxels: DataFrame, last_x: int, last_y: int) -> DataFrame:
+    """(obj, x, y, z): the innermost voxel of each place where an object leaves the volume; where the mean of several such
+    voxels lies outside the object, the nearest of its voxels on that side."""
+    found = superpixels.face_centroids(voxels, "obj", last_x, last_y)
+    contacts = images.border_contacts(voxels.select("x", "y", "z", F.col("obj").alias("seg")), last_x, last_y).withColumnsRenamed({"seg": "obj", "a": "ca", "b": "cb"})
+    gap = (F.col("a") - F.col("ca")) * (F.col("a") - F.col("ca")) + (F.col("b") - F.col("cb")) * (F.col("b") - F.col("cb"))
+    near = found.join(contacts, ["obj", "face"]).groupBy("obj", "face", "piece").agg(F.min(F.struct(gap.alias("gap"), "ca", "cb")).alias("n")).select("obj", "face", F.col("n.ca").alias("a"), F.col("n.cb").alias("z"))
+    side = lambda axis, last: F.when(F.col("face") == f"{axis}0", 0).when(F.col("face") == f"{axis}1", last).otherwise(F.col("a")).cast("long").alias(axis)
+    return near.select("obj", side("x", last_x), side("y", last_y), "z").distinct()
+
+
+def object_paths(voxels: DataFrame, obj: str, last_x: int, last_y: int, pitch: float = 5.0, power: int = 10, chunk: tuple = paths.CHUNK) -> DataFrame:
     """(obj, path, seq, x, y, z, depth): cheapest paths inside every object between the places where it leaves the volume.
 
-    The cost falls off towards the middle of the object: (1 - distance to its surface / the largest) ** power. One task
-    holds one object; depth is the distance to the surface.
+    The cost falls off towards the middle of the object: (1 - distance to its surface / the largest) ** power; depth is that
+    distance. Distances go by lines and paths by chunks, so an object spreads over many tasks.
     """
-    ends = superpixels.face_centroids(voxels.select("x", "y", "z", F.col(obj).alias("obj")), "obj", last_x, last_y)
-
-    def run(key, left, right):
-        x, y, z = (np.asarray(left.column(c)) for c in "xyz")
-        o = (x.min() - 1, y.min() - 1, z.min() - 1)
-        g = np.zeros((np.ptp(x) + 3, np.ptp(y) + 3, np.ptp(z) + 3), bool)
-        g[x - o[0], y - o[1], z - o[2]] = True
-        d = np.sqrt(images.squared_edt(~g, (1.0, 1.0, pitch)))
-        own = d[x - o[0], y - o[1], z - o[2]]
-        at = list(zip(x.tolist(), y.tolist(), z.tolist()))
-        cost = dict(zip(at, ((1 - own / own.max()) ** power + 1e-3).tolist()))
-        deep = dict(zip(at, own.tolist()))
-        starts = []
-        for face, a, b in sorted(zip(*(right.column(c).to_pylist() for c in ("face", "a", "b")))):
-            p = {"x0": (0, a, b), "x1": (last_x, a, b), "y0": (a, 0, b), "y1": (a, last_y, b)}[face]
-            if p not in cost:  # the mean of several innermost points may lie outside: the nearest point on that face
-                axis, side = "xy".index(face[0]), (0 if face[1] == "0" else (last_x, last_y)["xy".index(face[0])])
-                p = min((q for q in at if q[axis] == side), key=lambda q: (sum((i - j) ** 2 for i, j in zip(q, p)), q))
-            if p not in starts:
-                starts.append(p)
-        out, n = [], 0
-        for i, a in enumerate(starts):
-            for b in starts[i + 1 :]:
-                path = graphs.grid_path(cost, a, b)
-                out += [(key[0].as_py(), n, k, *p, deep[p]) for k, p in enumerate(path)]
-                n += bool(path)
-        names, kinds = ("obj", "path", "seq", "x", "y", "z", "depth"), [pa.int64()] * 6 + [pa.float64()]
-        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds))})
-
-    rows = voxels.select(F.col(obj).alias("obj"), "x", "y", "z")
-    return rows.groupBy("obj").cogroup(ends.groupBy("obj")).applyInArrow(run, "obj long, path long, seq long, x long, y long, z long, depth double")
+    rows = voxels.select("x", "y", "z", F.col(obj).cast("long").alias("obj"))
+    d = settle(grids.label_distances(rows, "obj", (1.0, 1.0, pitch)).select("x", "y", "z", F.col("label").alias("obj"), F.sqrt("d2").alias("depth")))
+    deepest = d.groupBy("obj").agg(F.max("depth").alias("most"))
+    cost = F.pow(1 - F.col("depth") / F.col("most"), F.lit(power)) + 1e-3
+    priced = settle(d.join(deepest, "obj").select("x", "y", "z", "obj", cost.alias("cost")))
+    ends = path_ends(rows, last_x, last_y)
+    place = F.struct("z", "y", "x")
+    a, b = ends.select("obj", place.alias("a")), ends.select("obj", place.alias("b"))
+    pairs = settle(a.join(b, "obj").filter("a < b").withColumn("pair", F.monotonically_increasing_id()))
+    mine = priced.join(pairs.select("obj", "pair"), "obj").select("x", "y", "z", F.col("pair").alias("obj"), "cost")
+    end = lambda c: pairs.select(*(F.col(f"{c}.{k}").alias(k) for k in "xyz"), F.col("pair").alias("obj"))
+    steps = settle(paths.traced(paths.distances(mine, end("a"), chunk), end("b")).withColumnRenamed("obj", "pair"))
+    named = steps.select("pair").distinct().join(pairs, "pair").select("pair", "obj", (F.row_number().over(Window.partitionBy("obj").orderBy("a", "b")) - 1).cast("long").alias("path"))
+    return steps.join(named, "pair").join(d, ["x", "y", "z", "obj"]).select("obj", "path", "seq", "x", "y", "z", "depth")
 
 
 def path_features(paths: DataFrame, voxels: DataFrame, pitch: float = 5.0) -> DataFrame:

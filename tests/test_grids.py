@@ -105,3 +105,15 @@ def test_wide_statistics_equal_built_in_ones(spark):
         assert row.keys() == got[k].keys() and all(abs(got[k][c] - x) <= 1e-9 * max(1, abs(x)) for c, x in row.items()), (k, row, got[k])
     whole = list(features.whole_groups(features.pa.Table.from_pydict({"u": [1, 1, 1, 2, 2, 3], "v": [1, 1, 2, 2, 2, 3]}).to_batches(max_chunksize=2), least=2))
     assert [t.column("u").to_pylist() for t in whole] == [[1, 1], [1], [2, 2], [3]] or sum(len(t) for t in whole) == 6
+
+
+def test_distances_to_other_labels(spark):
+    r = np.random.default_rng(8)
+    g = np.repeat(np.repeat(r.integers(0, 3, (3, 3, 3)), 3, 0), 3, 1)  # 9 x 9 x 3
+    df = spark.createDataFrame(rows(g.shape, g), "x long, y long, z long, seg long")
+    got = {(q.x, q.y, q.z): q.d2 for q in grids.label_distances(df, "seg", (1.0, 1.0, 2.0), bundle=4).collect()}
+    padded = np.full(tuple(n + 2 for n in g.shape), -1)
+    padded[1:-1, 1:-1, 1:-1] = g
+    for p, d in got.items():
+        others = np.argwhere(padded != g[p]) - 1
+        assert d == (((others - p) * (1, 1, 2)) ** 2).sum(1).min()
