@@ -150,7 +150,10 @@ def workflow_lifted(spark, d, solver):
     return multicut.solve(e.withColumn("cost", F.col("cost") / n), solver, lifted)
 
 
-@query("mc29_merge_small", None)
+@query("mc29_merge_small", WITH_EDGES + """, small AS (SELECT seg FROM nodes WHERE n <= 14), nb AS (SELECT u AS seg, v AS nbr, n FROM edges UNION ALL SELECT v, u, n FROM edges),
+  best AS (SELECT seg, nbr FROM (SELECT nb.*, row_number() OVER (PARTITION BY seg ORDER BY n DESC, nbr) AS r FROM nb JOIN small USING (seg)) WHERE r = 1),
+  l AS (SELECT seg AS a, nbr AS b FROM best UNION SELECT nbr, seg FROM best), reach AS (SELECT seg AS node, seg AS r FROM nodes UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.node),
+  c AS (SELECT node AS seg, min(r) AS m FROM reach GROUP BY node) SELECT seg, dense_rank() OVER (ORDER BY m)::BIGINT AS label FROM c""")
 def mc29(spark, d):
     e, v = edges(spark, d), vox(spark, d)
     small = v.groupBy("seg").count().filter("count <= 14").select("seg")

@@ -291,7 +291,12 @@ def im1_3d(spark, d):
     return images.filter_bank(vox(spark, d), "raw", (1.6, 4.2), 5.0)
 
 
-@query("im4_signed_distance")
+@query("im4_signed_distance", WITH_VOX.replace("WITH ", "WITH RECURSIVE ", 1) + """, m AS (SELECT z, x, y FROM vox WHERE pm >= 50000),
+  r AS (SELECT z, x, y, y * 10 + x AS k FROM m UNION SELECT b.z, b.x, b.y, r.k FROM r JOIN m b ON b.z = r.z AND abs(b.x - r.x) + abs(b.y - r.y) = 1),
+  c AS (SELECT z, x, y, min(k) AS k FROM r GROUP BY z, x, y), big AS (SELECT z, k FROM c GROUP BY z, k HAVING count(*) >= 3),
+  v AS (SELECT vox.z, vox.x, vox.y, big.k IS NOT NULL AS on_ FROM vox LEFT JOIN c USING (z, x, y) LEFT JOIN big ON big.z = c.z AND big.k = c.k),
+  d AS (SELECT a.z, a.x, a.y, a.on_, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM v a LEFT JOIN v b ON a.z = b.z AND a.on_ <> b.on_ GROUP BY ALL)
+  SELECT x, y, z, CASE WHEN on_ THEN 1 - coalesce(d, sqrt(200)) ELSE coalesce(d, sqrt(200)) END AS distance FROM d""")
 def im4(spark, d):
     """Distance to membrane outside, minus the distance to the rest inside, in every slice."""
     return superpixels.signed_distances(vox(spark, d), "pm", 50_000, 3)
