@@ -93,7 +93,6 @@ def label_distances(voxels: DataFrame, label: str, pitch: tuple = (1.0, 1.0, 1.0
     rows = voxels.select(*(F.col(c).cast("long").alias(c) for c in AXES), F.col(label).cast("long").alias("label"), F.lit(float("inf")).alias("d2"))
     for axis in range(3):
         me, (a, b) = AXES[axis], [AXES[k] for k in range(3) if k != axis]
-
         keyed = rows.select(*AXES, "label", "d2", F.floor(F.col(a) / bundle).alias("__bundle"), F.col(b).alias("__line"))
         rows = keyed.groupBy("__line", "__bundle").applyInArrow(_label_pass(me, a, float(pitch[axis])), "x long, y long, z long, label long, d2 double")
     return rows

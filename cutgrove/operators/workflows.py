@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +24,9 @@ def costs(p: DataFrame, beta: float = 0.5, scheme: str = "z", weight: float = 16
     return en.weigh(p.withColumn("cost", en.energy(F.col("p"), beta)), scheme, weight, e="cost").select("u", "v", "cost")
 
 
-def multicut_workflow(volumes: list[DataFrame], test: DataFrame, solver: str = "kl") -> DataFrame:
+def multicut_workflow(volumes: list[DataFrame], test: DataFrame, solver: str = "kl", scheme: str = "z") -> DataFrame:
     """(node, label) of the test volume, weights learnt on others."""
-    return multicut.solve(costs(cut(learning.learn_and_predict(volumes, test))), solver)
+    return multicut.solve(costs(cut(learning.learn_and_predict(volumes, test)), scheme=scheme), solver)
 
 
 def defect_workflow(volumes: list[DataFrame], test: DataFrame, bad: tuple, solver: str = "kl", train_bad: tuple = ()) -> DataFrame:

@@ -18,6 +18,25 @@ def test_solve_and_segment(spark, tmp_path):
     assert out.count() == 8 * 8 * 6 and out.groupBy(F.expr("x div 4")).agg(F.countDistinct("label")).filter("`count(DISTINCT label)` > 1").count() == 0
 
 
+def test_segment_slices_and_arrays(spark, tmp_path):
+    from cutgrove.sources import arrays, inputs, rasters
+
+    v = blocks(spark, 10)
+    for name in ("raw", "pm", "seg", "gt"):
+        rasters.write_slices(v, name, f"{tmp_path}/{name}")
+    args = ["--raw", f"{tmp_path}/raw", "--map", f"{tmp_path}/pm", "--gt", f"{tmp_path}/gt", "--segmentation", f"{tmp_path}/seg", "--mode", "isotropic"]
+    assert main(["segment", *args, "--out", f"{tmp_path}/labels.tif"]) == 0
+    out = rasters.read_slices(spark, f"{tmp_path}/labels.tif")
+    assert out.count() == 8 * 8 * 6 and out.groupBy(F.expr("x div 4")).agg(F.countDistinct("value").alias("n")).filter("n > 1").count() == 0
+    arrays.save_volume(v.select("x", "y", "z", "raw", "pm", "seg", "gt"), f"{tmp_path}/volume.arrays", (4, 4, 4))
+    back = inputs.read_volume(spark, f"{tmp_path}/volume.arrays")
+    assert back.count() == 8 * 8 * 10 and back.exceptAll(v.select(back.columns)).count() == 0
+    inputs.write_labels(v.select("x", "y", "z", F.col("gt").alias("label")), f"{tmp_path}/labels.arrays")
+    assert arrays.load_volume(spark, f"{tmp_path}/labels.arrays").filter("label > 0").count() == 8 * 8 * 10
+    own = inputs.from_slices(spark, f"{tmp_path}/raw", f"{tmp_path}/pm")  # superpixels and no ground truth
+    assert own.count() == 8 * 8 * 10 and own.agg(F.max("pm"), F.max("gt")).first() == (100_000, 0) and own.filter("seg = 0").count() == 0
+
+
 def test_named_functions(spark):
     registry.register(spark)
     got = [(r.at, r.x, r.y) for r in spark.sql("SELECT * FROM line_points(0, 0, 3, -2)").collect()]
