@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -40,6 +41,10 @@ def tables(spark, tmp_path_factory):
     write("embeddings", [(i, [float(i % 5), 1.0, 0.5], 0) for i in range(20)] + [(50, None, 1)], "vec_id long, embedding array<float>, label int")
     write("pages", [(1, "http://a.Example.com/en/7x?q", "<article><h1>T</h1><p>One two three.</p></article><footer>&copy; me</footer>"), (2, None, None), (3, "nothing", "")], "page_id long, url string, html string")
     write("benchmark", [(5, "The benchmark item that some page has copied word by word here"), (6, "ab")], "item_id long, text string")
+    at = lambda m: datetime(2024, 2, 28, 22) + timedelta(minutes=m)
+    write("clicks", [(i, at(7 * i + (90 if i % 9 > 5 else 0)), i % 4 or None, "purchase" if i % 5 == 0 else "view") for i in range(120)] + [(900, None, 1, "view")], "click_id long, ts timestamp_ntz, client_id long, kind string")
+    write("sales", [(i, i % 4 or None, at(23 * i)) for i in range(60)] + [(77, 1, None), (5, 1, at(9))], "sale_id long, client_id long, sold_at timestamp_ntz")
+    write("sale_lines", [(i % 50, k, at(23 * i + 400 * k) if (i + k) % 7 else None) for i in range(70) for k in range(2)], "sale_id long, line_no int, shipped_at timestamp_ntz")
     write("conversations", CHAT, "conv_id long, turn long, role string, text string")
     return path, docs
 
@@ -117,11 +122,18 @@ def test_pii_query(spark, tables):
     assert got[84].base_sha256 == hashlib.sha256(b"email:5:16,ip:46:54,card:21:40").hexdigest() and got[82].spans == ""
 
 
+def test_spelling_interval_and_language_queries(spark, tables):
+    assert {r.word for r in rows(spark, tables, "op11_spelling")} and all(len(r.word) >= 6 and r.n >= 5 for r in rows(spark, tables, "op11_spelling"))
+    assert sum(r.n_pairs for r in rows(spark, tables, "op12_intervals")) > 0
+    got = rows(spark, tables, "op13_language")
+    assert len(got) == len(tables[1]) and {r.lang_pred for r in got if not tables[1][r.doc_id][1]} == {"und"} and {r.lang_pred for r in got} == {"en", "und"}
+
+
 def test_native_queries_against_sql(spark, tables):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("conversations", "pages"):
+    for name in ("conversations", "pages", "documents", "clicks", "sales", "sale_lines"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables[0]}/{name}.parquet/*.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, tables[0])
@@ -130,6 +142,8 @@ def test_native_queries_against_sql(spark, tables):
 
 
 def test_queries_leave_the_session_as_it_was(spark, tables):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, spark.conf.get(batch))  # a default that is set to its own value counts as unchanged
     before = {r.key: r.value for r in spark.sql("SET").collect()}
     for name in queries.QUERIES:
         queries.QUERIES[name](spark, tables[0])
