@@ -9,13 +9,15 @@ reader probes level 1, 2, ... until one is absent. A text's probability is the p
 
 with all counts read from the filter and no count above that of its context; a text's first token has no triple.
 
-1. Documents are packed into groups of at most GROUP_BYTES of text, written compressed. A group's distinct words and n-grams
-   go to shards (ranges of hashes), one packed row a shard, with how often the group's training documents hold them. A word
+1. Documents are packed into groups of at most GROUP_BYTES of text, written compressed, with the levels that each group's
+   training documents alone would enter into the filter. Levels of a sum of counts are no more than the sum of their levels,
+   so the sum over groups bounds the whole filter before it is built (see ``filter_bound``). A group's distinct words and
+   n-grams go to shards (ranges of hashes), one packed row a shard, with how often the group's training documents hold them. A word
    or n-gram that fills a third of the corpus is one entry a group.
 2. A shard holds about SHARD_BYTES of text. Its task adds the counts up, builds its part of the filter, and answers every
    group with the exact counts of its words, for the base score.
-3. If the whole filter is sure to take at most BROADCAST_BYTES (see ``filter_bound``), it is broadcast. Beyond that no
-   broadcast can keep up with the corpus: a shard's task probes its part with every group's words and n-grams, and the
+3. If that bound is at most BROADCAST_BYTES, the filter is broadcast. Beyond that no broadcast can keep up with the corpus: a
+   shard's task probes its part with every group's words and n-grams, and the
    levels go back with the answers. Both ways read the same bits and give the same scores.
 4. A group's task has its texts and all answers and scores its documents: one pass over the texts whatever the size.
 
@@ -45,7 +47,7 @@ GROUP_BYTES = 8 << 20
 GROUP_ROWS = 60_000
 SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 64
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 BITS = 12
 PROBES = 5
 #: Pseudo-counts of the lower model in the pair and in the triple model.
@@ -244,18 +246,28 @@ def _groups(batches):
 NAMES = ["shard", "gid", "data"]
 
 
+def entries(ids: list, texts: list[str]) -> int:
+    """How many levels of words, pairs and triples the training texts among these enter into a filter of their own."""
+    tokens, starts = flat_tokens(texts)
+    pair, triple, has = ngrams(tokens, starts)
+    train = np.repeat([not held_out(i) for i in ids], np.diff(np.append(starts, len(tokens))))
+    return sum(int(levels(np.unique(h, return_counts=True)[1]).sum()) for h in (tokens[train], pair[train], triple[has & train]))
+
+
 def _packed(docs: DataFrame) -> DataFrame:
-    """(gid, data): ids and compressed texts of every group."""
+    """(gid, data, size, entries): ids and compressed texts of every group, their bytes and their ``entries``."""
 
     def run(batches):
         part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
         for n, (ids, texts) in enumerate(_groups(batches)):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             known = np.array([i is not None for i in ids])
-            data = _pack(np.array([i or 0 for i in ids], np.int64), known, np.array(list(map(len, raw)), np.int64), _bytes(pack.compress(b"".join(raw))))
-            yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 24) + n], pa.int64()), pa.array([data], pa.binary())], names=NAMES[1:])
+            lengths = np.array(list(map(len, raw)), np.int64)
+            data = _pack(np.array([i or 0 for i in ids], np.int64), known, lengths, _bytes(pack.compress(b"".join(raw))))
+            columns = [pa.array([part * (1 << 24) + n], pa.int64()), pa.array([data], pa.binary()), pa.array([lengths.sum()], pa.int64()), pa.array([entries(ids, texts)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*NAMES[1:], "size", "entries"])
 
-    return docs.mapInArrow(lean(run), "gid long, data binary")
+    return docs.mapInArrow(lean(run), "gid long, data binary, size long, entries long")
 
 
 def _texts(data: bytes) -> tuple[list, list[str]]:
@@ -376,21 +388,21 @@ def _scorer(shards: int, n: int, v: int, shared):
     return run
 
 
-def filter_bound(text_bytes: int, rows: int, bits: int = BITS) -> int:
-    """The most bytes that the filter of so much text can take: two bytes of text make a token at most, a token one word, one
-    pair and one triple, and the levels of an n-gram are no more than its count."""
-    return (text_bytes // 2 + 2 * rows) * 3 * bits // 8 + 16 * LEAST_SHARDS
+def filter_bound(entered: int, shards: int, bits: int = BITS) -> int:
+    """The most bytes that the filter takes: ``entered`` is the sum of the groups' ``entries``; a part is rounded up to a word."""
+    return entered * bits // 8 + 8 * shards
 
 
 def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, shard_bytes: int = SHARD_BYTES, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of docs."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    shards, small = max(LEAST_SHARDS, math.ceil(size / shard_bytes)), filter_bound(size, rows, bits) <= broadcast_bytes
     with small_batches(docs.sparkSession):
         packed = cut(_packed(docs))
-    counted = cut(_gather(packed, shards).groupBy("shard").applyInArrow(_counter(bits, not small), "shard int, gid long, data binary, tokens long, distinct long"))
+    size, entered = (x or 0 for x in packed.agg(F.sum("size"), F.sum("entries")).first())
+    shards = max(LEAST_SHARDS, math.ceil(size / shard_bytes))
+    small = filter_bound(entered, shards, bits) <= broadcast_bytes
+    counted = cut(_gather(packed.select("gid", "data"), shards).groupBy("shard").applyInArrow(_counter(bits, not small), "shard int, gid long, data binary, tokens long, distinct long"))
     parts = counted.filter("gid = -1")
     n, v = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("distinct")).first())
     shared = None

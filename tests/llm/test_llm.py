@@ -181,6 +181,27 @@ def test_lm_both_ways_give_one_score(spark):
     assert lm_rows(df, broadcast_bytes=0) == lm_rows(df)
 
 
+def test_lm_filter_is_no_larger_than_its_measured_bound(spark):
+    texts = made(300, 12)
+    groups = [list(enumerate(texts))[at : at + 50] for at in range(0, 300, 50)]
+    entered = sum(ngram_bloom.entries([i for i, _ in g], [x for _, x in g]) for g in groups)
+    tokens, starts = ngram_bloom.flat_tokens(texts)
+    pair, triple, has = ngram_bloom.ngrams(tokens, starts)
+    train = np.repeat([not ngram_bloom.held_out(i) for i in range(300)], np.diff(np.append(starts, len(tokens))))
+    counts = np.concatenate([np.unique(h, return_counts=True)[1] for h in (tokens[train], pair[train], triple[has & train])])
+    part = ngram_bloom.build(np.arange(len(counts), dtype=np.uint64), counts)
+    bound = ngram_bloom.filter_bound(entered, 1)
+    assert part.nbytes <= bound and ngram_bloom.entries([2], [""]) == 2
+    # the broadcast is taken at the bound and not below it
+    df = spark.createDataFrame([(i, x, 0.0) for i, x in enumerate(texts)], DOCS).repartition(3)
+    assert lm_rows(df, broadcast_bytes=1 << 30) == lm_rows(df, broadcast_bytes=part.nbytes // 2)
+
+
+def test_lm_levels_of_a_sum_are_no_more_than_the_sum_of_levels():
+    a = np.arange(1, 600)
+    assert (ngram_bloom.levels(a[:, None] + a) <= ngram_bloom.levels(a)[:, None] + ngram_bloom.levels(a)).all()
+
+
 def test_lm_tells_texts_that_occur_twice(spark):
     texts = made(400, 14)
     rows = [(i, t) for i, t in enumerate(texts) if not ngram_bloom.held_out(i)]
