@@ -30,3 +30,31 @@ def faces(spark, sf_dir):
 
 def edges(spark, sf_dir):
     return rag.edges(faces(spark, sf_dir))
+
+
+def bank_sql(col: str, scales: tuple, extent: int = 10) -> str:
+    """CTE fb(x, y, z, scale, smooth, log, hessian_high, hessian_low): Gaussian filters of vox in every slice as weighted joins.
+
+    ``weight`` says what a pixel at ``p`` adds to one at ``x`` along an axis, for the order of the derivative; borders are
+    reflected, kernels reach three scales to either side, and the second derivative's weights sum to 0.
+    """
+    names = ", ".join(f"('{str(s).replace('.', '_')}', {s}::DOUBLE, {int(-(-3 * s // 1))})" for s in scales)
+    turn = 2 * extent - 2
+    return f"""scales(scale, s, r) AS (VALUES {names}), taps AS (SELECT scale, s, r, unnest(range(-r, r + 1)) AS t FROM scales),
+  k0 AS (SELECT *, exp(-t * t / (2 * s * s)) / sum(exp(-t * t / (2 * s * s))) OVER (PARTITION BY scale) AS k FROM taps),
+  kernel AS (SELECT scale, t, 0 AS o, k FROM k0 UNION ALL SELECT scale, t, 1, -t / (s * s) * k FROM k0
+    UNION ALL SELECT scale, t, 2, (t * t / (s * s * s * s) - 1 / (s * s)) * k - avg((t * t / (s * s * s * s) - 1 / (s * s)) * k) OVER (PARTITION BY scale) FROM k0),
+  hits AS (SELECT scale, o, x, (((x + t) % {turn}) + {turn}) % {turn} AS m, k FROM kernel, range({extent}) AS r(x)),
+  weight AS (SELECT scale, o, x, CASE WHEN m < {extent} THEN m ELSE {turn} - m END AS p, sum(k) AS w FROM hits GROUP BY ALL),
+  across AS (SELECT w.scale, w.o, w.x, v.y, v.z, sum(w.w * v.{col}) AS g FROM weight w JOIN vox v ON v.x = w.p GROUP BY ALL),
+  both_axes AS (SELECT a.scale, a.o AS ox, w.o AS oy, a.x, w.x AS y, a.z, sum(w.w * a.g) AS g FROM across a JOIN weight w ON w.scale = a.scale AND w.p = a.y WHERE a.o + w.o IN (0, 2) GROUP BY ALL),
+  parts AS (SELECT scale, x, y, z, max(g) FILTER (ox = 0 AND oy = 0) AS smooth, max(g) FILTER (ox = 2) AS xx, max(g) FILTER (oy = 2) AS yy, max(g) FILTER (ox = 1) AS xy FROM both_axes GROUP BY ALL),
+  fb AS MATERIALIZED (SELECT x, y, z, scale, smooth, xx + yy AS log, (xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS hessian_high, (xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS hessian_low FROM parts)"""
+
+
+BANK = ("smooth", "log", "hessian_high", "hessian_low")
+
+
+def bank_names(scales: tuple) -> list[tuple[str, str, str]]:
+    """(column, kind, scale) of every filter."""
+    return [(f"{kind}_{s}", kind, s) for s in (str(s).replace(".", "_") for s in scales) for kind in BANK]

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from cutgrove.functions import energies as en
-from cutgrove.operators import defects, features, graphs, rag
+from cutgrove.operators import defects, features, graphs, images, rag
 
-from .common import WITH_EDGES, WITH_FACES, WITH_PAIRS, WITH_VOX, edges, faces, vox
+from .common import BANK, WITH_EDGES, WITH_FACES, WITH_PAIRS, WITH_VOX, bank_names, bank_sql, edges, faces, vox
 from .edge_queries import BAD, SKIP
 
 QUERIES, ORACLE = {}, {}
@@ -36,8 +36,8 @@ def stats_sql(source, keys, value="w"):
     quantiles = ", ".join(f"round(quantile_cont(CAST({value} AS DOUBLE), {q}), 6) AS q{int(100 * q)}" for q in features.EDGE_QUANTILES)
     mean = f"mu AS (SELECT {keys}, avg({value}) AS mu FROM {source} GROUP BY {keys})"
     moments = f"mo AS (SELECT {keys}, avg(({value} - mu) ** 2) AS m2, avg(({value} - mu) ** 3) AS m3, avg(({value} - mu) ** 4) AS m4 FROM {source} JOIN mu USING ({keys}) GROUP BY {keys})"
-    first = f"fi AS (SELECT {keys}, round(avg({value}), 6) AS mean, round(CAST(sum({value}) AS DOUBLE), 6) AS total, round(CAST(min({value}) AS DOUBLE), 6) AS low, round(CAST(max({value}) AS DOUBLE), 6) AS high, {quantiles} FROM {source} GROUP BY {keys})"
-    last = f"st AS (SELECT {keys}, mean, total, low, high, round(m2, 6) AS var, CASE WHEN low = high THEN 0.0 ELSE round(m3 / m2 ** 1.5, 4) + 0.0 END AS skew, CASE WHEN low = high THEN 0.0 ELSE round(m4 / m2 ** 2 - 3, 4) + 0.0 END AS kurt, {', '.join(f'q{int(100 * q)}' for q in features.EDGE_QUANTILES)} FROM fi JOIN mo USING ({keys}))"
+    first = f"fi AS (SELECT {keys}, round(avg({value}), 6) AS mean, round(CAST(sum({value}) AS DOUBLE), 6) AS total, round(CAST(min({value}) AS DOUBLE), 6) AS low, round(CAST(max({value}) AS DOUBLE), 6) AS high, min({value}) = max({value}) AS flat, {quantiles} FROM {source} GROUP BY {keys})"
+    last = f"st AS (SELECT {keys}, mean, total, low, high, round(m2, 6) AS var, CASE WHEN flat THEN 0.0 ELSE round(m3 / m2 ** 1.5, 4) + 0.0 END AS skew, CASE WHEN flat THEN 0.0 ELSE round(m4 / m2 ** 2 - 3, 4) + 0.0 END AS kurt, {', '.join(f'q{int(100 * q)}' for q in features.EDGE_QUANTILES)} FROM fi JOIN mo USING ({keys}))"
     return ", ".join((mean, moments, first, last))
 
 
@@ -74,16 +74,21 @@ def ag2(spark, d):
     return rounded(features.channel_statistics(vox(spark, d), channels()), ("u", "v", "channel"))
 
 
-@query("ag3_edge_features")
+_ch = " UNION ALL ".join(f"SELECT x, y, z, '{kind}_' || scale AS channel, {kind} AS w FROM fb" for kind in BANK)
+_wide = ", ".join(f"max({s}) FILTER (channel = '{name}') AS {name}_{s}" for name, _, _ in bank_names(images.SIGMAS) for s in features.EDGE_STATS)
+FILTERED = ", " + bank_sql("pm / 977.0", images.SIGMAS) + f""", ch AS ({_ch}), cw AS MATERIALIZED (SELECT x, y, z, list(channel ORDER BY channel) AS names, list(w ORDER BY channel) AS w FROM ch GROUP BY x, y, z),
+  far AS (SELECT *, x + CASE axis WHEN 0 THEN 1 ELSE 0 END AS x2, y + CASE axis WHEN 1 THEN 1 ELSE 0 END AS y2, z + CASE axis WHEN 2 THEN 1 ELSE 0 END AS z2 FROM pairs WHERE seg <> next_seg),
+  f AS MATERIALIZED (SELECT least(p.seg, p.next_seg) AS u, greatest(p.seg, p.next_seg) AS v, unnest(a.names) AS channel, (unnest(a.w) + unnest(b.w)) / 2 AS w FROM far p JOIN cw a ON a.x = p.x AND a.y = p.y AND a.z = p.z JOIN cw b ON b.x = p.x2 AND b.y = p.y2 AND b.z = p.z2)"""
+
+
+@query("ag3_edge_features", WITH_PAIRS + FILTERED + ", " + stats_sql("f", "u, v, channel") + f" SELECT u, v, {_wide} FROM st GROUP BY u, v")
 def ag3(spark, d):
     """The twelve statistics of every filter and scale, 12 x 12 columns; each filter is one channel."""
-    from cutgrove.operators import images
-
-    v = vox(spark, d)
+    v = vox(spark, d).withColumn("pm", F.col("pm") / 977.0)
     bank = images.filter_bank(v, "pm")
     names = [c for c in bank.columns if c not in ("x", "y", "z")]
     wide = bank.join(v.select("x", "y", "z", "seg"), ["x", "y", "z"])
-    return features.wide_channels(features.channel_statistics(wide, {n: F.col(n) for n in names}), names)
+    return rounded(features.wide_channels(features.channel_statistics(wide, {n: F.col(n) for n in names}), names), ("u", "v"))
 
 
 @query("ag4_affinity_statistics", WITH_FACES + ", f AS (SELECT u, v, CASE WHEN axis < 2 THEN w / 977.0 ELSE 205.0 - w / 977.0 END AS w FROM faces), " + stats_sql("f", "u, v") + " SELECT * FROM st")
@@ -184,10 +189,23 @@ def ag26_all(spark, d):
     return e.select("u", "v", total.alias("total"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(square / 3.0 - mean * mean), 6).alias("dev"))
 
 
-@query("ag12_curvature")
+def slope(c: str) -> str:
+    """Central differences in order ``w``, one-sided at either end."""
+    return f"CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2.0 END"
+
+
+CURVES = f""", sp AS (SELECT u, v, max(x) - min(x) >= max(y) - min(y) AS wide FROM faces WHERE axis < 2 GROUP BY u, v),
+  o AS (SELECT u, v, f.x, f.y, row_number() OVER (PARTITION BY u, v ORDER BY CASE WHEN wide THEN f.x ELSE f.y END, CASE WHEN wide THEN f.y ELSE f.x END) AS i FROM faces f JOIN sp USING (u, v) WHERE axis < 2),
+  d1 AS (SELECT u, v, i, {slope('x')} AS dx, {slope('y')} AS dy FROM o WINDOW w AS (PARTITION BY u, v ORDER BY i)),
+  d2 AS (SELECT u, v, dx, dy, {slope('dx')} AS ddx, {slope('dy')} AS ddy, count(*) OVER (PARTITION BY u, v) AS n FROM d1 WINDOW w AS (PARTITION BY u, v ORDER BY i)),
+  k AS (SELECT u, v, CASE WHEN n > 2 AND dx * dx + dy * dy > 0 THEN (dx * ddy - dy * ddx) / (dx * dx + dy * dy) ** 1.5 ELSE 0 END AS k FROM d2)
+  SELECT u, v, round(avg(k), 6) + 0.0 AS mean, round(min(k), 6) + 0.0 AS low, round(max(k), 6) + 0.0 AS high, round(stddev_pop(k), 6) + 0.0 AS dev FROM k GROUP BY u, v"""
+
+
+@query("ag12_curvature", WITH_FACES + CURVES)
 def ag12(spark, d):
     """Mean, min, max and deviation of the curvature of every in-plane boundary, ordered along its longer axis."""
-    return features.curvature(faces(spark, d).filter("axis < 2"))
+    return rounded(features.curvature(faces(spark, d).filter("axis < 2")), ("u", "v"))
 
 
 # ---- what defects change

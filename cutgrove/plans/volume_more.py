@@ -371,7 +371,17 @@ def im13_inside(spark, d):
     return c.join(vox(spark, d).select("x", "y", "z", "seg"), ["x", "y", "z", "seg"]).agg(F.count("*").alias("centres"))
 
 
-@query("im14_face_centroids")
+SIDES = """, side AS (SELECT 'x0' AS face, seg, y AS a, z AS b FROM vox WHERE x = 0 UNION ALL SELECT 'x1', seg, y, z FROM vox WHERE x = 9 UNION ALL SELECT 'y0', seg, x, z FROM vox WHERE y = 0 UNION ALL SELECT 'y1', seg, x, z FROM vox WHERE y = 9),
+  step(da, db) AS (SELECT * FROM range(-1, 2) AS s(da), range(-1, 2) AS t(db)),
+  reach AS (SELECT face, seg, a, b, a + 10 * b AS r FROM side UNION SELECT t.face, t.seg, t.a, t.b, reach.r FROM reach, step JOIN side t ON true WHERE t.face = reach.face AND t.seg = reach.seg AND t.a = reach.a + da AND t.b = reach.b + db),
+  piece AS (SELECT face, seg, a, b, min(r) AS piece FROM reach GROUP BY ALL),
+  outside AS (SELECT DISTINCT face, seg, piece, a + da AS a, b + db AS b FROM piece, step WHERE NOT EXISTS (SELECT 1 FROM piece q WHERE q.face = piece.face AND q.seg = piece.seg AND q.piece = piece.piece AND q.a = piece.a + da AND q.b = piece.b + db)),
+  inner_d AS (SELECT p.face, p.seg, p.piece, p.a, p.b, min((p.a - o.a) ** 2 + (p.b - o.b) ** 2) AS d FROM piece p JOIN outside o USING (face, seg, piece) GROUP BY ALL),
+  deepest AS (SELECT *, max(d) OVER (PARTITION BY face, seg, piece) AS most FROM inner_d)
+  SELECT face, seg, piece, CAST(round_even(avg(a), 0) AS BIGINT) AS a, CAST(round_even(avg(b), 0) AS BIGINT) AS b FROM deepest WHERE d = most GROUP BY face, seg, piece"""
+
+
+@query("im14_face_centroids", WITH_VOX.replace("WITH ", "WITH RECURSIVE ", 1) + SIDES)
 def im14(spark, d):
     """Where segments leave the volume: the innermost pixel of each of their pieces on the four sides."""
     return superpixels.face_centroids(vox(spark, d), "seg", 9, 9)

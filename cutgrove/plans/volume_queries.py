@@ -9,7 +9,7 @@ from cutgrove.operators import grids, images, rag
 from cutgrove.operators.relabel import consecutive, dense_ids, running_offsets
 from cutgrove.sources import volumes
 
-from .common import WITH_PAIRS, WITH_VOX, vox
+from .common import WITH_PAIRS, WITH_VOX, bank_names, bank_sql, vox
 
 QUERIES, ORACLE = {}, {}
 
@@ -246,9 +246,14 @@ def im1(spark, d):
     return vox(spark, d).select("x", "y", "z", (F.lag("raw").over(w) + 2 * F.col("raw") + F.lead("raw").over(w)).alias("v"))
 
 
-@query("im1_filter_bank")
+_bank = ", ".join(f"round(max({kind}) FILTER (scale = '{s}'), 6) + 0.0 AS {name}" for name, kind, s in bank_names(images.SIGMAS))
+
+
+@query("im1_filter_bank", WITH_VOX + ", " + bank_sql("raw", images.SIGMAS) + f" SELECT x, y, z, {_bank} FROM fb GROUP BY x, y, z")
 def im1_bank(spark, d):
-    return images.filter_bank(vox(spark, d), "raw")
+    """Every filter at every scale in every slice, to six digits."""
+    bank = images.filter_bank(vox(spark, d), "raw")
+    return bank.select("x", "y", "z", *((F.round(c, 6) + 0.0).alias(c) for c in bank.columns if c not in ("x", "y", "z")))
 
 
 @query("im3_distance_transform", WITH_PAIRS + """, b AS (SELECT z, x, y FROM pairs WHERE seg <> next_seg AND axis < 2 UNION SELECT z, x + CASE axis WHEN 0 THEN 1 ELSE 0 END, y + CASE axis WHEN 1 THEN 1 ELSE 0 END FROM pairs WHERE seg <> next_seg AND axis < 2)
