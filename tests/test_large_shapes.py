@@ -17,6 +17,34 @@ def matches_sql(spark, name, folder):
 @pytest.mark.parametrize("name", ["jn14_block_nodes", "jn14_block_overlaps"])
 def test_blocks_that_share_a_number(spark, tmp_path, name):
     """Slices 8,000 on: block (0, 1000) and block (1, 0) both have number 1000."""
-    ids = spark.range(1000).selectExpr("case when id < 200 then id else id + 799200 end event_id", "(id % 37) / 4.0 value")
+    ids = spark.range(2600).selectExpr("case when id < 1000 then id else id + 798400 end event_id", "(id % 37) / 4.0 value")
     ids.write.parquet(f"{tmp_path}/events.parquet")
     matches_sql(spark, name, tmp_path)
+
+
+def test_kernels_take_blocks_of_whole_parts(spark, monkeypatch):
+    """Beyond WHOLE_EDGES no kernel but greedy contraction gets the whole problem, and no solver is worse than contraction."""
+    import random
+
+    from cutgrove.operators import multicut, proposals
+
+    r = random.Random(7)
+    e = [(i, j, round(r.gauss(0.2, 1), 3)) for i in range(300) for j in (i + 1, i + 2, i + 7) if j < 300]
+    f = [(i, i + 4, round(r.gauss(0, 1), 3)) for i in range(0, 290, 5)]
+    for name, bound in (("WHOLE_EDGES", 200), ("PART_EDGES", 100), ("RANGE_EDGES", 250)):
+        monkeypatch.setattr(multicut, name, bound)
+    schema = "u long, v long, cost double"
+    df, far = spark.createDataFrame(e, schema), spark.createDataFrame(f, schema)
+    greedy = {x.node: x.label for x in multicut.greedy(df, far, 300).collect()}
+    assert multicut.connected_labels(e, greedy) == greedy
+    start = multicut.cut_energy([*e, *f], greedy)
+    assert start <= 0.9 * multicut.cut_energy([*e, *f], multicut.gaec(e, f))  # energies are negative
+    for solver in ("kl", "icm", "subgraph"):
+        labels = {x.node: x.label for x in multicut.solve(df, solver, far, most=300).collect()}
+        assert multicut.connected_labels(e, labels) == labels and len(labels) == 300
+        assert multicut.cut_energy([*e, *f], labels) <= start + 1e-9, solver
+    assert multicut.problems(df, far).select("component").distinct().count() > 1
+    settings = multicut.FusionSettings("watershed", rounds=2, proposals=2, stale=2)
+    tasks = {x.node: x.label for x in proposals.parallel_fusion(df, settings).collect()}
+    one = {x.node: x.label for x in multicut.solve(df, lambda a, b: multicut.fusion_moves(a, multicut.SOLVERS["kl"](a, b), b, settings)).collect()}
+    assert multicut.cut_energy(e, tasks) == pytest.approx(multicut.cut_energy(e, one))
