@@ -22,6 +22,28 @@ def test_blocks_that_share_a_number(spark, tmp_path, name):
     matches_sql(spark, name, tmp_path)
 
 
+def test_channel_values_that_differ_by_their_last_bit(spark, tmp_path):
+    """Edges of two faces whose means are one bit apart: moments are those of the SQL, whatever that bit makes of them."""
+    seg = lambda x, y, z: z * 6 + min(2, (x + (y + z) % 3) // 4) + 3 * (y // 5)
+    faces: dict = {}
+    for i in range(1100):
+        x, y, z = i % 10, i // 10 % 10, i // 100
+        if z < 10 and seg(x, y, z) != seg(x, y, z + 1):
+            faces.setdefault((seg(x, y, z), seg(x, y, z + 1)), []).append(i)
+    value = [(i * 7919 % 60_000) / 1000 for i in range(1100)]
+    odd = [(351, 15041, 2762, 12630), (94064, 29962, 64430, 59596), (71455, 33589, 83718, 21326), (25280, 78452, 31932, 71800), (53707, 6708, 15992, 44423)]
+    used: set = set()
+    for first, second in (f for f in faces.values() if len(f) == 2):
+        at = {first, first + 100, second, second + 100}
+        if odd and not at & used:
+            used |= at
+            for i, pm in zip((first, first + 100, second, second + 100), odd.pop()):
+                value[i] = pm / 1000
+    assert not odd
+    spark.createDataFrame(list(enumerate(value)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    matches_sql(spark, "ag2_channel_statistics", tmp_path)
+
+
 def test_kernels_take_blocks_of_whole_parts(spark, monkeypatch):
     """Beyond WHOLE_EDGES no kernel but greedy contraction gets the whole problem, and no solver is worse than contraction."""
     import random
