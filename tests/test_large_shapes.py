@@ -44,6 +44,25 @@ def test_channel_values_that_differ_by_their_last_bit(spark, tmp_path):
     matches_sql(spark, "ag2_channel_statistics", tmp_path)
 
 
+def test_long_graphs_are_searched_by_ranges(spark, monkeypatch):
+    """A ladder of 600 rungs: hops and costs to its end without a round of joins for every hop, and a path of such costs."""
+    from cutgrove.operators import graphs
+
+    rows = [(2 * i, 2 * i + 1, 5) for i in range(600)] + [(a, a + 2, 1 + a * 7 % 4) for a in range(1198)] + [(2000, 2001, 1)]
+    df = spark.createDataFrame(rows, "u long, v long, n long")
+    both = [*rows, *((v, u, c) for u, v, c in rows)]
+    monkeypatch.setattr(graphs, "SEARCH_EDGES", 300)
+    monkeypatch.setattr(graphs, "PART_STEPS", 200)
+    for source in (0, 601, 5000):
+        for cost in (None, "n"):
+            want = graphs._search([(u, v, c if cost else 1) for u, v, c in both], source)[0]
+            got = graphs.distances(df, source, cost=cost, limit=20)
+            assert sorted((r.node, r.dist) for r in got.collect()) == sorted(want.items())
+    path = graphs.shortest_path(df, 0, 1199, cost="n").orderBy("seq").collect()
+    assert path[0].a == 0 and path[-1].b == 1199 and all(x.b == y.a for x, y in zip(path, path[1:]))
+    assert sum(r.cost for r in path) == graphs._search(both, 0)[0][1199]
+
+
 def test_kernels_take_blocks_of_whole_parts(spark, monkeypatch):
     """Beyond WHOLE_EDGES no kernel but greedy contraction gets the whole problem, and no solver is worse than contraction."""
     import random
