@@ -63,6 +63,30 @@ def test_long_graphs_are_searched_by_ranges(spark, monkeypatch):
     assert sum(r.cost for r in path) == graphs._search(both, 0)[0][1199]
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_cluster_heights_by_ranges(spark, monkeypatch, far):
+    """No task clusters a whole component beyond HEIGHT_EDGES, and heights are those of the whole; far: ids without order."""
+    import random
+
+    from cutgrove.operators import workflows
+
+    r = random.Random(11)
+    n = 60 if far else 240
+    name = r.sample(range(n), n) if far else list(range(n))
+    e = [(i, j) for i in range(n) for j in (i + 1, i + 2, i + 7) if j < n]
+    rows = [(min(name[i], name[j]), max(name[i], name[j]), r.randrange(1, 30), r.random()) for i, j in e]
+    pairs = [(min(name[i], name[i + 4]), max(name[i], name[i + 4])) for i in range(0, n - 4)]
+    df, far_pairs = spark.createDataFrame(rows, "u long, v long, n long, p double"), spark.createDataFrame(pairs, "u long, v long")
+    sizes = spark.createDataFrame([(a, r.randrange(1, 40)) for a in range(n)], "seg long, size long")
+    by = lambda h: {(x.u, x.v): [getattr(x, c) for c in h.columns[2:]] for x in h.collect()}
+    whole = by(workflows.cluster_heights(df, sizes, far_pairs))
+    monkeypatch.setattr(workflows, "HEIGHT_EDGES", 20 if far else 150)
+    monkeypatch.setattr(workflows, "merge_heights", None)
+    ranges = by(workflows.cluster_heights(df, sizes, far_pairs))
+    assert whole.keys() == ranges.keys() == set(pairs)
+    assert all(ranges[k] == pytest.approx(v) for k, v in whole.items())
+
+
 def test_kernels_take_blocks_of_whole_parts(spark, monkeypatch):
     """Beyond WHOLE_EDGES no kernel but greedy contraction gets the whole problem, and no solver is worse than contraction."""
     import random
