@@ -113,3 +113,27 @@ def test_kernels_take_blocks_of_whole_parts(spark, monkeypatch):
     tasks = {x.node: x.label for x in proposals.parallel_fusion(df, settings).collect()}
     one = {x.node: x.label for x in multicut.solve(df, lambda a, b: multicut.fusion_moves(a, multicut.SOLVERS["kl"](a, b), b, settings)).collect()}
     assert multicut.cut_energy(e, tasks) == pytest.approx(multicut.cut_energy(e, one))
+
+
+def test_bounds_skip_searches_that_find_nothing(monkeypatch):
+    """Repulsive edges between attractive parts start no search through them, and the bound is that of searching all the same."""
+    import random
+
+    from cutgrove.operators import bounds
+
+    r = random.Random(2)
+    e = [(a * 100 + i, a * 100 + j, 1.0 + r.random()) for a in range(6) for i in range(100) for j in (i + 1, i + 3) if j < 100]
+    e += [(a * 100 + i, a * 100 + 100 + i, -r.random()) for a in range(5) for i in range(100)] + [(a * 100, a * 100 + 50, -3.0) for a in range(6)]
+    popped, queue = [0], bounds.deque
+
+    class Counted(queue):
+        def popleft(self):
+            popped[0] += 1
+            return super().popleft()
+
+    monkeypatch.setattr(bounds, "deque", Counted)
+    got, seen = bounds.reduced_costs(e), popped[0]
+    monkeypatch.setattr(bounds, "_attractive", lambda near, r: dict.fromkeys(near, 0))
+    monkeypatch.setattr(bounds, "dict", type("Flat", (dict,), {"fromkeys": classmethod(lambda c, k, v=None: {})}), raising=False)
+    assert bounds.reduced_costs(e) == got
+    assert 10 * seen < popped[0] - seen
