@@ -180,3 +180,18 @@ def test_moves_keep_fixed_nodes():
     start, fixed = {i: i // 12 for i in range(36)}, set(range(0, 36, 5))
     out = blockwise.boundary_moves(e, start, fixed)
     assert all(out[i] == start[i] for i in fixed) and multicut.cut_energy(e, out) < multicut.cut_energy(e, start)
+
+
+def test_pairs_that_two_cut_moves_left_alone_are_not_tried_again(monkeypatch):
+    edges = [(u, v, c) for u, v, c in random_problem(random.Random(7), 30)]
+    labels = multicut.kernighan_lin(edges, multicut.gaec(edges))
+    calls = []
+    two_cut = multicut.two_cut
+    monkeypatch.setattr(multicut, "two_cut", lambda *a, **k: calls.append(1) or two_cut(*a, **k))
+    assert multicut.kernighan_lin(edges, dict(labels), tried=dict.fromkeys(labels, 3)) == labels and not calls
+    halves = {a: a % 2 for a in labels}  # of two runs: pairs between them are tried
+    assert multicut.kernighan_lin(edges, dict(labels), tried=halves) == labels and calls
+
+
+def random_problem(r, n):
+    return [(u, v, r.gauss(0, 1)) for u in range(n) for v in range(u + 1, n) if r.random() < 0.4]
