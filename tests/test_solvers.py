@@ -193,5 +193,14 @@ def test_pairs_that_two_cut_moves_left_alone_are_not_tried_again(monkeypatch):
     assert multicut.kernighan_lin(edges, dict(labels), tried=halves) == labels and calls
 
 
+def test_costs_divided_by_the_number_of_edges_are_solved_like_others(spark):
+    """Two-cut moves stop at fixed gains; costs of 1e-9 were all under them."""
+    edges = next(e for s in range(100) for e in [random_problem(random.Random(s), 14)] if multicut.kernighan_lin(e, multicut.gaec(e)) != multicut.gaec(e))
+    df = spark.createDataFrame(edges, "u long, v long, cost double")
+    labels = lambda x, solver="kl": {r[0]: r[1] for r in multicut.solve(x, solver, most=None).collect()}
+    small = labels(df.withColumn("cost", F.col("cost") / (1 << 30)))
+    assert small == labels(df) != labels(df, "gaec")
+
+
 def random_problem(r, n):
     return [(u, v, r.gauss(0, 1)) for u in range(n) for v in range(u + 1, n) if r.random() < 0.4]
