@@ -137,3 +137,20 @@ def test_bounds_skip_searches_that_find_nothing(monkeypatch):
     monkeypatch.setattr(bounds, "dict", type("Flat", (dict,), {"fromkeys": classmethod(lambda c, k, v=None: {})}), raising=False)
     assert bounds.reduced_costs(e) == got
     assert 10 * seen < popped[0] - seen
+
+
+def test_local_forest_of_lifted_probabilities_is_learnt_once(monkeypatch):
+    """The middle and the test volume are judged by one forest over the outer parts."""
+    from unittest.mock import MagicMock
+
+    from cutgrove.operators import learning, workflows
+
+    learnt = []
+    monkeypatch.setattr(learning, "z_cutouts", lambda *a: ("low", "middle", "high"))
+    for name in ("train", "predict", "edge_labels", "graph", "local_features"):
+        monkeypatch.setattr(learning, name, MagicMock())
+    monkeypatch.setattr(learning, "training_rows", lambda volumes, *a, **k: learnt.append(volumes) or MagicMock())
+    for name in ("lifted_pairs", "lifted_features", "cut"):
+        monkeypatch.setattr(workflows, name, MagicMock())
+    workflows.lifted_probabilities("train", "test")
+    assert learnt == [["low", "high"]]
