@@ -154,3 +154,30 @@ def test_local_forest_of_lifted_probabilities_is_learnt_once(monkeypatch):
         monkeypatch.setattr(workflows, name, MagicMock())
     workflows.lifted_probabilities("train", "test")
     assert learnt == [["low", "high"]]
+
+
+def test_a_hub_is_contracted_in_few_rounds(spark):
+    """A node with sixty attractive neighbours takes one of them a round; a kernel ends what rounds would join one by one."""
+    from cutgrove.operators import multicut
+
+    rows = [(0, k, 1.0 + k / 100) for k in range(1, 61)] + [(k, k + 1, -0.1) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "u long, v long, cost double")
+    edges, _, names = multicut.contract_mutual(df, None, 0, rounds=5)
+    assert edges.isEmpty() and {r.label for r in names.collect()} == {0} and names.count() == 61
+    far = spark.createDataFrame([(1, k, -5.0) for k in range(31, 61)], "u long, v long, cost double")
+    _, _, names = multicut.contract_mutual(df, far, 0, rounds=5)
+    want = multicut.gaec(rows, [tuple(r) for r in far.collect()])
+    assert {r.node: r.label for r in names.collect()} == want
+
+
+def test_sides_of_blocks_are_tried_together(spark, monkeypatch):
+    """A chain whose blocks fit after ten halvings: the largest side that fits, found in two jobs and not in eleven."""
+    from cutgrove.operators import blockwise
+
+    edges = spark.createDataFrame([(a, a + 1, 1.0) for a in range(2000)], "u long, v long, cost double")
+    pos = spark.range(2001).selectExpr("id node", "0.0 x", "0.0 y", "double(id) z", "1.0 w")
+    written = []
+    monkeypatch.setattr(blockwise, "settle", lambda df, settle=blockwise.settle: (written.append(1), settle(df))[1])
+    held, side = blockwise._fitting(edges, pos, 2048.0, 0.0, 2)
+    assert side == 2.0 and len(written) <= 4
+    assert max(r["count"] for r in held.groupBy("block").count().collect()) <= 2
