@@ -181,3 +181,14 @@ def test_sides_of_blocks_are_tried_together(spark, monkeypatch):
     held, side = blockwise._fitting(edges, pos, 2048.0, 0.0, 2)
     assert side == 2.0 and len(written) <= 4
     assert max(r["count"] for r in held.groupBy("block").count().collect()) <= 2
+
+
+def test_no_chunk_of_the_flood_check_holds_the_volume(spark, monkeypatch):
+    """Chunks of im7_flood_facts are bounded along the axis that grows."""
+    from cutgrove.operators import grids
+    from cutgrove.plans import grid_queries
+
+    asked = []
+    monkeypatch.setattr(grids, "watershed", lambda v, *a, chunk, **k: asked.append(chunk) or v.selectExpr("x", "y", "z", "seed label"))
+    grid_queries.im7_facts(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 2 and all(c[2] <= 4096 for c in asked)
