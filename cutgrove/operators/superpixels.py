@@ -274,15 +274,45 @@ def face_centroids(voxels: DataFrame, col: str, last_x: int, last_y: int) -> Dat
     flat = contacts.select(F.col("a").alias("x"), F.col("b").alias("y"), number.cast("long").alias("z"), "seg")
     pieces = label_slices(flat, "seg").join(flat, ["x", "y", "z"])
 
-    def run(key, t):
-        x, y = np.asarray(t.column("x")), np.asarray(t.column("y"))
-        g = np.zeros((np.ptp(x) + 3, np.ptp(y) + 3), bool)
-        g[x - x.min() + 1, y - y.min() + 1] = True
-        d = images.squared_edt(~g)
-        i, j = np.nonzero(d == d.max())
-        return pa.table({"face": pa.array([("x0", "x1", "y0", "y1")[key[0].as_py()]]), col: pa.array([key[1].as_py()], pa.int64()), "piece": pa.array([key[2].as_py()], pa.int64()), "a": pa.array([round(float(i.mean()) + x.min() - 1)], pa.int64()), "b": pa.array([round(float(j.mean()) + y.min() - 1)], pa.int64())})
-
-    return pieces.groupBy("z", "seg", "component").applyInArrow(run, f"face string, {col} long, piece long, a long, b long")
+    def run(batches):
+        held = None
+        for batch in batches:
+            got = np.stack([np.asarray(c) for c in batch.columns])
+            got = got if held is None else np.concatenate([held, got], axis=1)
+            cuts = np.flatnonzero((got[:3, 1:] != got[:3, :-1]).any(0)) + 1
+            if len(cuts):
+                yield _innermost_of(got[:, : cuts[-1]], np.append(0, cuts), col)
+            held = got[:, cuts[-1] :] if len(cuts) else got
+        if held is not None and held.size:
+            yield _innermost_of(held, np.array([0, held.shape[1]]), col)
+
+    # pieces are many and small: a task goes through its own in order, holding one of them and a batch
+    keys = ("z", "seg", "component")
+    rows = pieces.select(*(F.col(c).cast("long").alias(c) for c in (*keys, "x", "y"))).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, f"face string, {col} long, piece long, a long, b long")
+
+
+def _innermost_of(rows: np.ndarray, cuts: np.ndarray, col: str) -> pa.RecordBatch:
+    """The mean innermost pixel of every piece of rows (face number, label, piece, x, y); a piece lies between two cuts."""
+    x0, y0 = np.minimum.reduceat(rows[3], cuts[:-1]), np.minimum.reduceat(rows[4], cuts[:-1])
+    x1, y1 = np.maximum.reduceat(rows[3], cuts[:-1]), np.maximum.reduceat(rows[4], cuts[:-1])
+    at = np.empty((2, len(x0)), np.int64)
+    known: dict[tuple, tuple] = {}
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        g = np.zeros((x1[k] - x0[k] + 3, y1[k] - y0[k] + 3), bool)
+        g[rows[3, lo:hi] - x0[k] + 1, rows[4, lo:hi] - y0[k] + 1] = True
+        shape = (g.shape, g.tobytes()) if g.size <= 256 else None
+        mean = known.get(shape)
+        if mean is None:
+            d = images.squared_edt(~g)
+            i, j = np.nonzero(d == d.max())
+            mean = float(i.mean()), float(j.mean())
+            if shape is not None:
+                known[shape] = mean
+        at[:, k] = round(mean[0] + x0[k] - 1), round(mean[1] + y0[k] - 1)
+    first = rows[:, cuts[:-1]]
+    names = np.array(["x0", "x1", "y0", "y1"])
+    return pa.RecordBatch.from_arrays([pa.array(names[first[0]].tolist(), pa.string()), *(pa.array(c) for c in (first[1], first[2], *at))], names=["face", col, "piece", "a", "b"])
 
 
 def elastic(voxels: DataFrame, col: str, strength: float, sigma: float, seed: int) -> DataFrame:

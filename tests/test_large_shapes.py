@@ -192,3 +192,26 @@ def test_no_chunk_of_the_flood_check_holds_the_volume(spark, monkeypatch):
     monkeypatch.setattr(grids, "watershed", lambda v, *a, chunk, **k: asked.append(chunk) or v.selectExpr("x", "y", "z", "seed label"))
     grid_queries.im7_facts(spark, "/root/testdata/sf0.001")
     assert len(asked) == 2 and all(c[2] <= 4096 for c in asked)
+
+
+def test_pieces_on_faces_don_t_take_a_group_each(spark):
+    """Pieces go through tasks as streams, whatever batches they are split into; squares, lines and pieces of one pixel."""
+    import contextlib
+    import io
+
+    from cutgrove.operators import superpixels
+
+    rows = [(0, y, z, 1) for y in range(5) for z in range(5)] + [(0, y, 9, 2) for y in range(4)] + [(0, 7, 7, 2)] + [(x, 9, z, 3) for x in range(3, 6) for z in range(3)] + [(5, 5, 5, 4)]
+    v = spark.createDataFrame(rows, "x long, y long, z long, seg long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = superpixels.face_centroids(v, "seg", 20, 9)
+        got = sorted((r.face, r.seg, r.a, r.b) for r in df.collect())
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            df.explain()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [("x0", 1, 2, 2), ("x0", 2, 2, 9), ("x0", 2, 7, 7), ("y0", 1, 0, 2), ("y0", 2, 0, 9), ("y1", 3, 4, 1)]
+    assert "MapInArrow" in plan.getvalue() and "FlatMapGroups" not in plan.getvalue()
