@@ -41,6 +41,21 @@ def test_filters_skip_chunks(spark):
         spark.conf.set(arrays.PUSHDOWN, before)
 
 
+def test_small_chunks_share_a_task(spark):
+    """Forty chunks in four tasks: the same voxels, and every row says how many chunks the scan opens."""
+    df = spark.range(80).selectExpr("id % 2 AS x", "0L AS y", "id div 2 AS z", "id AS a")
+    path, before = scratch(spark, "volume"), spark.conf.get(arrays.PUSHDOWN, "false")
+    arrays.save_volume(df, path, (2, 2, 1))
+    try:
+        spark.conf.set(arrays.PUSHDOWN, "true")
+        for where, chunks, tasks in (("z >= 0", 40, 4), ("z >= 15", 25, 3), ("z >= 40", 0, 1)):
+            got = arrays.load_volume(spark, path, per_task=10, counted=True).filter(where)
+            assert got.rdd.getNumPartitions() == tasks
+            assert sorted((r.a, r.opened) for r in got.collect()) == sorted((r.a, chunks) for r in df.filter(where).collect())
+    finally:
+        spark.conf.set(arrays.PUSHDOWN, before)
+
+
 def test_step_fits(spark):
     r, rows, want = random.Random(2), [], {}
     for u in range(40):
