@@ -228,3 +228,21 @@ def test_links_of_a_path_are_all_checked(spark, monkeypatch):
         rows = spark.range(5000).selectExpr("id seq", f"if(id = {gap or -1}, -1, id) a", f"if(id = 4999, {end}, id + 1) b", "1L cost")
         monkeypatch.setattr(graphs, "shortest_path", lambda *a, rows=rows, **k: rows)
         assert graph_more.gr8(spark, "/root/testdata/sf0.001").collect() == [(last, 5000, linked)]
+
+
+def test_fusion_moves_don_t_depend_on_the_bounds_of_blocks(spark, monkeypatch):
+    """One attractive component beyond WHOLE_EDGES is fused as it is below it, and as the kernel does in one task."""
+    import random
+
+    from cutgrove.operators import multicut, proposals
+
+    r = random.Random(3)
+    e = [(i, j, round(r.gauss(0.2, 1), 3)) for i in range(200) for j in (i + 1, i + 2, i + 7) if j < 200]
+    df, settings = spark.createDataFrame(e, "u long, v long, cost double"), multicut.FusionSettings("watershed", rounds=2, proposals=2, stale=2)
+    by = lambda x: {r.node: r.label for r in x.collect()}
+    small = by(proposals.parallel_fusion(df, settings))
+    for name in ("WHOLE_EDGES", "PART_EDGES", "RANGE_EDGES", "KERNEL_EDGES"):
+        monkeypatch.setattr(multicut, name, 60)
+    assert by(proposals.parallel_fusion(df, settings)) == small
+    one = by(multicut.solve(df, lambda a, b: multicut.fusion_moves(a, multicut.SOLVERS["kl"](a, b), b, settings)))
+    assert multicut.cut_energy(e, one) == pytest.approx(multicut.cut_energy(e, small))
