@@ -246,3 +246,31 @@ def test_fusion_moves_don_t_depend_on_the_bounds_of_blocks(spark, monkeypatch):
     assert by(proposals.parallel_fusion(df, settings)) == small
     one = by(multicut.solve(df, lambda a, b: multicut.fusion_moves(a, multicut.SOLVERS["kl"](a, b), b, settings)))
     assert multicut.cut_energy(e, one) == pytest.approx(multicut.cut_energy(e, small))
+
+
+def test_filters_of_voxels_are_not_shuffled(spark):
+    """Features of edges are those of filters a voxel each, but no exchange holds a voxel's filters or an edge's features."""
+    import contextlib
+    import io
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from cutgrove.operators import features, images, learning
+
+    r = random.Random(9)
+    rows = [(x, y, z, (x // 4) + 3 * (y // 3) + 9 * (z // 3), r.randrange(100), r.randrange(1000)) for z in range(-2, 38) for x in range(z % 3, 9) for y in range(8 - z % 2) if r.random() < 0.95 and z != 20]
+    v = spark.createDataFrame(rows, "x long, y long, z long, seg long, raw long, pm long")
+    filtered, names = images.slice_filters(v, ("raw", "pm"))
+    more = spark.createDataFrame([(u, u + 9, u % 5, u / 4) for u in range(60)], "u long, v long, n long, f_own double")
+    want = {(q.u, q.v): q.asDict() for q in features.wide_statistics(filtered, names).join(more, ["u", "v"]).collect()}
+    df = learning.local_features(v, None, ("raw", "prob"), more)
+    got = {(q.u, q.v): q.asDict() for q in df.collect()}
+    assert got.keys() == want.keys() and len(got) > 30 and df.schema["n"].dataType.simpleString() == "bigint"
+    for k, q in want.items():
+        assert all(got[k][c if c in ("u", "v", "n", "f_own") else f"f_{c}"] == pytest.approx(x, rel=1e-9, abs=1e-9) for c, x in q.items())
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        learning.local_features(v, None, ("raw", "prob"), more.withColumn("f_n", F.lit(1.0))).explain("formatted")
+    assert len(re.findall("MapInArrow", plan.getvalue())) and "zip_with" not in plan.getvalue() and "FlatMapGroupsInArrow" not in plan.getvalue()
