@@ -274,3 +274,40 @@ def test_filters_of_voxels_are_not_shuffled(spark):
     with contextlib.redirect_stdout(plan):
         learning.local_features(v, None, ("raw", "prob"), more.withColumn("f_n", F.lit(1.0))).explain("formatted")
     assert len(re.findall("MapInArrow", plan.getvalue())) and "zip_with" not in plan.getvalue() and "FlatMapGroupsInArrow" not in plan.getvalue()
+
+
+def test_a_join_of_clusters_pushes_edges_of_the_smaller_one(monkeypatch):
+    """A hub of four hundred nodes takes one after the other; heights are those of searching all edges at every join."""
+    import heapq
+    import random
+    from types import SimpleNamespace
+
+    from cutgrove.operators import workflows
+
+    r = random.Random(5)
+    hub = [(0, a, r.random(), r.randrange(1, 9)) for a in range(1, 401)]
+    net = [(i, j, r.random(), r.randrange(1, 9)) for i in range(60) for j in (i + 1, i + 2, i + 7) if j < 60]
+    pushed = [0]
+    monkeypatch.setattr(workflows, "heapq", SimpleNamespace(heapify=heapq.heapify, heappop=heapq.heappop, heappush=lambda *a: (pushed.__setitem__(0, pushed[0] + 1), heapq.heappush(*a))))
+
+    def plain(rows, size, ward, pairs):
+        near, size, name, out, top = {(u, v): (p * n, n) for u, v, p, n in rows}, dict(size), {a: a for r in rows for a in r[:2]}, {}, 0.0
+        while near:
+            h, (u, v) = min((s / n * 2 / (size[u] ** -ward + size[v] ** -ward), (u, v)) for (u, v), (s, n) in near.items())
+            top, size[u], after = max(top, h), size[u] + size[v], {}
+            out |= {i: h for i, (a, b) in enumerate(pairs) if {name[a], name[b]} == {u, v}}
+            name = {a: u if k == v else k for a, k in name.items()}
+            for (a, b), (s, n) in near.items():
+                k = tuple(sorted((u if a == v else a, u if b == v else b)))
+                if k[0] != k[1]:
+                    s0, n0 = after.get(k, (0.0, 0))
+                    after[k] = (s + s0, n + n0)
+            near = after
+        return [out.get(i, top) for i in range(len(pairs))]
+
+    for ward in (0.01, 0.4, 0.7):
+        size, pairs = {a: r.randrange(1, 40) for a in range(60)}, [(i, i + 5) for i in range(55)]
+        assert workflows.merge_heights(net, size, ward, pairs) == pytest.approx(plain(net, size, ward, pairs))
+    pushed[0] = 0
+    workflows.merge_heights(hub, dict.fromkeys(range(401), 1), 0.1, [(1, 2)])
+    assert pushed[0] < 20_000  # 79,800 where all edges of the hub are pushed at every join
